@@ -99,3 +99,18 @@ def number_rows(
     inside = Window.partitionBy(*keys, slice_col).orderBy(position)
     joined = sliced.join(offsets, [*keys, slice_col])
     return joined.withColumn(out, F.row_number().over(inside) + F.col(offset)).drop(slice_col, offset)
+
+
+def spread_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Join a table that may be hot on `keys` to one with a single row per key.
+
+    The single rows are repeated once per salt and the big side picks its salt
+    from `spread`, so a hot key meets its row in `salts` tasks instead of one.
+    """
+    salt = "__salt"
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    repeated = small.withColumn(salt, F.explode(every))
+    return salted.join(repeated, [*keys, salt], how).drop(salt)
