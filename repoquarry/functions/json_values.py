@@ -68,14 +68,8 @@ def elements(value: Column) -> Column:
 
 
 def kind(value: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, NUMBER or VOID; SQL NULL when absent."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema.startswith("OBJECT"), "OBJECT")
-        .when(schema.startswith("ARRAY"), "ARRAY")
-        .when(schema.isin("STRING", "BOOLEAN", "VOID"), schema)
-        .when(schema.isNotNull(), "NUMBER")
-    )
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a numeric type name; SQL NULL when absent."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def text_of(value: Column) -> Column:
@@ -84,24 +78,16 @@ def text_of(value: Column) -> Column:
 
 def truthy(value: Column) -> Column:
     """Script truth: absent, null, false, 0 and '' are false."""
-    what = kind(value)
-    return F.coalesce(
-        F.when(what == "STRING", text_of(value) != "")
-        .when(what == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(what == "NUMBER", F.try_variant_get(value, "$", "double") != 0)
-        .otherwise(what.isin("OBJECT", "ARRAY")),
-        F.lit(False),
-    )
+    return ~F.coalesce(F.to_json(value), F.lit("null")).rlike(r'^(null|false|""|-?0(\.0*)?(E.*)?)\z')
 
 
 def _scalar_string(value: Column) -> Column:
-    what = kind(value)
-    number = F.try_variant_get(value, "$", "double")
     whole = F.try_variant_get(value, "$", "decimal(38,0)")
+    number = F.try_variant_get(value, "$", "double")
     return (
-        F.when(what == "VOID", "null")
-        .when(what == "OBJECT", "[object Object]")
-        .when((what == "NUMBER") & (whole.cast("double") == number) & (F.abs(number) < 1e21), whole.cast("string"))
+        F.when(kind(value) == "VOID", "null")
+        .when(kind(value) == "OBJECT", "[object Object]")
+        .when(kind(value).isin("DECIMAL", "DOUBLE") & (whole.cast("double") == number) & (F.abs(number) < 1e21), whole.cast("string"))
         .otherwise(text_of(value))
     )
 

@@ -67,8 +67,11 @@ def resolve_license(files: DataFrame) -> DataFrame:
             is_permissive(declared_id).alias("permissive"), F.col("path").alias("file"),
         ),
     )
-    decided = staged.select("repo_id", "priority", decision.alias("license")).where(F.col("license").isNotNull())
-    best = decided.groupBy("repo_id").agg(F.min(F.struct("priority", "license")).alias("best"))
+    # undecided rows are skipped inside the aggregate: as a filter the whole chain would be evaluated twice
+    ranked = staged.select("repo_id", "priority", decision.alias("license"))
+    best = ranked.groupBy("repo_id").agg(
+        F.min(F.when(F.col("license").isNotNull(), F.struct("priority", "license"))).alias("best")
+    )
     nothing = F.expr(
         f"cast(named_struct('detected', false, 'name', null, 'spdx_id', null, 'permissive', false, 'file', null) AS {LICENSE_TYPE})"
     )
