@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repoquarry.functions.staging import evaluate_once
 from repoquarry.functions.text import non_empty
 
 
@@ -45,16 +46,19 @@ def with_json(df: DataFrame, text: str, out: str) -> DataFrame:
     """
     raw, rest = "__json_raw", "__json_rest"
     source = F.col(text)
-    parsed = df.withColumn(
-        raw, F.try_parse_json(F.concat(F.lit("["), source, F.lit(',"'), F.md5(source), F.lit('"]')))
+    marker = F.md5(source)
+    parsed = evaluate_once(
+        df, raw, F.try_parse_json(F.concat(F.lit("["), source, F.lit(',"'), marker, F.lit('"]')))
     )
     fits = (
-        (F.try_variant_get(F.col(raw), "$[1]", "string") == F.md5(source))
+        (F.try_variant_get(F.col(raw), "$[1]", "string") == marker)
         & F.try_variant_get(F.col(raw), "$[2]", "variant").isNull()
     )
-    parsed = parsed.withColumn(out, F.when(fits, F.try_variant_get(F.col(raw), "$[0]", "variant"))).drop(raw)
+    parsed = evaluate_once(parsed, out, F.when(fits, F.try_variant_get(F.col(raw), "$[0]", "variant"))).drop(raw)
     parsed = parsed.withColumn(rest, _canonical_json()(F.when(F.col(out).isNull(), source)))
-    return parsed.withColumn(out, F.coalesce(F.col(out), F.try_parse_json(F.col(rest)))).drop(rest)
+    whole = F.coalesce(F.col(out), F.try_parse_json(F.col(rest)))
+    kept = [column for column in parsed.columns if column not in (out, rest)]
+    return evaluate_once(parsed, "__json_whole", whole).select(*kept, F.col("__json_whole").alias(out))
 
 
 def field(value: Column, name: str) -> Column:
@@ -101,7 +105,11 @@ def script_string(value: Column) -> Column:
         ),
         ",",
     )
-    return F.when(kind(value) == "ARRAY", joined).otherwise(_scalar_string(value))
+    return (
+        F.when(kind(value) == "STRING", text_of(value))
+        .when(kind(value) == "ARRAY", joined)
+        .otherwise(_scalar_string(value))
+    )
 
 
 def strings_of(value: Column) -> Column:
@@ -112,4 +120,5 @@ def strings_of(value: Column) -> Column:
 
 def string_or(value: Column, default: Column) -> Column:
     """String(value) when it is truthy, else the default."""
-    return F.coalesce(non_empty(F.when(truthy(value), script_string(value))), default)
+    text = F.when(kind(value) == "STRING", text_of(value)).when(truthy(value), script_string(value))
+    return F.coalesce(non_empty(text), default)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry import rules
-from repoquarry.operators.grouping import top_k_per_group
+from repoquarry.operators.grouping import spread_join, top_k_per_group
 
 REGISTRY_SCHEMA = (
     "repo_id string, ord bigint, type string, name string, file string, vs_code_agent string, "
@@ -136,11 +136,12 @@ def search_batch(
     an equi join; only pairs that share a gram are scored.  The query side is
     repeated over `salts` so that a common gram spreads over many tasks.  What
     needs no textual hit is added from a bounded list: root agents, which
-    always score, and everything for the empty query.
+    always score, and everything for the empty query.  Equal queries are
+    answered once.
     """
     _check_limit(k)
     entries = registry if type is None else registry.where(F.col("type") == type)
-    asked = queries.select("query_id", F.lower("query").alias("q"))
+    asked = queries.select(F.lower("query").alias("q")).distinct()
     texts = F.concat(
         F.array(F.lower("name"), F.lower("description"), F.coalesce(F.lower("category"), F.lit(""))),
         F.coalesce(F.transform("triggers", lambda t: F.lower(t)), F.array().cast("array<string>")),
@@ -159,9 +160,9 @@ def search_batch(
     )
     scored = filed.join(keyed, ["gram", "salt"]).withColumn("score", relevance(F.col("q")).cast("long"))
     bonus = F.when(is_root_agent(), rules.SCORE_ROOT_AGENT).otherwise(0)
-    matched = scored.where(F.col("score") > bonus).select("query_id", "score", "repo_id", "ord")
+    matched = scored.where(F.col("score") > bonus).select("q", "score", "repo_id", "ord")
     order = [F.col("score").desc(), F.col("repo_id"), F.col("ord")]
-    best = top_k_per_group(matched, ["query_id"], order, k, ["repo_id", "ord"]).drop("rank")
+    best = top_k_per_group(matched, ["q"], order, k, ["repo_id", "ord"]).drop("rank")
 
     pair = F.struct("repo_id", "ord", "score")
     roots = (
@@ -178,7 +179,9 @@ def search_batch(
             roots.agg(F.collect_list(pair)).scalar()
         ),
     )
-    extra = filled.select("query_id", F.explode("extra").alias("e")).select("query_id", "e.score", "e.repo_id", "e.ord")
-    # at most 2k rows per query; a matched root agent keeps its higher score
-    merged = best.unionByName(extra).groupBy("query_id", "repo_id", "ord").agg(F.max("score").alias("score"))
-    return top_k_per_group(merged, ["query_id"], order, k, ["repo_id", "ord"], salts=1)
+    extra = filled.select("q", F.explode("extra").alias("e")).select("q", "e.score", "e.repo_id", "e.ord")
+    # at most 2k rows per query text; a matched root agent keeps its higher score
+    merged = best.unionByName(extra).groupBy("q", "repo_id", "ord").agg(F.max("score").alias("score"))
+    answers = top_k_per_group(merged, ["q"], order, k, ["repo_id", "ord"], salts=1)
+    asking = queries.select("query_id", F.lower("query").alias("q"))
+    return spread_join(asking, answers, ["q"], "query_id").select("query_id", "rank", "score", "repo_id", "ord")

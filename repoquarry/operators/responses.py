@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 
 from repoquarry import rules
 from repoquarry.functions import json_values as js
+from repoquarry.functions.staging import evaluate_once
 from repoquarry.functions.text import utf16_length
-from repoquarry.operators.defaults import AGENT_TYPE, HOOK_TYPE, TOOL_TYPE
+from repoquarry.operators.defaults import HOOK_TYPE, TOOL_TYPE
 
-SKILL_TYPE = (
-    "struct<name:string,description:string,source_dir:string,patterns:array<string>,"
-    "triggers:array<string>,category:string,examples:array<string>>"
-)
 _NODE_TYPE = "struct<path:array<int>,nested:boolean,parent:variant,value:variant>"
 
 
@@ -118,7 +115,8 @@ def normalize_tools(tools: Column) -> Column:
     return F.coalesce(F.transform(js.elements(tools), one).cast(f"array<{TOOL_TYPE}>"), none)
 
 
-def _agent_of(node: Column) -> Column:
+def _agent_columns(node: Column) -> list[Column]:
+    # separate columns, not one struct: each is evaluated once
     value, parent = node["value"], node["parent"]
     names = F.transform(
         _children(value, lambda c: (js.kind(c) == "STRING") | _is_named_object(c)),
@@ -126,19 +124,20 @@ def _agent_of(node: Column) -> Column:
             js.script_string(js.field(c["value"], "name"))
         ),
     )
-    own_parent = js.field(value, "parentAgent")
     null = F.lit(None).cast("string")
-    return F.struct(
+    declared_parent = F.when(node["nested"], parent).otherwise(js.field(value, "parentAgent"))
+    no_tools = F.array().cast(f"array<{TOOL_TYPE}>")
+    return [
         js.string_or(js.field(value, "name"), F.lit("unknown")).alias("name"),
         js.string_or(js.field(value, "description"), F.lit("")).alias("description"),
         js.strings_of(js.field(value, "skills")).alias("skills"),
-        normalize_tools(js.field(value, "tools")).alias("tools"),
+        F.coalesce(normalize_tools(js.field(value, "tools")), no_tools).alias("tools"),
         (node["nested"] | js.truthy(js.field(value, "isSubAgent"))).alias("is_sub_agent"),
-        F.when(node["nested"], js.string_or(parent, null)).otherwise(js.string_or(own_parent, null)).alias("parent_agent"),
-        F.when(F.size(names) > 0, names).alias("sub_agents"),
+        js.string_or(declared_parent, null).alias("parent_agent"),
+        F.transform(F.array(names), lambda n: F.when(F.size(n) > 0, n))[0].alias("sub_agents"),
         js.strings_of(js.field(value, "triggers")).alias("triggers"),
         js.string_or(js.field(value, "sourceDir"), null).alias("source_dir"),
-    ).cast(AGENT_TYPE)
+    ]
 
 
 def _is_named_object(value: Column) -> Column:
@@ -154,8 +153,9 @@ def flatten_agents(df: DataFrame, agents: str = "agents", keys: tuple[str, ...]
     """
     nodes = _agent_nodes(F.col(agents), lambda v: js.kind(v).isin("OBJECT", "ARRAY"), _is_named_object)
     rows = df.select(*keys, F.posexplode(nodes).alias("ord", "__node"))
-    built = rows.withColumn("__agent", _agent_of(F.col("__node")))
-    return built.select(*keys, F.col("ord").cast("long").alias("ord"), F.col("__node.path").alias("path"), "__agent.*")
+    return rows.select(
+        *keys, F.col("ord").cast("long").alias("ord"), F.col("__node.path").alias("path"), *_agent_columns(F.col("__node"))
+    )
 
 
 def extract_tools(agents: DataFrame) -> DataFrame:
@@ -295,8 +295,8 @@ def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     """
     found = js.with_json(df.withColumn("__json", extract_json(F.col(response))), "__json", "body").drop("__json")
     not_json = F.array(F.lit("(json)"))
-    checked = found.withColumn(
-        "violations", F.when(F.col("body").isNull(), not_json).otherwise(violations(F.col("body")))
+    checked = evaluate_once(
+        found, "violations", F.when(F.col("body").isNull(), not_json).otherwise(violations(F.col("body")))
     )
     return checked.withColumn("valid", F.size("violations") == 0)
 
@@ -320,22 +320,24 @@ def _texts(value: Column) -> Column:
 def response_skills(parsed: DataFrame) -> DataFrame:
     """Skills of the valid responses, defaults filled in: (repo_id, ord, name, ...)."""
 
-    def one(skill):
-        return F.struct(
-            js.text_of(js.field(skill, "name")).alias("name"),
-            js.text_of(js.field(skill, "description")).alias("description"),
-            _text_or(js.field(skill, "sourceDir"), "").alias("source_dir"),
-            _texts(js.field(skill, "patterns")).alias("patterns"),
-            _texts(js.field(skill, "triggers")).alias("triggers"),
-            _text_or(js.field(skill, "category"), "patterns").alias("category"),
-            _texts(js.field(skill, "examples")).alias("examples"),
-        ).cast(SKILL_TYPE)
-
     rows = parsed.where("valid").select(
-        "repo_id", F.posexplode(js.elements(js.field(F.col("body"), "skills"))).alias("ord", "value")
+        "repo_id", F.posexplode(js.elements(js.field(F.col("body"), "skills"))).alias("ord", "__skill")
+    )
+
+    def part(name):
+        return js.field(F.col("__skill"), name)
+
+    return rows.select(
+        "repo_id",
+        F.col("ord").cast("long").alias("ord"),
+        js.text_of(part("name")).alias("name"),
+        js.text_of(part("description")).alias("description"),
+        _text_or(part("sourceDir"), "").alias("source_dir"),
+        _texts(part("patterns")).alias("patterns"),
+        _texts(part("triggers")).alias("triggers"),
+        _text_or(part("category"), "patterns").alias("category"),
+        _texts(part("examples")).alias("examples"),
     )
-    built = rows.withColumn("skill", one(F.col("value")))
-    return built.select("repo_id", F.col("ord").cast("long").alias("ord"), "skill.*")
 
 
 def hooks_of(body: Column) -> Column:

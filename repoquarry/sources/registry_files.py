@@ -61,12 +61,13 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_registry(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(entries, bad lines) from `(repo_id, ord, line)`.
+    """(entries, bad lines) from `(repo_id, ord, line)`; blank lines are neither.
 
     By default bad lines are set aside.  With `strict`, one bad line empties
     the whole registry it belongs to.
     """
-    parsed = js.with_json(lines, "line", "body")
+    filled = lines.where(strip_space(F.col("line")) != "")
+    parsed = js.with_json(filled, "line", "body")
     body = F.col("body")
 
     def text(key):

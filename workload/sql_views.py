@@ -138,7 +138,7 @@ VIEWS = {
     END AS content
   FROM documents""",
     "catalogue_lines": """
-  SELECT 'u' || user_id AS repo_id, event_id AS ord, event_id % 9 AS way, event_type, user_id,
+  SELECT 'u' || (event_id // 3) AS repo_id, event_id AS ord, event_id % 9 AS way, event_type, user_id,
     CASE event_id % 9
       WHEN 4 THEN '' WHEN 5 THEN props || ' x'
       WHEN 6 THEN '{"type":"","name":"' || event_type || '"}' WHEN 7 THEN props
@@ -146,7 +146,7 @@ VIEWS = {
     END AS line
   FROM events""",
     "session_events": """
-  SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, conv_id * 60 + turn * 30 AS at, type,
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, conv_id * 60 + turn * 30 AS secs, type,
          CASE WHEN type = 'assistant.message' THEN CASE WHEN conv_id % 2 = 0 THEN '' ELSE text END END AS content,
          CASE WHEN type = 'assistant.message_delta' THEN text END AS delta
   FROM (SELECT *, CASE WHEN turn < 2 OR role = 'system' THEN 'assistant.message_delta'
@@ -155,7 +155,7 @@ VIEWS = {
                        WHEN (conv_id + turn * 3) % 7 = 6 THEN 'assistant.message'
                        ELSE 'assistant.message_delta' END AS type FROM conversations)""",
     "timed_events": """
-  SELECT * FROM (SELECT *, min(at) OVER (PARTITION BY session_id) AS started FROM session_events) WHERE at < started + 120""",
+  SELECT * FROM (SELECT *, min(secs) OVER (PARTITION BY session_id) AS started FROM session_events) WHERE secs < started + 120""",
 }
 
 # views another view reads
