@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.operators import catalogue, defaults, documents, responses
 from repoquarry.operators.licensing import license_gate, metadata_gate
+from repoquarry.plans.storage import settle
 
 
 @dataclass
@@ -67,9 +68,19 @@ def route(profile: DataFrame, sessions: DataFrame, mode: str = "local") -> DataF
     return joined.withColumn("route", chosen)
 
 
-def analyse_local(profile: DataFrame, sessions: DataFrame, sep: str = "/") -> Analysis:
-    """Analyse checked-out repositories from their profile and session results."""
-    routed = route(profile, sessions, "local").withColumn("valid", F.col("route") == "model")
+def _routed(profile: DataFrame, sessions: DataFrame, mode: str, store: bool) -> DataFrame:
+    # every table of the analysis derives from these rows: parse and validate each response once
+    rows = route(profile, sessions, mode).drop("response", "violations")
+    return (settle(rows, "routed") if store else rows).withColumn("valid", F.col("route") == "model")
+
+
+def analyse_local(profile: DataFrame, sessions: DataFrame, sep: str = "/", store: bool = True) -> Analysis:
+    """Analyse checked-out repositories from their profile and session results.
+
+    With `store` the parsed responses are written once to shared storage, which
+    runs a job here; without it every table parses them again when it is read.
+    """
+    routed = _routed(profile, sessions, "local", store)
     heuristic = routed.where("NOT valid")
     by_default = defaults.default_hooks(F.col("language"), F.col("has_tests"))
     given = responses.hooks_of(F.col("body"))
@@ -89,10 +100,10 @@ def analyse_local(profile: DataFrame, sessions: DataFrame, sep: str = "/") -> An
     )
 
 
-def analyse_remote(profile: DataFrame, sessions: DataFrame, metadata: DataFrame) -> Analysis:
-    """Analyse exported repositories; `metadata` adds owner and name."""
+def analyse_remote(profile: DataFrame, sessions: DataFrame, metadata: DataFrame, store: bool = True) -> Analysis:
+    """Analyse exported repositories; `metadata` adds owner and name.  `store` as in `analyse_local`."""
     named = profile.join(metadata.select("repo_id", "owner", "repo"), "repo_id")
-    routed = route(named, sessions, "remote").withColumn("valid", F.col("route") == "model")
+    routed = _routed(named, sessions, "remote", store)
     heuristic = routed.where(F.col("route") == "heuristic")
     summary = (
         F.when(F.col("valid"), responses.response_summary(F.col("body")))

@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy row work when the input has fewer splits than there are cores.
+
+    A table of many files already has enough splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str | None], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
 
@@ -232,7 +241,8 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(size % 13 == 0, F.lit("no json at all"))
         .otherwise(F.concat(F.lit("Here it is:\n"), body, F.lit("\nDone.")))
     )
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("p"), key).alias("repo_id"), response.alias("response"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    return spread(rows).select(F.concat(F.lit("p"), key).alias("repo_id"), response.alias("response"))
 
 
 def part_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
