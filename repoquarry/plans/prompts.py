@@ -9,7 +9,7 @@ from repoquarry.functions.paths import truncate_content
 from repoquarry.operators import sampling
 from repoquarry.operators.grouping import ordered_concat
 
-_RESPONSE_FORMAT = """Answer with one JSON object:
+RESPONSE_FORMAT = """Answer with one JSON object:
 {"skills": [{"name", "description", "sourceDir", "patterns": [], "triggers": [], "category", "examples": []}],
  "agents": [{"name", "description", "skills": [], "tools": [], "isSubAgent", "parentAgent", "subAgents": [], "triggers": [], "sourceDir"}],
  "summary": ""}"""
@@ -63,7 +63,7 @@ def local_prompts(files: DataFrame, contents: DataFrame, profile: DataFrame) ->
         F.coalesce("paths", none),
         F.lit("\nSamples:"),
         F.coalesce("samples", none),
-        F.lit(_RESPONSE_FORMAT),
+        F.lit(RESPONSE_FORMAT),
     )
     names = F.transform("domains", lambda d: d["name"])
     return rows.select("repo_id", system_prompt(F.col("language"), names).alias("system"), prompt.alias("prompt"))
@@ -83,6 +83,6 @@ def remote_prompts(files: DataFrame, contents: DataFrame, profile: DataFrame) ->
         F.coalesce("paths", none),
         F.lit("\nFile contents:"),
         F.coalesce("samples", none),
-        F.lit("Nest sub-agents as objects.\n" + _RESPONSE_FORMAT),
+        F.lit("Nest sub-agents as objects.\n" + RESPONSE_FORMAT),
     )
     return rows.select("repo_id", system_prompt(F.col("language")).alias("system"), prompt.alias("prompt"))

@@ -420,7 +420,46 @@ FROM (SELECT *, unnest(generate_series(1, len(doms))) AS i FROM prof)"""
 _REMOTE_DIRS = """WITH d AS (SELECT repo_id, string_split(path, '/')[1] AS dir, min(ord) AS o FROM remote_files WHERE contains(path, '/') GROUP BY ALL),
 dirs AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY o) - 1 AS pos, dir FROM d WHERE dir IN ('src','lib','app','pkg','cmd'))"""
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NL = "chr(10)"
+_SYSTEM = "'Describe this ' || language || ' repository as skills, agents with sub-agents, and tools. Reply in JSON only.'"
+_LISTED = """listed AS (SELECT repo_id, string_agg(path, chr(10) ORDER BY ord) AS paths FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ord) AS rn FROM {view}) WHERE rn <= 100 GROUP BY repo_id)"""
+_BLOCK = "chr(10) || '--- ' || path || ' ---' || chr(10) || {content} || chr(10)"
+_PROMPTS_LOCAL = (
+    _LOCAL_PROFILE
+    + ", " + _LISTED.format(view="local_files")
+    + ", ordered AS (" + _SAMPLES + " SELECT * FROM ranked WHERE rank <= 20 AND size <= 10000)"
+    + f""", sampled AS (SELECT repo_id, string_agg({_BLOCK.format(content="content")}, '' ORDER BY rank) AS samples FROM ordered GROUP BY repo_id),
+configs AS (SELECT repo_id, string_agg(path, ', ' ORDER BY ord) AS config_files FROM local_files WHERE is_config GROUP BY repo_id),
+made AS (SELECT repo_id, {_SYSTEM} || CASE WHEN len(doms) > 0 THEN chr(10) || 'Potential domains detected: ' || array_to_string([x.name FOR x IN doms], ', ') ELSE '' END AS system,
+  'Language: ' || language || {_NL} || 'Framework: ' || CASE WHEN framework = '' THEN 'None' ELSE framework END || {_NL} || 'Source directories: '
+  || array_to_string(dirs, ', ') || {_NL} || 'Config files: ' || coalesce(config_files, '') || {_NL} || {_NL} || 'Files (first 100):' || {_NL} || coalesce(paths, '')
+  || {_NL} || {_NL} || 'Samples:' || {_NL} || coalesce(samples, '') || {_NL} || {_quoted(prompts.RESPONSE_FORMAT)} AS prompt
+  FROM prof LEFT JOIN listed USING (repo_id) LEFT JOIN configs USING (repo_id) LEFT JOIN sampled USING (repo_id))
+SELECT repo_id, system, md5(prompt) AS prompt_md5, length(prompt) AS prompt_length FROM made"""
+)
+_PROMPTS_REMOTE = (
+    "WITH langs AS (" + _vote("remote_files", "", "min(ord)") + "), "
+    + _LISTED.format(view="remote_files")
+    + ", chosen AS (" + _PRIORITY + " SELECT r.*, f.content FROM ranked r JOIN remote_files f USING (repo_id, ord) WHERE rank <= 15)"
+    + f""", sampled AS (SELECT repo_id, string_agg({_BLOCK.format(content="left(content, 5000)")}, '' ORDER BY rank) AS samples FROM chosen
+  WHERE content <> '' GROUP BY repo_id),
+fw AS (SELECT repo_id, CASE WHEN bool_or(path IN ('next.config.js', 'next.config.mjs')) THEN 'Next.js' WHEN bool_or(path = 'angular.json') THEN 'Angular'
+  WHEN bool_or(path = 'vue.config.js') THEN 'Vue' WHEN bool_or(path IN ('nuxt.config.ts', 'nuxt.config.js')) THEN 'Nuxt' END AS framework FROM remote_files GROUP BY repo_id),
+made AS (SELECT repo_id, {_SYSTEM} AS system, 'Language: ' || language || {_NL} || coalesce('Framework: ' || framework || {_NL}, '') || {_NL}
+  || 'Files (first 100):' || {_NL} || coalesce(paths, '') || {_NL} || {_NL} || 'File contents:' || {_NL} || coalesce(samples, '') || {_NL}
+  || {_quoted("Nest sub-agents as objects." + chr(10) + prompts.RESPONSE_FORMAT)} AS prompt
+  FROM langs LEFT JOIN fw USING (repo_id) LEFT JOIN listed USING (repo_id) LEFT JOIN sampled USING (repo_id))
+SELECT repo_id, system, md5(prompt) AS prompt_md5, length(prompt) AS prompt_length FROM made"""
+)
+
 SQL = {
+    "prompts_local": with_views(_PROMPTS_LOCAL, "local_files"),
+    "prompts_remote": with_views(_PROMPTS_REMOTE, "remote_files"),
     "license_classify": f"""SELECT doc_id, name <> '' AS detected, name,
   CASE WHEN name = 'Proprietary' THEN '' ELSE name END AS spdx_id, name NOT IN ('', 'Proprietary') AS permissive
 FROM (SELECT doc_id, {_LICENSE_CASE} AS name FROM (SELECT doc_id, lower(text) AS l FROM documents))""",
