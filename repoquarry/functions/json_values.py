@@ -85,31 +85,25 @@ def truthy(value: Column) -> Column:
     return ~F.coalesce(F.to_json(value), F.lit("null")).rlike(r'^(null|false|""|-?0(\.0*)?(E.*)?)\z')
 
 
+def _plain(value: Column) -> Column:
+    # numbers lose trailing zeros of the fraction; true, false and null print as in JSON
+    return F.regexp_replace(F.to_json(value), r"^(-?[0-9]+)(?:\.0*|(\.[0-9]*?[1-9])0*)\z", "$1$2")
+
+
 def _scalar_string(value: Column) -> Column:
-    whole = F.try_variant_get(value, "$", "decimal(38,0)")
-    number = F.try_variant_get(value, "$", "double")
     return (
-        F.when(kind(value) == "VOID", "null")
+        F.when(kind(value) == "STRING", text_of(value))
         .when(kind(value) == "OBJECT", "[object Object]")
-        .when(kind(value).isin("DECIMAL", "DOUBLE") & (whole.cast("double") == number) & (F.abs(number) < 1e21), whole.cast("string"))
-        .otherwise(text_of(value))
+        .otherwise(_plain(value))
     )
 
 
 def script_string(value: Column) -> Column:
     """String(value): arrays join their elements by comma, objects print as a tag."""
     joined = F.array_join(
-        F.transform(
-            elements(value),
-            lambda item: F.when(kind(item) == "VOID", "").otherwise(_scalar_string(item)),
-        ),
-        ",",
-    )
-    return (
-        F.when(kind(value) == "STRING", text_of(value))
-        .when(kind(value) == "ARRAY", joined)
-        .otherwise(_scalar_string(value))
+        F.transform(elements(value), lambda item: F.when(kind(item) == "VOID", "").otherwise(_scalar_string(item))), ","
     )
+    return F.when(kind(value) == "ARRAY", joined).otherwise(_scalar_string(value))
 
 
 def strings_of(value: Column) -> Column:

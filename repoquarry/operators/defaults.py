@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry import rules
+from repoquarry.operators.grouping import spread_join
 
 TOOL_TYPE = "struct<name:string,command:string,description:string>"
 HOOK_TYPE = "struct<name:string,event:string,description:string,commands:array<string>,condition:string>"
@@ -170,14 +171,21 @@ def summary_sentence(mode: str = "local") -> Column:
 
 
 def assign_by_prefix(
-    items: DataFrame, prefixes: DataFrame, keys: list[str], value: str, prefix: str, sep: str | None = None
+    items: DataFrame,
+    prefixes: DataFrame,
+    keys: list[str],
+    value: str,
+    prefix: str,
+    spread: str,
+    sep: str | None = None,
 ) -> DataFrame:
     """Left join each item to every `prefix` its `value` starts with, inside equal `keys`.
 
     A prefix join planned as an equi join: an item is expanded into its own
     prefixes (at most as many as it has characters) and meets the distinct
     prefixes on the full text, so nothing is compared pairwise within a key.
-    With `sep` only the value itself and `prefix + sep` count.
+    With `sep` only the value itself and `prefix + sep` count.  `spread` is a
+    column that differs between items, so many equal values share the work.
     """
     length = F.char_length(value)
     ends = F.sequence(F.lit(1), length)
@@ -189,6 +197,7 @@ def assign_by_prefix(
     own = F.transform(ends, lambda n: F.substring(F.col(value), F.lit(1), n))
     expanded = items.withColumn(prefix, F.explode_outer(F.when(length > 0, own)))
     known = prefixes.select(*keys, prefix).distinct()
-    matched = expanded.join(known, [*keys, prefix])
-    unmatched = items.join(matched.select(*keys, value).distinct(), [*keys, value], "left_anti")
+    matched = spread_join(expanded, known, [*keys, prefix], spread)
+    values = matched.select(*keys, value).distinct()
+    unmatched = spread_join(items, values, [*keys, value], spread, "left_anti")
     return matched.unionByName(unmatched.withColumn(prefix, F.lit(None).cast("string")))

@@ -104,10 +104,11 @@ def number_rows(
 def spread_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "inner", salts: int = 16
 ) -> DataFrame:
-    """Join a table that may be hot on `keys` to one with a single row per key.
+    """Join a table that may be hot on `keys` to one with few rows per key.
 
-    The single rows are repeated once per salt and the big side picks its salt
-    from `spread`, so a hot key meets its row in `salts` tasks instead of one.
+    The small side is repeated once per salt and the big side picks its salt
+    from `spread`, a column that differs between its rows, so a hot key is
+    joined in `salts` tasks instead of one.
     """
     salt = "__salt"
     salted = big.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.operators import catalogue, defaults, documents, responses
+from repoquarry.operators.grouping import spread_join
 from repoquarry.operators.licensing import license_gate, metadata_gate
 from repoquarry.plans.storage import settle
 
@@ -38,7 +39,12 @@ class Analysis:
     def only(self, allowed: DataFrame) -> Analysis:
         """The same tables for the given repositories."""
         keep = allowed.select("repo_id").distinct()
-        return Analysis(*[t.join(keep, "repo_id", "left_semi") for t in (self.repos, self.skills, self.agents, self.hooks)])
+
+        def kept(table: DataFrame) -> DataFrame:
+            return spread_join(table, keep, ["repo_id"], "ord", "left_semi")
+
+        repos = self.repos.join(keep, "repo_id", "left_semi")
+        return Analysis(repos, kept(self.skills), kept(self.agents), kept(self.hooks))
 
 
 def _hook_rows(rows: DataFrame, hooks: Column) -> DataFrame:

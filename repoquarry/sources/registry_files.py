@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.functions import json_values as js
 from repoquarry.functions.text import strip_space
+from repoquarry.operators.grouping import spread_join
 
 # JSON key -> column, in the order the keys are written
 FIELDS = (
@@ -95,5 +96,5 @@ def parse_registry(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, D
     bad = typed.where("bad").select("repo_id", "ord", "line")
     entries = typed.where("NOT bad").drop("bad", "line")
     if strict:
-        entries = entries.join(bad.select("repo_id").distinct(), "repo_id", "left_anti")
+        entries = spread_join(entries, bad.select("repo_id").distinct(), ["repo_id"], "ord", "left_anti")
     return entries, bad

@@ -164,10 +164,10 @@ def test_heuristic_agents(make_files):
 
 
 def test_assign_by_prefix(spark):
-    items = spark.createDataFrame([("r", "client/a"), ("r", "clients"), ("r", "client"), ("q", "client/a"), ("r", "")], "repo_id string, dir string")
+    items = spark.createDataFrame([("r", "client/a", 0), ("r", "clients", 1), ("r", "client", 2), ("q", "client/a", 3), ("r", "", 4)], "repo_id string, dir string, ord bigint")
     known = spark.createDataFrame([("r", "client"), ("r", "cli")], "repo_id string, p string")
-    loose = sorted((r["repo_id"], r["dir"], r["p"] or "") for r in defaults.assign_by_prefix(items, known, ["repo_id"], "dir", "p").collect())
+    loose = sorted((r["repo_id"], r["dir"], r["p"] or "") for r in defaults.assign_by_prefix(items, known, ["repo_id"], "dir", "p", "ord").collect())
     assert loose == [("q", "client/a", ""), ("r", "", ""), ("r", "client", "cli"), ("r", "client", "client"), ("r", "client/a", "cli"),
                      ("r", "client/a", "client"), ("r", "clients", "cli"), ("r", "clients", "client")]
-    strict = sorted((r["repo_id"], r["dir"], r["p"] or "") for r in defaults.assign_by_prefix(items, known, ["repo_id"], "dir", "p", "/").collect())
+    strict = sorted((r["repo_id"], r["dir"], r["p"] or "") for r in defaults.assign_by_prefix(items, known, ["repo_id"], "dir", "p", "ord", "/").collect())
     assert strict == [("q", "client/a", ""), ("r", "", ""), ("r", "client", "client"), ("r", "client/a", "client"), ("r", "clients", "")]

@@ -243,7 +243,7 @@ def _agent_columns(agents):
 def prefix_assign(spark, sf_dir):
     parts = views.table(spark, sf_dir, "part").select("p_partkey", F.lit("all").alias("repo_id"), F.col("p_brand").alias("source_dir"))
     known = parts.select("repo_id", F.col("source_dir").alias("prefix")).where(~F.col("prefix").endswith("5"))
-    got = defaults.assign_by_prefix(parts, known, ["repo_id"], "source_dir", "prefix")
+    got = defaults.assign_by_prefix(parts, known, ["repo_id"], "source_dir", "prefix", "p_partkey")
     return got.select("p_partkey", "source_dir", _text_or_empty("prefix"))
 
 
