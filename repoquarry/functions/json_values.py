@@ -44,17 +44,17 @@ def with_json(df: DataFrame, text: str, out: str) -> DataFrame:
     and repeated keys, is all that travels to the Arrow UDF; for the other rows
     the UDF column is NULL and the work stays in the JVM.
     """
-    raw, rest = "__json_raw", "__json_rest"
-    source = F.col(text)
-    marker = F.md5(source)
+    raw, rest, mark = "__json_raw", "__json_rest", "__json_mark"
+    source, marker = F.col(text), F.col(mark)
+    marked = evaluate_once(df, mark, F.md5(source))
     parsed = evaluate_once(
-        df, raw, F.try_parse_json(F.concat(F.lit("["), source, F.lit(',"'), marker, F.lit('"]')))
+        marked, raw, F.try_parse_json(F.concat(F.lit("["), source, F.lit(',"'), marker, F.lit('"]')))
     )
     fits = (
         (F.try_variant_get(F.col(raw), "$[1]", "string") == marker)
         & F.try_variant_get(F.col(raw), "$[2]", "variant").isNull()
     )
-    parsed = evaluate_once(parsed, out, F.when(fits, F.try_variant_get(F.col(raw), "$[0]", "variant"))).drop(raw)
+    parsed = evaluate_once(parsed, out, F.when(fits, F.try_variant_get(F.col(raw), "$[0]", "variant"))).drop(raw, mark)
     parsed = parsed.withColumn(rest, _canonical_json()(F.when(F.col(out).isNull(), source)))
     whole = F.coalesce(F.col(out), F.try_parse_json(F.col(rest)))
     kept = [column for column in parsed.columns if column not in (out, rest)]

@@ -16,6 +16,9 @@ REGISTRY_SCHEMA = (
 # agents are listed after every skill of their repository
 AGENT_OFFSET = 1 << 40
 GRAM = 3
+# batch search broadcasts its queries only when both hold, and shuffles them otherwise
+BROADCAST_QUERIES = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
 def build_registry(skills: DataFrame, agents: DataFrame | None = None) -> DataFrame:
@@ -119,10 +122,18 @@ def get_entry(registry: DataFrame, name: str) -> DataFrame:
     return registry.where(F.col("name") == name).orderBy("repo_id", "ord").limit(1)
 
 
-def _grams(text: Column, size: int) -> Column:
-    last = F.char_length(text) - size + 1
-    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+def _grams(text: Column, sizes: Column) -> Column:
+    """All character n-grams of a text for the given sizes."""
+    characters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+    def of_size(chars, n):
+        last = F.size(chars) - n + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
+
+    # the outer array binds the characters to a variable, so they are split once
+    nested = F.transform(F.array(characters), lambda chars: F.flatten(F.transform(sizes, lambda n: of_size(chars, n))))
+    return F.flatten(nested)
 
 
 def search_batch(
@@ -133,9 +144,10 @@ def search_batch(
     A substring can only occur where its own n-grams occur.  Every query is
     filed under one of its grams (three characters, or the whole query when it
     is shorter), every entry under all grams of its texts, and the two meet in
-    an equi join; only pairs that share a gram are scored.  The query side is
-    repeated over `salts` so that a common gram spreads over many tasks.  What
-    needs no textual hit is added from a bounded list: root agents, which
+    an equi join; only pairs that share a gram are scored.  Query texts that a
+    count shows to be few are broadcast, so entries are matched where they are
+    read; otherwise the query side is repeated over `salts`, and a common gram
+    spreads over many tasks.  What needs no textual hit is added from a bounded list: root agents, which
     always score, and everything for the empty query.  Equal queries are
     answered once.
     """
@@ -146,19 +158,24 @@ def search_batch(
         F.array(F.lower("name"), F.lower("description"), F.coalesce(F.lower("category"), F.lit(""))),
         F.coalesce(F.transform("triggers", lambda t: F.lower(t)), F.array().cast("array<string>")),
     )
-    sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
-    entry_grams = F.array_distinct(
-        F.flatten(F.transform(sizes, lambda n: F.flatten(F.transform(F.array_distinct(texts), lambda t: _grams(t, n)))))
-    )
+    gram = F.substring("q", 1, GRAM)
+    filled_in = asked.where("q <> ''")
+    # three numbers: how many queries, how long, and the sizes (at most GRAM) they are filed under
+    n_queries, n_bytes, lengths = filled_in.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("q")), F.lit(0)), F.collect_set(F.char_length(gram))
+    ).first()
+    small = n_queries <= BROADCAST_QUERIES and n_bytes <= BROADCAST_BYTES
+    salts = 1 if small else salts
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
+    entry_grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(texts), lambda t: _grams(t, sizes))))
     filed = entries.withColumn("salt", F.pmod(F.xxhash64("repo_id", "ord"), F.lit(salts))).withColumn(
         "gram", F.explode(entry_grams)
     )
     keyed = (
-        asked.where("q <> ''")
-        .withColumn("gram", F.substring("q", 1, GRAM))
+        filled_in.withColumn("gram", gram)
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     )
-    scored = filed.join(keyed, ["gram", "salt"]).withColumn("score", relevance(F.col("q")).cast("long"))
+    scored = filed.join(F.broadcast(keyed) if small else keyed, ["gram", "salt"]).withColumn("score", relevance(F.col("q")).cast("long"))
     bonus = F.when(is_root_agent(), rules.SCORE_ROOT_AGENT).otherwise(0)
     matched = scored.where(F.col("score") > bonus).select("q", "score", "repo_id", "ord")
     order = [F.col("score").desc(), F.col("repo_id"), F.col("ord")]

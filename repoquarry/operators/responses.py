@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repoquarry import rules
 from repoquarry.functions import json_values as js
-from repoquarry.functions.staging import evaluate_once
+from repoquarry.functions.staging import built_once, evaluate_once
 from repoquarry.functions.text import utf16_length
 from repoquarry.operators.defaults import HOOK_TYPE, TOOL_TYPE
 
@@ -115,8 +115,10 @@ def normalize_tools(tools: Column) -> Column:
     return F.coalesce(F.transform(js.elements(tools), one).cast(f"array<{TOOL_TYPE}>"), none)
 
 
-def _agent_columns(node: Column) -> list[Column]:
+@built_once
+def _agent_columns(column: str) -> list[Column]:
     # separate columns, not one struct: each is evaluated once
+    node = F.col(column)
     value, parent = node["value"], node["parent"]
     names = F.transform(
         _children(value, lambda c: (js.kind(c) == "STRING") | _is_named_object(c)),
@@ -134,6 +136,7 @@ def _agent_columns(node: Column) -> list[Column]:
         F.coalesce(normalize_tools(js.field(value, "tools")), no_tools).alias("tools"),
         (node["nested"] | js.truthy(js.field(value, "isSubAgent"))).alias("is_sub_agent"),
         js.string_or(declared_parent, null).alias("parent_agent"),
+        # the one-element array binds the names to a variable, so they are listed once
         F.transform(F.array(names), lambda n: F.when(F.size(n) > 0, n))[0].alias("sub_agents"),
         js.strings_of(js.field(value, "triggers")).alias("triggers"),
         js.string_or(js.field(value, "sourceDir"), null).alias("source_dir"),
@@ -144,6 +147,11 @@ def _is_named_object(value: Column) -> Column:
     return (js.kind(value) == "OBJECT") & js.field(value, "name").isNotNull()
 
 
+@built_once
+def _raw_agent_nodes(agents: str) -> Column:
+    return _agent_nodes(F.col(agents), lambda v: js.kind(v).isin("OBJECT", "ARRAY"), _is_named_object)
+
+
 def flatten_agents(df: DataFrame, agents: str = "agents", keys: tuple[str, ...] = ("repo_id",)) -> DataFrame:
     """Nested agents of VARIANT column `agents` as rows `(keys, ord, path, name, ...)` in pre-order.
 
@@ -151,10 +159,9 @@ def flatten_agents(df: DataFrame, agents: str = "agents", keys: tuple[str, ...]
     name references; entries that are neither, and nested objects without a
     name key, are dropped.
     """
-    nodes = _agent_nodes(F.col(agents), lambda v: js.kind(v).isin("OBJECT", "ARRAY"), _is_named_object)
-    rows = df.select(*keys, F.posexplode(nodes).alias("ord", "__node"))
+    rows = df.select(*keys, F.posexplode(_raw_agent_nodes(agents)).alias("ord", "__node"))
     return rows.select(
-        *keys, F.col("ord").cast("long").alias("ord"), F.col("__node.path").alias("path"), *_agent_columns(F.col("__node"))
+        *keys, F.col("ord").cast("long").alias("ord"), F.col("__node.path").alias("path"), *_agent_columns("__node")
     )
 
 
@@ -256,8 +263,10 @@ def _each(items: Column, check: Callable[[Column, Column], list[Column]], label:
     return F.coalesce(F.flatten(per_item), F.array().cast("array<string>"))
 
 
-def violations(root: Column) -> Column:
-    """Paths of everything in a response that breaks the schema; empty when it is valid."""
+@built_once
+def violations(body: str) -> Column:
+    """Paths of everything in the response in VARIANT column `body` that breaks the schema; empty when it is valid."""
+    root = F.col(body)
     agents = js.field(root, "agents")
     nodes = _agent_nodes(agents, lambda v: F.lit(True), lambda v: js.kind(v) != "STRING")
     agent_issues = F.flatten(
@@ -296,7 +305,7 @@ def parse_responses(df: DataFrame, response: str = "response") -> DataFrame:
     found = js.with_json(df.withColumn("__json", extract_json(F.col(response))), "__json", "body").drop("__json")
     not_json = F.array(F.lit("(json)"))
     checked = evaluate_once(
-        found, "violations", F.when(F.col("body").isNull(), not_json).otherwise(violations(F.col("body")))
+        found, "violations", F.when(F.col("body").isNull(), not_json).otherwise(violations("body"))
     )
     return checked.withColumn("valid", F.size("violations") == 0)
 

@@ -48,17 +48,20 @@ def test_list_and_get(registry):
     assert _names(catalogue.get_entry(registry, "Auth")) == []
 
 
-def test_batch_equals_single(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_batch_equals_single(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(catalogue, "BROADCAST_QUERIES", 2)
     rng = random.Random(7)
     words = ["auth", "api", "log", "db", "ui", "go", "test"]
     rows = []
     for i in range(120):
         kind = rng.choice(["skill", "agent"])
         name = "-".join(rng.sample(words, 2))
-        rows.append((f"r{i % 5}", i, kind, name, "f", None, f"About {rng.choice(words)} and {rng.choice(words)}", rng.choice(["security", None]),
+        rows.append((f"r{i % 5}", i, kind, name, "f", None, f"About {rng.choice(words)} and {rng.choice([*words, '日本語😀'])}", rng.choice(["security", None]),
                      rng.sample(words, rng.randint(0, 3)), None, None, rng.choice([True, False, None]) if kind == "agent" else None))
     registry = spark.createDataFrame(rows, catalogue.REGISTRY_SCHEMA).cache()
-    texts = ["auth", "API", "g", "", "zzz", "db-ui", "About log", "curity", "o"]
+    texts = ["auth", "API", "g", "", "zzz", "db-ui", "About log", "curity", "o", "日本語"]
     queries = spark.createDataFrame(list(enumerate(texts)) + [(99, "auth")], "query_id bigint, query string")
     for k, type_ in ((7, None), (3, "agent"), (0, None)):
         batch = {}

@@ -80,7 +80,7 @@ def registry_search_batch(spark, sf_dir):
         .when(size == 4, F.replace(F.col("p_name"), F.lit(" "), F.lit("-"))).otherwise(F.concat(F.lit("agent-"), F.col("p_size").cast("string")))
     )
     queries = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), text.alias("query"))
-    got = catalogue.search_batch(_registry(spark, sf_dir), queries, k=10)
+    got = catalogue.search_batch(views.spread(_registry(spark, sf_dir)), queries, k=10)
     return got.select("query_id", F.col("rank").cast("long").alias("rank"), "score", "repo_id", "ord")
 
 
