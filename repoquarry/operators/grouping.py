@@ -56,6 +56,7 @@ def ordered_concat(
     separator: str = "",
     sections: Sequence[str] = (),
     chunk: int = CHUNK,
+    sliced: bool = False,
 ) -> DataFrame:
     """Concatenate `text` per key in (sections, position) order.
 
@@ -63,11 +64,16 @@ def ordered_concat(
     of `chunk` positions never gathers more than `chunk` rows; the second pass
     joins the slices into the one output value the caller asked for.
     """
-    pieces = concat_slices(df, keys, position, text, separator, sections, chunk)
+    pieces = concat_slices(df, keys, position, text, separator, sections, chunk, sliced)
     order = F.struct(*sections, "slice")
     return pieces.groupBy(*keys).agg(_joined(order, text, separator).alias(text))
 
 
+def slice_of(position: str, chunk: int = CHUNK) -> Column:
+    """Number of the slice of `chunk` positions a row belongs to."""
+    return F.floor(F.col(position) / F.lit(chunk)).cast("long")
+
+
 def concat_slices(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,10 +82,15 @@ def concat_slices(
     separator: str = "",
     sections: Sequence[str] = (),
     chunk: int = CHUNK,
+    sliced: bool = False,
 ) -> DataFrame:
-    """The slices of `ordered_concat`, for values too long to be one row: (keys, sections, slice, text)."""
-    sliced = df.withColumn("slice", F.floor(F.col(position) / F.lit(chunk)).cast("long"))
-    return sliced.groupBy(*keys, *sections, "slice").agg(_joined(F.col(position), text, separator).alias(text))
+    """The slices of `ordered_concat`, for values too long to be one row: (keys, sections, slice, text).
+
+    `sliced` says that the table has its `slice` column already; one that is
+    partitioned by it is not shuffled again.
+    """
+    pieces = df if sliced else df.withColumn("slice", slice_of(position, chunk))
+    return pieces.groupBy(*keys, *sections, "slice").agg(_joined(F.col(position), text, separator).alias(text))
 
 
 def number_rows(
@@ -92,7 +103,7 @@ def number_rows(
     numbered inside their slice only.  `position` is an integer, unique per key.
     """
     slice_col, offset = "__slice", "__offset"
-    sliced = df.withColumn(slice_col, F.floor(F.col(position) / F.lit(chunk)).cast("long"))
+    sliced = df.withColumn(slice_col, slice_of(position, chunk))
     counts = sliced.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, slice_col, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(offset))

@@ -55,7 +55,8 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     `ord` is a position that grows with the offset in the file set; blank lines
     are dropped.
     """
-    lines = spark.read.text(path).where(strip_space(F.col("value")) != "")
+    # the schema keeps identifiers that look like numbers as text
+    lines = spark.read.schema("value string, repo_id string").text(path).where(strip_space(F.col("value")) != "")
     return lines.select(
         "repo_id", F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")
     )

@@ -73,8 +73,8 @@ def test_batch_equals_single(spark, monkeypatch, broadcast):
 
 
 def test_build_and_lines(spark, tmp_path):
-    skills = spark.createDataFrame([("r", 0, "s", "d", "patterns", ["t"])], "repo_id string, ord bigint, name string, description string, category string, triggers array<string>")
-    agents = spark.createDataFrame([("r", 0, "a", "d", ["t"], None, ["x"], False)],
+    skills = spark.createDataFrame([("2024", 0, "s", "d", "patterns", ["t"])], "repo_id string, ord bigint, name string, description string, category string, triggers array<string>")
+    agents = spark.createDataFrame([("2024", 0, "a", "d", ["t"], None, ["x"], False)],
                                    "repo_id string, ord bigint, name string, description string, triggers array<string>, parent_agent string, sub_agents array<string>, is_sub_agent boolean")
     built = catalogue.build_registry(skills, agents)
     lines = [r["l"] for r in built.orderBy("ord").select(registry_files.registry_line().alias("l")).collect()]
@@ -86,6 +86,7 @@ def test_build_and_lines(spark, tmp_path):
     registry_files.write_registry(built, path)
     entries, bad = registry_files.parse_registry(registry_files.read_registry(spark, path))
     assert sorted(_names(entries)) == ["a", "s"] and bad.count() == 0
+    assert {r["repo_id"] for r in entries.collect()} == {"2024"}
     assert _names(catalogue.build_registry(skills)) == ["s"]
 
 

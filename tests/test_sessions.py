@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoquarry.operators import sessions
+from repoquarry.operators.grouping import CHUNK
 from repoquarry.plans.storage import settle, working_dir
 from repoquarry.sources import session_events
 from repoquarry.streaming.sessions import run_available, stream_sessions
@@ -67,7 +68,7 @@ def test_partitioning_changes_nothing(events):
 
 
 def test_slices_make_up_the_text(spark):
-    n = sessions.concat_slices.__defaults__[-1] * 2 + 5
+    n = CHUNK * 2 + 5
     rows = spark.range(n).select(F.lit("s").alias("session_id"), F.col("id").alias("seq"), F.lit(START).alias("ts"), F.lit(DELTA).alias("type"),
                                  F.lit(None).cast("string").alias("content"), (F.col("id") % 10).cast("string").alias("delta"))
     slices = sessions.session_slices(rows).orderBy("slice").collect()
@@ -98,3 +99,18 @@ def test_shared_storage(spark):
     assert folder.startswith(spark.conf.get("spark.checkpoint.dir"))
     kept = settle(spark.range(5))
     assert kept.count() == 5 and "parquet" in kept._jdf.queryExecution().toString().lower()
+
+
+def test_text_is_shuffled_once(spark, events, tmp_path):
+    path = str(tmp_path / "events")
+    events.write.parquet(path)
+    stored = spark.read.schema(session_events.EVENTS_SCHEMA).parquet(path)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = sessions.session_slices(stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    # the join leaves rows where the concatenation of their slice needs them
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
