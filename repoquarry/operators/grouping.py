@@ -94,17 +94,24 @@ def concat_slices(
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], position: str, out: str, chunk: int = CHUNK * 16
+    df: DataFrame,
+    keys: Sequence[str],
+    position: str,
+    out: str,
+    chunk: int = CHUNK * 16,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Exact 1-based row number per key in `position` order, without one task per key.
 
     Rows are counted per slice of `chunk` positions (a partial aggregation), a
     window over those few counts gives each slice its offset, and rows are
     numbered inside their slice only.  `position` is an integer, unique per key.
+    `counted` is a cheaper table with the same keys and positions, if there is one.
     """
     slice_col, offset = "__slice", "__offset"
     sliced = df.withColumn(slice_col, slice_of(position, chunk))
-    counts = sliced.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("__n"))
+    source = df if counted is None else counted
+    counts = source.groupBy(*keys, slice_of(position, chunk).alias(slice_col)).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, slice_col, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(offset))
     inside = Window.partitionBy(*keys, slice_col).orderBy(position)

@@ -114,19 +114,21 @@ def hook_findings(files: DataFrame) -> DataFrame:
 def line_findings(lines: DataFrame) -> DataFrame:
     """Registry lines `(repo_id, ord, line)`: JSON with a name and a type, numbered among non-blank lines."""
     filled = lines.where(strip_space(F.col("line")) != "")
-    numbered = number_rows(filled, ["repo_id"], "ord", "number")
-    parsed = js.with_json(numbered, "line", "body")
-    label = F.concat(F.lit("skills-registry.jsonl line "), F.col("number").cast("string"))
+    parsed = js.with_json(filled, "line", "body")
     body = F.col("body")
     # reading a member of null fails where the line is otherwise valid JSON
     valid = body.isNotNull() & (js.kind(body) != "VOID")
     named = js.truthy(js.field(body, "name")) & js.truthy(js.field(body, "type"))
+    # judged where they are read; only two flags per line are shuffled to be numbered
+    judged = parsed.select("repo_id", "ord", valid.alias("valid"), named.alias("named"))
+    numbered = number_rows(judged, ["repo_id"], "ord", "number", counted=filled.select("repo_id", "ord"))
+    label = F.concat(F.lit("skills-registry.jsonl line "), F.col("number").cast("string"))
     return _explode(
-        parsed,
+        numbered,
         "registry",
         [
-            _finding(~valid, ERROR, label, ": Invalid JSON"),
-            _finding(valid & ~named, ERROR, label, ": Missing 'name' or 'type'"),
+            _finding(~F.col("valid"), ERROR, label, ": Invalid JSON"),
+            _finding(F.col("valid") & ~F.col("named"), ERROR, label, ": Missing 'name' or 'type'"),
         ],
     )
 

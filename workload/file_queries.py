@@ -16,7 +16,7 @@ _text_or_empty = lambda name: F.coalesce(F.col(name), F.lit("")).alias(name)  #
 
 
 def license_classify(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = views.spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = lic.classify_license(docs, "text")
     return found.select(
         "doc_id",
@@ -28,7 +28,7 @@ def license_classify(spark, sf_dir):
 
 
 def license_gate_by_source(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("source", "text")
+    docs = views.spread(views.table(spark, sf_dir, "documents").select("source", "text"))
     found = lic.classify_license(docs, "text")
     permissive = lic.is_permissive(F.col("license.spdx_id"))
     return found.groupBy("source").agg(

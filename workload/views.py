@@ -308,7 +308,8 @@ def catalogue_lines(spark: SparkSession, sf_dir: str, by_type: bool = False) ->
             )
         )
     )
-    return table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"))
+    return events.select(
         (F.col("event_type") if by_type else F.concat(F.lit("u"), _div("event_id", 3).cast("string"))).alias("repo_id"),
         F.col("event_id").alias("ord"),
         line.alias("line"),
