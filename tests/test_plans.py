@@ -22,7 +22,7 @@ def stored_files(spark, make_files, tmp_path_factory):
 
 
 # every registered query with a join in it, but for those that run a job while they are built
-JOINING = """license_resolution framework_manifests sample_contents priority_files prompts_local prompts_remote repo_profiles
+JOINING = """license_resolution framework_manifests sample_contents prompts_local prompts_remote repo_profiles
 heuristic_agents prefix_assign response_routing registry_scan_strict registry_search_batch root_agent_documents
 sub_agent_documents instruction_documents rendered_assets managed_merge testing_info run_summary registry_findings_large
 validate_rollup session_assemble session_assemble_local session_timeouts""".split()
