@@ -2,29 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def working_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster names in `spark.checkpoint.dir`.
+def shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is used.
+    Where that is unset, a folder beside the warehouse is taken if everything
+    runs in one process (`local` masters, as in tests); on a cluster the
+    missing setting is an error, because executors share no local folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_working"
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
-def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+def working_dir(spark: SparkSession, name: str, root: str | None = None) -> str:
+    """Path of a fresh folder below `root`, or below the shared folder of the cluster."""
+    return f"{(root or shared_root(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "settled", root: str | None = None) -> DataFrame:
     """Write a result that several tables are derived from once, and read it back.
 
     The copy lies on shared storage, so it outlives any executor and cuts the
-    lineage of everything built on it.
+    lineage of everything built on it.  `discard` removes it.
     """
-    path = working_dir(df.sparkSession, name)
+    path = working_dir(df.sparkSession, name, root)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a working folder made by `working_dir` or `settle`."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
