@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import language_id, packing, quality_rules, toxicity
+from repoquarry.llm import language_id, minhash, packing, quality_rules, toxicity
 from repoquarry.llm.common import remainder, table
 
 
@@ -15,6 +15,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
+    documents = table(spark, sf_dir, "documents")
+    found = minhash.near_duplicates(documents, size=3, threshold=(100, 85))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of power-of-two length."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -51,9 +58,38 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
+
+SQL["op4_minhash_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+    FROM words
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+links AS (SELECT x AS u, y AS v FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT reach.doc_id, links.v FROM reach JOIN links ON links.u = reach.other
+)
+SELECT sets.doc_id, len(s) AS n_shingles, component_id, sets.doc_id = component_id AS kept
+FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
