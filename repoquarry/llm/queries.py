@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import language_id, minhash, packing, quality_rules, toxicity
+from repoquarry.llm import decontamination, language_id, minhash, packing, quality_rules, toxicity, warc_zip
 from repoquarry.llm.common import remainder, table
 
 
@@ -15,6 +15,26 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to ZIP-packaged WARC archives and read back by range."""
+    found = warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
+
+    def number(urn: str) -> Column:
+        return F.regexp_extract(urn, "^<urn:record:(-?[0-9]+)>$", 1).try_cast("bigint")
+
+    return found.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"), "intact",
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items that documents repeat: a row for each document and item."""
+    shards = decontamination.build_shards(table(spark, sf_dir, "benchmark"))
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), shards)
+    return found.select("doc_id", F.inline("hits"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
     documents = table(spark, sf_dir, "documents")
@@ -58,10 +78,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}
@@ -93,3 +115,12 @@ reach(doc_id, other) AS (
 SELECT sets.doc_id, len(s) AS n_shingles, component_id, sets.doc_id = component_id AS kept
 FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
+
+SQL["op2_warc"] = """
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+last AS (SELECT body, max(page_id) AS last FROM rows WHERE octet_length(body) >= 1000 GROUP BY body)
+SELECT page_id, octet_length(rows.body)::BIGINT AS payload_bytes, sha1(rows.body) AS payload_digest,
+    CASE WHEN last IS NULL OR last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN last <> page_id THEN last END AS refers_to, TRUE AS intact
+FROM rows LEFT JOIN last USING (body)
+"""
