@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import decontamination, language_id, minhash, packing, quality_rules, toxicity, warc_zip
+from repoquarry.llm import decontamination, language_id, licence_scan, minhash, packing, pii, quality_rules, toxicity, warc_zip
 from repoquarry.llm.common import remainder, table
+from repoquarry.llm.spans import listed
 
 
 def tokenizer_path() -> str:
@@ -35,6 +36,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("hits"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and signatures of all documents."""
+    found = licence_scan.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    every = F.flatten(F.map_values("places"))
+    base = F.array_sort(F.map_keys(F.map_filter("places", lambda _, p: F.size(p) > 0)))
+    return found.select(
+        "doc_id", "n_words", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).alias("first_word"),
+        F.array_max(every).alias("last_word"), F.array_join(base, ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
+    )
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
     documents = table(spark, sf_dir, "documents")
@@ -45,15 +57,28 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as pieces of power-of-two length."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.with_crc32(packing.pack(documents, tokenizer_path()))
+    return packing.pack(documents, tokenizer_path(), checksums=True)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("findings", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, ("email", "ip", "card", "phone")),
+        F.sha2(listed(base, lambda s: s["kind"]), 256).alias("base_sha256"), listed(F.col("findings"), lambda s: s["kind"]).alias("spans"),
+    )
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learnt on the rows outside the held-out fold."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
-    seen = labels.where(F.col("toxic").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    machine = toxicity.fit(documents.select("doc_id", "text").join(seen, "doc_id"))
+    machine = toxicity.fit(documents, labels.where(~held_out))
     scored = toxicity.score(documents, machine)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -79,8 +104,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_license_scan": op3_license_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
