@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,3 +43,9 @@ def pieces(texts: list) -> Iterator[tuple[int, int]]:
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the column as text, modulo `modulus`: the fold of a row."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, across its tasks."""
+    name = "repoquarry_worker_cache"
+    return sys.modules.setdefault(name, ModuleType(name)).__dict__

@@ -186,7 +186,7 @@ def find_leaks(
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(shards)
     source = df.drop(out)
-    at = source.columns.index(text)
+    at, names = source.columns.index(text), [*source.columns, out]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,6 +209,6 @@ def find_leaks(
                             now = better | {"passages": best["passages"] + 1}
                         found[start + row][index.ids[item]] = now
             hits = pa.array([[h[i] for i in sorted(h)] for h in found], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=[*source.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=names)
 
     return source.mapInArrow(run, f"{types}, `{out}` {HITS}")

@@ -17,14 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repoquarry.llm.common import pieces, prepare
+from repoquarry.llm.common import pieces, prepare, worker_cache
 
 LIMIT = 2048
-CACHE_WORDS = 1_000_000
-SCHEMA = (
-    "start bigint, length bigint, ids array<int>, doc_tokens bigint, sequence_id bigint, offset bigint, "
-    "batch bigint"
-)
+CACHE_WORDS = 700_000
+NAMES = ("start", "length", "ids", "doc_tokens", "sequence_id", "offset", "batch")
+
+
+class _Table(dict):
+    """Entry number of each string; a new string gets the next one and is noted."""
+
+    def __init__(self, owner: _Encoder):
+        super().__init__()
+        self.owner, self.new = owner, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = self.owner.entries
+        self.owner.entries += 1
+        self.new.append(word)
+        return number
 
 
 class _Encoder:
@@ -51,77 +62,85 @@ class _Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.spaced: dict[str, int] = {}  # word after a space: entry, or -1 where white space stands together
-        self.plain: dict[str, int] = {}  # any other part of a text
-        self.parts: dict[str, np.ndarray] = {}
-        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used, self.entries = np.zeros(1 << 18, np.int32), 0, 0
+        self.entries = self.used = 0
+        self.spaced, self.plain = _Table(self), _Table(self)  # words after a space; any other part of a text
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)  # count -1: white space together
+        self.flat = np.zeros(1 << 18, np.int32)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, spaced: list[str], plain: list[str]) -> None:
-        cut, wanted = [], {}
-        for lead, word in [*((" ", w) for w in spaced), *(("", w) for w in plain)]:
-            if lead and (not word or word[0].isspace() or word[-1].isspace()):
-                self.spaced[word] = -1
-                continue
-            found = self._letters.match(word)
-            at = found.end() if found else len(word)
-            pair = (lead + word[:at], word[at:])
-            cut.append((self.spaced if lead else self.plain, word, pair))
-            wanted.update((part, None) for part in pair if part and part not in self.parts)
-        simple = [part for part in wanted if part[0] == " " and part[1:].isalpha()]
+    def _learn(self) -> None:
+        """Fill in the entries of all new strings."""
+        words, self.spaced.new = self.spaced.new, []
+        simple, joined, direct = [], [], []
+        for word in words:
+            number = self.spaced[word]
+            if not word or word[0].isspace() or word[-1].isspace():
+                self._put(number, None)
+            elif word.isalpha():
+                simple.append(word)
+            elif found := self._letters.match(word):
+                joined.append((number, self.spaced[word[: found.end()]], self.plain[word[found.end() :]]))
+            else:
+                direct.append(word)
+        simple += self.spaced.new  # heads that were new as well
+        self.spaced.new = []
         if simple:  # one call for all: each begins with the only token that starts with a space
-            ids = self._encode(["".join(simple)])[0]
-            for part, piece in zip(simple, np.split(ids, np.flatnonzero(self.opens[ids])[1:]), strict=True):
-                self.parts[part] = piece
-                del wanted[part]
-        self.parts.update(zip(wanted, self._encode(list(wanted)), strict=True))
-        for table, word, pair in cut:
-            table[word] = self._store([self.parts[part] for part in pair if part])
-
-    def _store(self, parts: list[np.ndarray]) -> int:
-        i, size = self.entries, sum(map(len, parts))
-        if self.used + size > len(self.flat):
-            self.flat = np.resize(self.flat, max(self.used + size, 2 * len(self.flat)))
-        if i >= len(self.begin):
-            self.begin, self.count = np.resize(self.begin, 2 * i), np.resize(self.count, 2 * i)
-        self.begin[i], self.count[i] = self.used, size
-        for part in parts:
-            self.flat[self.used : self.used + len(part)] = part
-            self.used += len(part)
-        self.entries += 1
-        return i
+            ids = self._encode([" " + " ".join(simple)])[0]
+            for word, piece in zip(simple, np.split(ids, np.flatnonzero(self.opens[ids])[1:]), strict=True):
+                self._put(self.spaced[word], piece)
+        parts = [(self.spaced[word], " " + word) for word in direct] + [(self.plain[word], word) for word in self.plain.new]
+        self.plain.new = []
+        for (number, _), piece in zip(parts, self._encode([part for _, part in parts]), strict=True):
+            self._put(number, piece)
+        for number, head, tail in joined:
+            self._put(number, np.concatenate([self.flat[self.begin[i] : self.begin[i] + self.count[i]] for i in (head, tail)]))
+
+    def _put(self, number: int, ids: np.ndarray | None) -> None:
+        if number >= len(self.begin):
+            self.begin, self.count = (np.resize(x, max(number + 1, 2 * len(x))) for x in (self.begin, self.count))
+        if ids is None:
+            self.count[number] = -1
+            return
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
+        self.begin[number], self.count[number] = self.used, len(ids)
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.entries > CACHE_WORDS:
             self.clear()
-        split = [text.split(" ") if text else [] for text in texts]
-        spaced, plain = self.spaced, self.plain
-        new = {word for words in split for word in words[1:] if word not in spaced}
-        self._learn(list(new), [w for w in {words[0] for words in split if words} if w not in plain])
+        entries = []
+        for text in texts:
+            first, *rest = text.split(" ")
+            at = np.empty(len(rest) + 1, np.int64)
+            at[0] = self.plain[first]
+            at[1:] = np.fromiter(map(self.spaced.__getitem__, rest), np.int64, len(rest))
+            entries.append(at)
+        self._learn()
+        wide = [k for k, at in enumerate(entries) if (self.count[at] < 0).any() or texts[k][:1] == " "]
+        for k in wide:  # white space side by side: cut only before single spaces
+            cuts = [m.start() for m in self._gap.finditer(texts[k])]
+            words = [texts[k][a:b] for a, b in zip([0, *cuts], [*cuts, len(texts[k])], strict=True)]
+            clear = [i > 0 and not word[-1].isspace() for i, word in enumerate(words)]
+            entries[k] = np.array([self.spaced[w[1:]] if c else self.plain[w] for w, c in zip(words, clear, strict=True)], np.int64)
+        self._learn()
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if not words:
-                out.append(np.zeros(0, np.int32))
-                continue
-            at = np.fromiter(map(spaced.__getitem__, words[1:]), np.int64, len(words) - 1)
-            if (at < 0).any() or not words[0]:
-                at = self._slow(text)
-            else:
-                at = np.concatenate([[plain[words[0]]], at])
+        for at in entries:
             counts = self.count[at]
-            ends = np.cumsum(counts)
+            ends = np.cumsum(counts, dtype=np.int64)
             out.append(self.flat[np.repeat(self.begin[at] - (ends - counts), counts) + np.arange(ends[-1])])
         return out
 
-    def _slow(self, text: str) -> np.ndarray:
-        """The same for a text with white space side by side: cut only before single spaces."""
-        cuts = [m.start() for m in self._gap.finditer(text)]
-        words = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        self._learn([], [w for w in dict.fromkeys(words) if w not in self.plain])
-        return np.fromiter(map(self.plain.__getitem__, words), np.int64, len(words))
+
+def _encoder(path: str) -> _Encoder:
+    """The worker's encoder for a tokenizer file; its table outlives tasks."""
+    held = worker_cache()
+    if ("encoder", path) not in held:
+        held["encoder", path] = _Encoder(path)
+    return held["encoder", path]
 
 
 def binary_lengths(n: int, limit: int = LIMIT) -> list[int]:
@@ -137,6 +156,7 @@ def pack(
     end_id: int = 1,
     limit: int = LIMIT,
     batch_tokens: int = 1 << 17,
+    checksums: bool = False,
 ) -> DataFrame:
     """One row per piece: the other columns of `df` with `ids`, `start`, `length`, `sequence_id`, `offset`, `batch`.
 
@@ -144,13 +164,15 @@ def pack(
     whole text and `end_id`; null text counts as empty, so every row has at least one piece.  `start` counts the
     document's ids before the piece, `doc_tokens` all of them.  `sequence_id` is unique; it and `batch`
     (up to `batch_tokens` ids in sequences of one length) are numbered within each input partition, so nothing is
-    shuffled or counted beforehand and a task that runs again yields the same numbers.  Columns of `df` named like
+    shuffled or counted beforehand and a task that runs again yields the same numbers.  With `checksums` the ids are
+    replaced by `ids_crc32`, the unsigned CRC-32 of their little-endian unsigned 32-bit form.  Columns of `df` named like
     an output are dropped; repeated rows are packed each.
     """
     if limit & (limit - 1) or limit < 1:
         raise ValueError("limit must be a power of two")
     prepare(df.sparkSession)
-    made = {field.split()[0] for field in SCHEMA.split(", ")}
+    made = ["ids_crc32" if checksums and name == "ids" else name for name in NAMES]
+    schema = ", ".join(f"{name} {'array<int>' if name == 'ids' else 'bigint'}" for name in made)
     kept = [name for name in df.columns if name not in made and name != text]
     source = df.select(*kept, F.col(text).alias("__text"))
     types = ", ".join(f"`{name}` {source.schema[name].dataType.simpleString()}" for name in kept)
@@ -158,7 +180,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, base = _Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, base = _encoder(tokenizer), TaskContext.get().partitionId() << 40
         seen, filled, open_batch, batches_made = 0, {}, {}, 0
         for batch in batches:
             texts = [text or "" for text in batch.column(len(kept)).to_pylist()]
@@ -185,26 +207,13 @@ def pack(
                 carried = pa.RecordBatch.from_arrays(batch.columns[:-1], names=kept).take(pa.array(rows, pa.int64())) if kept else None
                 columns = [carried.column(i) for i in range(len(kept))]
                 columns += [pa.array(start, pa.int64()), pa.array(length, pa.int64())]
-                columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                if checksums:
+                    columns += [pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
+                else:
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
                 columns += [pa.array(tokens, pa.int64()), pa.array(base + np.arange(seen, seen + n), pa.int64())]
                 columns += [pa.array(np.zeros(n, np.int64)), pa.array(number, pa.int64())]
                 seen += n
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *[f.split()[0] for f in SCHEMA.split(", ")]])
-
-    return source.mapInArrow(run, f"{types}, {SCHEMA}" if kept else SCHEMA)
-
-
-def with_crc32(df: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:
-    """Replace the ids by the unsigned CRC-32 of their little-endian unsigned 32-bit form."""
-    kept = [name for name in df.columns if name != ids]
-    types = ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in kept)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(len(kept))
-            values = np.asarray(lists.flatten()).astype("<u4")
-            bounds = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))])
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.int64())], names=[*kept, out])
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
 
-    return df.select(*kept, ids).mapInArrow(run, f"{types}, {out} bigint")
+    return source.mapInArrow(run, f"{types}, {schema}" if kept else schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import decontamination, language_id, licence_scan, minhash, packing, pii, quality_rules, toxicity, warc_zip
+from repoquarry.llm import decontamination, language_id, licence_scan, minhash, packing, pii, quality_rules, secret_scan, toxicity, warc_zip
 from repoquarry.llm.common import remainder, table
 from repoquarry.llm.spans import listed
 
@@ -16,6 +16,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All secret candidates of all documents with the forest's score and verdict: a row for each."""
+    forest = secret_scan.train(secret_scan.labelled_examples(spark))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secret_scan.scan_secrets(documents, forest, path="source").select("doc_id", F.inline("findings"))
+    return found.withColumn("match", F.sha2("match", 256)).withColumnRenamed("match", "fingerprint")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to ZIP-packaged WARC archives and read back by range."""
     found = warc_zip.round_trip(spark, table(spark, sf_dir, "pages"))
@@ -103,6 +111,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
     "op3_license_scan": op3_license_scan,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,

@@ -115,15 +115,19 @@ def train(rows: list[np.ndarray], y: np.ndarray, features: int = FEATURES, facto
     return Machine(known, float(b), w, v)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, **options) -> Machine:
-    """Train on rows with a label; of more than `sample_rows`, those with the smallest hash of text and label are taken.
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, **options) -> Machine:
+    """Train on the texts of labelled keys.
 
-    Terms are taken from the texts on the executors; the driver gets the numbers of at most `sample_rows` rows.
-    Without rows of a class the machine gives that class's prior.
+    Of more than `sample_rows` labels, those with the smallest hash of their key are taken; that bounds the broadcast
+    side of the join, so texts are not shuffled, and what the driver gets, the term numbers of those rows.  A key with
+    several labels counts with the largest; rows without key or label are left out.  Without rows of a class the
+    machine gives the other class's prior.
     """
-    prepare(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isNotNull()).select(F.col(text).alias("__text"), F.col(label).cast("int").alias("__y"))
-    chosen = rows.orderBy(F.xxhash64("__text", "__y"), "__y", F.md5("__text")).limit(sample_rows) if sample_rows else rows
+    prepare(df.sparkSession)
+    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+    marked = marked.agg(F.max(label).cast("int").alias("__y")).orderBy(F.xxhash64("__key"), "__key").limit(sample_rows)
+    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    chosen = rows.join(F.broadcast(marked), "__key").select("__text", "__y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
