@@ -23,7 +23,7 @@ def system_prompt(language: Column, domain_names: Column | None = None) -> Colum
     )
     if domain_names is None:
         return base
-    hint = F.concat(F.lit("\nPotential domains detected: "), F.array_join(domain_names, ", "))
+    hint = F.concat(F.lit("\nLikely areas: "), F.array_join(domain_names, ", "))
     return F.when(F.size(domain_names) > 0, F.concat(base, hint)).otherwise(base)
 
 

@@ -273,12 +273,9 @@ PATTERN_LANGUAGES = (
     ("Go", ("golang", ".go")),
     ("Rust", ("rust", ".rs")),
 )
-NOT_DETECTED = "Not detected"
+NOT_DETECTED = "unknown"
 DEFAULT_PATTERNS = "- Patterns extracted from codebase analysis"
 DEFAULT_EXAMPLES = "See source files in the repository for examples."
-DEFAULT_SKILLS = "No specific skills documented yet."
-DEFAULT_COMMANDS = "- `npm install` / `pip install` / `go build` (as appropriate)"
-DEFAULT_SUB_COMMANDS = "- See root agent for repository commands"
 
 # ---------------------------------------------------------------- fixed values
 # Sessions
@@ -288,3 +285,10 @@ EVENT_DELTA = "assistant.message_delta"
 EVENT_MESSAGE = "assistant.message"
 EVENT_IDLE = "session.idle"
 EVENT_ERROR = "error"
+
+# ---------------------------------------------------------------- our own wording
+# Sentences for empty parts of documents
+
+DEFAULT_SKILLS = "None listed."
+DEFAULT_COMMANDS = "- Use the build command of the project"
+DEFAULT_SUB_COMMANDS = "- Use the commands of the coordinating document"

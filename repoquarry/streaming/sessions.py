@@ -8,64 +8,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from repoquarry import rules
-from repoquarry.operators.sessions import TERMINATORS
+from repoquarry.operators.sessions import TERMINATORS, assemble_sessions
 
 OUTPUT_SCHEMA = "session_id string, status string, text string"
-# closed: the result went out and later events are ignored; message: last full one, if any
-STATE_SCHEMA = "deadline bigint, closed boolean, message string, seqs array<bigint>, parts array<string>"
+# closed: the result went out, what is left is a mark against later events of the session
+STATE_SCHEMA = "deadline bigint, closed boolean, seqs array<bigint>, times array<bigint>, full array<boolean>, parts array<string>"
+RETENTION_SECONDS = 3600
 
 
-def _assembler(mode: str, milliseconds: int):
+def _assembler(mode: str, milliseconds: int, retention: int):
     """State function; nested and fed with plain values so executors get it by value."""
     terminators = TERMINATORS[mode]
     delta_type, message_type, error_type = rules.EVENT_DELTA, rules.EVENT_MESSAGE, rules.EVENT_ERROR
     remote = mode == "remote"
 
-    def result(key, status, message, seqs, parts):
-        streamed = "".join(part for _, part in sorted(zip(seqs, parts))) if remote else ""
-        return pd.DataFrame({"session_id": [key[0]], "status": [status], "text": [message or streamed]})
+    def result(key, status, deadline, events):
+        counted = sorted(e for e in events if e[1] < deadline)
+        message = [text for _, _, full, text in counted if full][-1:]
+        streamed = "".join(text for _, _, full, text in counted if not full)
+        return pd.DataFrame({"session_id": [key[0]], "status": [status], "text": [(message or [""])[0] or streamed]})
 
     def assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            _, closed, message, seqs, parts = state.get
-            state.remove()
-            if not closed:
-                yield result(key, "timeout", message, list(seqs), list(parts))
-            return
-
-        # one session's events of one micro-batch, in session order
-        events = pd.concat(list(frames)).sort_values("seq")
+        watermark = state.getCurrentWatermarkMs()
+        deadline, closed, held = None, False, []
         if state.exists:
-            deadline, closed, message, seqs, parts = state.get
-            seqs, parts = list(seqs), list(parts)
-        else:
-            deadline = int(events["ms"].min()) + milliseconds
-            closed, message, seqs, parts = False, None, [], []
+            deadline, closed, *columns = state.get
+            held = list(zip(*columns))
         status = None
-        if not closed:
-            for seq, ms, kind, content, delta in events[["seq", "ms", "type", "content", "delta"]].itertuples(index=False):
-                if ms >= deadline:
-                    continue
-                if kind == delta_type and remote:
-                    seqs.append(int(seq))
-                    parts.append(delta or "")
-                elif kind == message_type:
-                    message = content or ""
-                if kind in terminators:
-                    status = "error" if kind == error_type else "ok"
-                    break
-        if status is None and not closed and deadline <= state.getCurrentWatermarkMs():
+        if state.hasTimedOut:
+            if closed:
+                state.remove()
+                return
             status = "timeout"
+        elif not closed:
+            # one session's events of one micro-batch, in session order
+            events = pd.concat(list(frames)).sort_values("seq")
+            # an earlier event that comes later moves the deadline back
+            first = int(events["ms"].min()) + milliseconds
+            deadline = first if deadline is None else min(deadline, first)
+            wanted = events["type"].isin([message_type, *([delta_type] if remote else [])]) & (events["ms"] < deadline)
+            ends = events[events["type"].isin(terminators) & (events["ms"] < deadline)].head(1)
+            if len(ends):
+                wanted &= events["seq"] <= ends["seq"].iloc[0]
+                status = "error" if ends["type"].iloc[0] == error_type else "ok"
+            taken = events[wanted]
+            full = taken["type"] == message_type
+            texts = taken["content"].where(full, taken["delta"])
+            texts = texts.where(texts.notna(), "")
+            held += zip(taken["seq"].tolist(), taken["ms"].tolist(), full.tolist(), texts.tolist())
+            if status is None and deadline <= watermark:
+                status = "timeout"
         if status is not None:
-            yield result(key, status, message, seqs, parts)
-            closed, message, seqs, parts = True, None, [], []
-        if deadline <= state.getCurrentWatermarkMs():
-            # past the deadline nothing of this session counts any more
-            if state.exists:
-                state.remove()
+            yield result(key, status, deadline, held)
+            closed, held = True, []
+        if closed and deadline + retention <= watermark:
+            state.remove()
             return
-        state.update((deadline, closed, message, seqs, parts))
-        state.setTimeoutTimestamp(deadline)
+        state.update((deadline, closed, *(list(map(list, zip(*held))) or [[], [], [], []])))
+        state.setTimeoutTimestamp(deadline + retention if closed else deadline)
 
     return assemble
 
@@ -75,17 +75,19 @@ def stream_sessions(
     mode: str = "remote",
     seconds: int = rules.SESSION_SECONDS,
     lateness: str = "10 seconds",
+    retention: int = RETENTION_SECONDS,
 ) -> DataFrame:
-    """Streaming counterpart of `assemble_sessions`: append rows as sessions end.
+    """Streaming counterpart of `assemble_sessions`: append one row per session as sessions end.
 
     The deadline is an event-time timer `seconds` after the first event, so the
-    watermark (`lateness`) decides when an unfinished session is given up; parts
-    that arrive after their session closed are dropped.
+    watermark (`lateness`) decides when an unfinished session is given up.  A
+    session that went out leaves a mark for `retention` seconds beyond its
+    deadline, so events that arrive until then cannot start it anew.
     """
     timed = events.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
     columns = timed.select("session_id", "seq", "ts", "ms", "type", "content", "delta")
     return columns.groupBy("session_id").applyInPandasWithState(
-        _assembler(mode, seconds * 1000),
+        _assembler(mode, seconds * 1000, retention * 1000),
         OUTPUT_SCHEMA,
         STATE_SCHEMA,
         "append",
@@ -93,6 +95,15 @@ def stream_sessions(
     )
 
 
+def with_unfinished(results: DataFrame, events: DataFrame, mode: str = "remote", seconds: int = rules.SESSION_SECONDS) -> DataFrame:
+    """What a stream has put out, and the sessions still open in it, assembled from the same events in batch.
+
+    For a closed input: its last sessions end when no later event moves the watermark past their deadline.
+    """
+    opened = events.join(results.select("session_id"), "session_id", "left_anti")
+    return results.unionByName(assemble_sessions(opened, mode, seconds))
+
+
 def run_available(results: DataFrame, output: str, checkpoint: str) -> None:
     """Process everything available now into Parquet at `output`, then stop.
 

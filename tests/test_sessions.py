@@ -9,7 +9,7 @@ from repoquarry.operators import sessions
 from repoquarry.operators.grouping import CHUNK
 from repoquarry.plans.storage import settle, working_dir
 from repoquarry.sources import session_events
-from repoquarry.streaming.sessions import run_available, stream_sessions
+from repoquarry.streaming.sessions import run_available, stream_sessions, with_unfinished
 
 START = dt.datetime(2024, 1, 1)
 DELTA, MESSAGE, IDLE, ERROR = "assistant.message_delta", "assistant.message", "session.idle", "error"
@@ -114,3 +114,31 @@ def test_text_is_shuffled_once(spark, events, tmp_path):
         spark.conf.set(threshold, before)
     # the join leaves rows where the concatenation of their slice needs them
     assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+
+
+def test_a_session_goes_out_once(spark, tmp_path):
+    """Events of a session that come after its result, in a later micro-batch, do not start it again."""
+    batches = [
+        [("a", 0, 0, DELTA, "x"), ("a", 1, 10, MESSAGE, "done"), ("m", 0, 5, DELTA, "late start")],
+        [("b", 0, 310, DELTA, "y"), ("m", 1, 1, DELTA, "early ")],
+        [("a", 2, 320, DELTA, "late"), ("c", 0, 400, DELTA, "z")],
+    ]
+    for i, rows in enumerate(batches):
+        made = [(s, q, START + dt.timedelta(seconds=t), k, x if k == MESSAGE else None, x if k == DELTA else None) for s, q, t, k, x in rows]
+        spark.createDataFrame(made, session_events.EVENTS_SCHEMA).coalesce(1).write.json(str(tmp_path / "in" / str(i)))
+    source = session_events.stream_events(spark, str(tmp_path / "in" / "*"), files_per_batch=1)
+    run_available(stream_sessions(source), str(tmp_path / "out"), str(tmp_path / "cp"))
+    stored = spark.read.schema("session_id string, status string, text string").parquet(str(tmp_path / "out"))
+    rows = sorted(map(tuple, stored.collect()))
+    assert [r for r in rows if r[0] == "a"] == [("a", "ok", "done")]
+    every = session_events.read_events(spark, str(tmp_path / "in" / "*"))
+    assert sorted(r["session_id"] for r in with_unfinished(stored, every).collect()) == ["a", "b", "c", "m"]
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster(spark):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: "spark://host:7077" if key == "spark.master" else default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        working_dir(Session, "x")

@@ -47,7 +47,7 @@ def test_scan_repositories(spark, tmp_path):
 def test_prompts(make_files):
     listing = make_files({"r": [("package.json", 5, "{}"), ("api/a.ts", 6, "code-a"), ("tests/t.ts", 1, "hidden")] + [(f"api/{i}.ts", 20_000, "big") for i in range(6)]})
     (row,) = prompts.local_prompts(listing, listing, profile.repo_profile(listing)).collect()
-    assert "TypeScript" in row["system"] and "Potential domains detected: api" in row["system"]
+    assert "TypeScript" in row["system"] and "Likely areas: api" in row["system"]
     assert "\n--- package.json ---\n{}\n" in row["prompt"] and "\n--- api/a.ts ---\ncode-a\n" in row["prompt"]
     assert "hidden" not in row["prompt"] and "big" not in row["prompt"] and "Config files: package.json" in row["prompt"]
     remote = make_files({"r": [("a.py", 6, "x" * 6000), ("b.py", 0, "")]}, "remote")

@@ -180,8 +180,8 @@ links AS (SELECT repo_id, string_agg({_LINK}, {_NL} ORDER BY ord) AS skill_links
 dtools AS (SELECT repo_id, command, min(ord * {docs.STRIDE} + pos) AS position, arg_min(description, ord * {docs.STRIDE} + pos) AS description
   FROM tools GROUP BY repo_id, command),
 cmds AS (SELECT repo_id, string_agg('- `' || command || '`', {_NL} ORDER BY position) AS commands FROM dtools GROUP BY repo_id),
-subs AS (SELECT repo_id, string_agg('- **@' || name || '** — ' || description || '. Triggers: '
-  || CASE WHEN len(triggers) > 0 THEN array_to_string(triggers, ', ') ELSE 'general' END, {_NL} ORDER BY ord) AS delegation
+subs AS (SELECT repo_id, string_agg('- `@' || name || '` for '
+  || CASE WHEN len(triggers) > 0 THEN array_to_string(triggers, ', ') ELSE 'any task' END || ': ' || description, {_NL} ORDER BY ord) AS delegation
   FROM agents WHERE is_sub_agent GROUP BY repo_id)"""
 
 
@@ -208,10 +208,10 @@ def _main_rows(where: str) -> str:
   || described || {_NL} || {_NL} || {_SKILLS_AND_COMMANDS} || {_NL} AS content {_JOINED} WHERE {where}"""
 
 
-_MAIN_D = _described(_sanitize("repo_name"), "AI assistant for this repository")
-_ROOT_D = _described(_sanitize("repo_name") + " || '-root'", "Primary orchestrator for this repository")
+_MAIN_D = _described(_sanitize("repo_name"), "Helper for work on this code base")
+_ROOT_D = _described(_sanitize("repo_name") + " || '-root'", "Entry point that hands work to the other agents")
 _ROOT_ROWS = f"""SELECT repo_id, '.github/agents/' || n || '.agent.md' AS path, {_head(_title("n"), "described", (*rules.EDITOR_TOOLS, rules.DELEGATE_TOOL))}
-  || described || {_NL} || {_NL} || '## Agent Delegation' || {_NL} || {_NL} || delegation || {_NL} || {_NL}
+  || described || {_NL} || {_NL} || '## Hand-offs' || {_NL} || {_NL} || delegation || {_NL} || {_NL}
   || {_SKILLS_AND_COMMANDS} || {_NL} || {_lit(docs._DELEGATE_GUIDE)} || {_NL} AS content {_JOINED} WHERE multi AND has_root"""
 
 _SUB_LINKS = f"""sub_links AS (SELECT a.repo_id, a.ord, string_agg({_LINK.replace("name", "s.name").replace("description", "s.description")}, {_NL} ORDER BY s.ord) AS skill_links
@@ -248,10 +248,10 @@ c1 AS (SELECT repo_id, string_agg('- ' || pattern, {_NL} ORDER BY rank) AS c1 FR
 c2 AS (SELECT repo_id, string_agg('- `' || source_dir || '/` -- ' || description, {_NL} ORDER BY ord) AS c2 FROM layout GROUP BY repo_id),
 c3 AS (SELECT repo_id, string_agg('- ' || info, {_NL} ORDER BY tier, position) AS c3 FROM test_rows GROUP BY repo_id),
 c4 AS (SELECT repo_id, string_agg('- `' || command || '` -- ' || description, {_NL} ORDER BY position) AS c4 FROM dtools GROUP BY repo_id),
-instr AS (SELECT s.repo_id, '<!-- {docs.MANAGED_TAG} -->' || {_NL} || '# Repository Instructions' || {_NL} || {_NL}
-  || CASE WHEN summary <> '' THEN summary || {_NL} || {_NL} ELSE '' END || '## Language & Framework' || {_NL} || {_NL}
-  || '- **Language:** ' || coalesce(s.language, plang.language, 'Not detected') || {_NL} || '- **Framework:** ' || coalesce(framework, 'None detected') || {_NL} || {_NL}
-  || {_section("Coding Conventions", "c1")} || {_section("Project Structure", "c2")} || {_section("Testing", "c3")} || {_section("Build & Tools", "c4")}
+instr AS (SELECT s.repo_id, '<!-- {docs.MANAGED_TAG} -->' || {_NL} || '# About this code base' || {_NL} || {_NL}
+  || CASE WHEN summary <> '' THEN summary || {_NL} || {_NL} ELSE '' END || '## Stack' || {_NL} || {_NL}
+  || '- Language: ' || coalesce(s.language, plang.language, 'unknown') || {_NL} || '- Framework: ' || coalesce(framework, 'unknown') || {_NL} || {_NL}
+  || {_section("Conventions in use", "c1")} || {_section("Layout", "c2")} || {_section("Tests", "c3")} || {_section("Commands and tools", "c4")}
   || '<!-- /{docs.MANAGED_TAG} -->' AS content
   FROM shape s LEFT JOIN c1 USING (repo_id) LEFT JOIN c2 USING (repo_id) LEFT JOIN c3 USING (repo_id) LEFT JOIN c4 USING (repo_id) LEFT JOIN plang USING (repo_id))"""
 

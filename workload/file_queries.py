@@ -435,7 +435,7 @@ _PROMPTS_LOCAL = (
     + ", ordered AS (" + _SAMPLES + " SELECT * FROM ranked WHERE rank <= 20 AND size <= 10000)"
     + f""", sampled AS (SELECT repo_id, string_agg({_BLOCK.format(content="left(content, 10000)")}, '' ORDER BY rank) AS samples FROM ordered GROUP BY repo_id),
 configs AS (SELECT repo_id, string_agg(path, ', ' ORDER BY ord) AS config_files FROM local_files WHERE is_config GROUP BY repo_id),
-made AS (SELECT repo_id, {_SYSTEM} || CASE WHEN len(doms) > 0 THEN chr(10) || 'Potential domains detected: ' || array_to_string([x.name FOR x IN doms], ', ') ELSE '' END AS system,
+made AS (SELECT repo_id, {_SYSTEM} || CASE WHEN len(doms) > 0 THEN chr(10) || 'Likely areas: ' || array_to_string([x.name FOR x IN doms], ', ') ELSE '' END AS system,
   'Language: ' || language || {_NL} || 'Framework: ' || CASE WHEN framework = '' THEN 'None' ELSE framework END || {_NL} || 'Source directories: '
   || array_to_string(dirs, ', ') || {_NL} || 'Config files: ' || coalesce(config_files, '') || {_NL} || {_NL} || 'Files (first 100):' || {_NL} || coalesce(paths, '')
   || {_NL} || {_NL} || 'Samples:' || {_NL} || coalesce(samples, '') || {_NL} || {_quoted(prompts.RESPONSE_FORMAT)} AS prompt

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.operators import sessions
 from repoquarry.plans.storage import working_dir
-from repoquarry.streaming.sessions import run_available, stream_sessions
+from repoquarry.streaming.sessions import run_available, stream_sessions, with_unfinished
 from workload import views
 from workload.sql_views import with_views
 
@@ -34,13 +34,23 @@ def session_timeouts(spark, sf_dir):
     return late.select("session_id", "seq", "type")
 
 
-def session_stream(spark, sf_dir):
-    """The same assembly as a streaming query over the conversations file, run until nothing is left."""
-    schema = views.table(spark, sf_dir, "conversations").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+def _streamed(spark, sf_dir, mode):
+    """The assembly as a streaming query over the conversations table, run until nothing is left."""
+    table = views.table(spark, sf_dir, "conversations")
+    # a pattern, because the table may be one file or a folder of files
+    source = spark.readStream.schema(table.schema).parquet(f"{sf_dir}/conversations.parque[t]")
     work = working_dir(spark, "sessions")
-    run_available(stream_sessions(views.session_events(source)), f"{work}/output", f"{work}/checkpoint")
-    return spark.read.schema("session_id string, status string, text string").parquet(f"{work}/output")
+    run_available(stream_sessions(views.session_events(source), mode), f"{work}/output", f"{work}/checkpoint")
+    results = spark.read.schema("session_id string, status string, text string").parquet(f"{work}/output")
+    return with_unfinished(results, views.session_events(table), mode)
+
+
+def session_stream(spark, sf_dir):
+    return _streamed(spark, sf_dir, "remote")
+
+
+def session_stream_local(spark, sf_dir):
+    return _streamed(spark, sf_dir, "local")
 
 
 _ASSEMBLE = """WITH ends AS (SELECT session_id, min(seq) AS end_seq, arg_min(type, seq) AS end_type, arg_min(content, seq) AS end_content
@@ -62,11 +72,10 @@ SQL = {
     "session_slices": with_views(_REMOTE + " SELECT session_id, 0 AS slice, text FROM body", "timed_events"),
     "session_timeouts": with_views("""SELECT session_id, seq, type FROM (SELECT *, min(secs) OVER (PARTITION BY session_id) AS started FROM session_events)
 WHERE secs >= started + 120""", "session_events"),
-    # an unfinished session is given up once the watermark, ten seconds behind the newest event, has passed its deadline
-    "session_stream": with_views(_REMOTE + """ SELECT session_id, status, text FROM result
-WHERE status <> 'timeout' OR deadline < (SELECT max(secs) - 10 FROM session_events)""", "timed_events"),
+    "session_stream": with_views(_REMOTE + " SELECT session_id, status, text FROM result", "timed_events"),
+    "session_stream_local": with_views(_LOCAL + " SELECT session_id, status, text FROM result", "timed_events"),
 }
 
 QUERIES = {
-    f.__name__: f for f in (session_assemble, session_assemble_local, session_slices, session_timeouts, session_stream)
+    f.__name__: f for f in (session_assemble, session_assemble_local, session_slices, session_timeouts, session_stream, session_stream_local)
 }
