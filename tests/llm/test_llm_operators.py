@@ -1,0 +1,241 @@
+"""Parts of the operators: models against brute force, archives, columns that clash, and the pipeline."""
+
+import io
+import itertools
+import struct
+import zipfile
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from repoquarry.llm import components, decontamination, language_id, licence_scan, minhash, packing, pii, quality_rules, secret_scan, toxicity, warc_zip
+from repoquarry.llm.spans import SPAN, found, sums_before
+
+
+def test_binary_lengths():
+    for n in (0, 1, 2, 7, 2047, 2048, 2049, 10_000):
+        got = packing.binary_lengths(n)
+        assert sum(got) == n and all(x & (x - 1) == 0 for x in got) and got == sorted(got, reverse=True)
+
+
+def test_packed_batches_hold_one_length(spark):
+    from repoquarry.llm.queries import tokenizer_path
+
+    docs = spark.createDataFrame([(i, "stone river " * i, 5) for i in range(40)], "id int, text string, start int")
+    rows = packing.pack(docs, tokenizer_path(), batch_tokens=64).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["batch"], []).append(r["length"])
+        assert len(r["ids"]) == r["length"]
+    assert all(len(set(sizes)) == 1 and sum(sizes) <= max(64, sizes[0]) for sizes in by.values())
+
+
+def test_encoder_equals_the_tokenizer():
+    import random
+
+    from repoquarry.llm.queries import tokenizer_path
+
+    encoder = packing._Encoder(tokenizer_path())
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab, .\n\t  é'1²字!?)\"“_A's<|endoftext|>́ ") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder(texts)] == want
+
+
+def test_ppm_probabilities_add_up():
+    """Under every context of the training text the probabilities of all bytes sum to one."""
+    codes, _ = language_id.grams([b"abracadabra", b"abra cad"], 2)
+    values, n = np.unique(codes, return_counts=True)
+    tree = language_id.ContextTree(values, n.astype(float), 2)
+    for context in (b"ab", b"br", b"zz", b"za", b"  "):
+        every = np.array([int.from_bytes(context + bytes([c]), "big") for c in range(256)], np.uint64)
+        assert np.exp2(-tree.bits(every)).sum() == pytest.approx(1)
+
+
+def test_language_on_held_out_text(spark):
+    words = {"aa": "lo mi ka su ten", "bb": "grr tok vesh qip umm"}
+    rows = [(i, " ".join((words[x].split() * 9)[i % 5 :: 1 + i % 3]), x) for i, x in enumerate(["aa", "bb"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found_ = language_id.identify(docs.where("doc_id >= 30"), language_id.fit(docs.where("doc_id < 30"))).join(docs, "doc_id")
+    assert found_.where("lang_pred = lang").count() == 30
+
+
+def test_factorization_machine_learns_a_pair():
+    """Toxic only when an insult meets a group name: no additive weights can express that alone."""
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(800):
+        a, b = rng.random(2) < 0.5
+        words = ["plain", *(["insult"] if a else []), *(["group"] if b else []), f"w{rng.integers(9)}xx"]
+        rows.append(toxicity.terms_of(" ".join(words), {}))
+        y.append(float(a and b))
+    machine = toxicity.train(rows, np.array(y), epochs=40)
+    score = lambda text: machine.logits([toxicity.terms_of(text, {}, machine.known)])[0]
+    assert score("insult group") > 0 > max(score("insult"), score("group"), score("plain"))
+    at = toxicity.terms_of("insult group", {}, machine.known)
+    pairs = sum(machine.factors[i] @ machine.factors[j] for i, j in itertools.combinations(at, 2))
+    assert score("insult group") == pytest.approx(machine.bias + machine.weights[at].sum() + pairs)
+
+
+def test_em_finds_the_bad_texts():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.85
+    votes = np.zeros((4000, 4), int)
+    for j, (miss, alarm) in enumerate(((0.3, 0.01), (0.5, 0.02), (0.6, 0.005), (0.7, 0.01))):
+        bad = np.where(truth, rng.random(4000) < alarm, rng.random(4000) > miss)
+        votes[:, j] = np.where(rng.random(4000) < 0.1, 0, np.where(bad, 2, 1))
+    distinct, inverse, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    posterior, _, prior = quality_rules.estimate(distinct, n.astype(float))
+    assert ((posterior >= 0.5)[inverse.ravel()] == truth).mean() > 0.93 and 0.7 < prior < 0.95
+
+
+def test_min_max_estimates_similarity():
+    factors, shifts = minhash._permutations(512)
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 1500, np.uint64)
+    a, b = (minhash.signature(np.unique(x), factors, shifts) for x in (pool[:1000], pool[250:1250]))
+    assert (a == b).mean() == pytest.approx(0.6, abs=0.06)
+
+
+def test_components_of_chains_and_hubs(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(500, 400), (400, 500), (None, 3)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {400: 400, 500: 400}
+
+
+def test_large_clusters_are_dealt_in_blocks(spark):
+    """With tiny blocks, chains of near copies come out the same."""
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(30):  # each differs from the next by two more words
+        words = [*(f"x{k}" for k in range(i)), *base[i:]]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = minhash.near_duplicates(docs, size=1, threshold=(100, 90)).orderBy("id").collect()
+    many = minhash.near_duplicates(docs, size=1, threshold=(100, 90), block=150).orderBy("id").collect()
+    assert one == many and {r["component_id"] for r in one} == {0}
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_zip_directory(zip64):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.txt", b"alpha")
+        z.writestr("indexes/é.cdxj", b"beta" * 100, compress_type=zipfile.ZIP_DEFLATED)
+        z.comment = b"PK\x05\x06 in a comment"
+    data = held.getvalue()
+    if zip64:  # the same directory, its numbers only in the ZIP64 record
+        end = data.index(b"PK\x05\x06", data.rindex(b"PK\x01\x02"))
+        count, size, start = struct.unpack("<HII", data[end + 10 : end + 20])
+        record = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, count, count, size, start)
+        locator = struct.pack("<4sIQI", b"PK\x06\x07", 0, end, 1)
+        tail = b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+        data = data[:end] + record + locator + tail
+    found_ = list(warc_zip.directory(io.BytesIO(data), len(data)))
+    assert [(x[0], x[1], x[3]) for x in found_] == [("a.txt", 0, 5), ("indexes/é.cdxj", 8, 400)]
+    assert data[found_[0][4] :][:5] == b"alpha"
+    for broken in (b"", b"no zip", data[:-30]):
+        with pytest.raises((ValueError, struct.error)):
+            list(warc_zip.directory(io.BytesIO(broken), len(broken)))
+
+
+def test_unreadable_archives_and_small_archives(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    names = spark.createDataFrame([(str(tmp_path / "bad.zip"),), (str(tmp_path / "none.zip"),), (None,)], "archive string")
+    assert [r["error"] is not None for r in warc_zip.members(names).collect()] == [True, True]
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 50) for i in range(50)], "page_id long, url string, html string")
+    written = warc_zip.write_archives(warc_zip.with_revisits(pages), str(tmp_path / "out"), archive_bytes=1000)
+    assert written.count() > 4 and written.agg(F.sum("records")).first()[0] == 50
+    entries = warc_zip.index_entries(warc_zip.members(written))
+    read = {r["record_id"]: (r["payload"].decode(), r["intact"]) for r in warc_zip.read_records(entries.where("record_id LIKE '%:7>'")).collect()}
+    assert read == {"<urn:record:7>": ("page 7 " * 50, True)}
+    off = entries.where("record_id LIKE '%:7>'").withColumn("offset", F.col("offset") + 3)
+    assert [r["intact"] for r in warc_zip.read_records(off).collect()] == [False]
+
+
+def test_spans_in_code_points(spark):
+    df = spark.createDataFrame([("😀a1 é22 " + "333 " * 1500,), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(found(F.col("t"), F.lit("[0-9]+"))).collect()]
+    assert [(s["start"], s["end"], s["match"]) for s in got[0][:3]] == [(2, 3, "1"), (5, 7, "22"), (8, 11, "333")] and got[0][-1]["end"] == 8 + 4 * 1500 - 1
+    assert got[1] == []
+    sums = spark.range(1).select(sums_before(F.array(*[F.lit(i).cast("bigint") for i in range(5)])), F.array().cast(SPAN)).first()
+    assert list(sums[0]) == [0, 0, 1, 3, 6]
+
+
+def test_checksums_and_context(spark):
+    texts = ["iban DE89370400440532013000", "DE89370400440532013001 account", "my ssn: 123-45-6789", "part 123-45-6789", "GB82 WEST 1234 5698 7654 32 x"]
+    rows = pii.find_personal_data(spark.createDataFrame([(t, 1) for t in texts], "text string, findings int")).collect()
+    assert [[f["kind"] for f in r["findings"]] for r in rows] == [["iban"], [], ["ssn"], [], ["iban"]]
+
+
+def test_licence_rules_and_containment(spark):
+    texts = ["under the GNU Lesser General Public License version 2.1", "SPDX-License-Identifier: GPL-2.0-only", "This program is subject to the terms of the Mozilla Public License, v. 2.0."]
+    rows = licence_scan.scan_licences(spark.createDataFrame([(t, 1.0) for t in texts], "text string, score double")).collect()
+    assert len(licence_scan.rules()) > 200
+    assert [r["labels"] for r in rows] == [["gpl", "lgpl"], ["gpl"], ["mpl"]]
+    assert [d["label"] for d in rows[0]["detections"]] == ["lgpl"]
+
+
+def test_forest_text_is_the_forest(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    examples = secret_scan.features_of(secret_scan.labelled_examples(spark, 40)).cache()
+    vectors = VectorAssembler(inputCols=list(secret_scan.FEATURES), outputCol="features").transform(examples.withColumn("label", F.col("label").cast("double")))
+    model = RandomForestClassifier(numTrees=5, maxDepth=5, seed=1).fit(vectors)
+    names = list(secret_scan.FEATURES)
+    scored = model.transform(vectors).withColumn("votes", secret_scan.forest_column(model.toDebugString, lambda k: F.col(names[k])))
+    trees = [t.predict for t in model.trees]
+    for r in scored.limit(50).collect():
+        assert r["votes"] == pytest.approx(sum(p(r["features"]) for p in trees) / 5)
+
+
+def test_forest_on_held_out_examples(spark):
+    forest = secret_scan.train(secret_scan.labelled_examples(spark, 200))
+    held = secret_scan.labelled_examples(spark, 260).subtract(secret_scan.labelled_examples(spark, 200))
+    scanned = secret_scan.scan_secrets(held, forest, path="path").select("label", F.exists("findings", lambda f: f["secret"]).alias("hit"))
+    right = scanned.where((F.col("label") == 1) == F.col("hit")).count()
+    assert right >= 0.97 * held.count()
+
+
+def test_leaks_match_brute_force(spark):
+    """Every item a text contains word for word is found, whatever stands around it; unrelated texts are left alone."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"{a}{b}" for a in "bdfgklm" for b in ("an", "or", "ist", "ule", "em")] + ["the", "of"] * 9
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(8, 40))) + ".") for i in range(60)]
+    docs = []
+    for i in range(80):
+        inside = rng.sample(items, rng.randint(0, 2))
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 200)))]
+        for _, text in inside:
+            parts += [text.upper(), " ".join(rng.choice(words) for _ in range(rng.randint(0, 200)))]
+        docs.append((i, " ".join(parts), {k for k, _ in inside}))
+    shards = decontamination.build_shards(spark.createDataFrame(items, "item_id long, text string"), shard_words=400)
+    assert len(shards) > 1
+    df = spark.createDataFrame([(i, t, 0) for i, t, _ in docs], "doc_id long, text string, hits int")
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"]} for r in decontamination.find_leaks(df, shards).collect()}
+    assert all(want <= got[i] for i, _, want in docs) and sum(len(got[i] - want) for i, _, want in docs) <= 1
+
+
+def test_pipeline(spark, corpus, empty):
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    kept = C.near_duplicates_stage(spark, docs, corpus)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(1) == 1 and not {2, 3, 9} & set(ids) and ids.count(None) == 2 and {5, 6, 7, 8} <= set(ids)
+    clean = C.decontamination_stage(spark, docs, corpus)
+    assert clean.columns == docs.columns and docs.count() - clean.count() == 1
+    hidden = C.secrets_stage(spark, docs, corpus)
+    row = hidden.where("doc_id = 13").first()
+    assert hidden.columns == docs.columns and hidden.count() == docs.count()
+    assert row["text"].startswith('token = "[SECRET]"') and row["n_chars"] == len(row["text"])
+    assert C.toxicity_stage(spark, docs, corpus).columns == docs.columns
+    packed = C.run(spark, corpus)
+    tokens = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).where("doc_id IS NOT NULL").collect()
+    assert all(r["n"] == r["t"] for r in tokens) and len(tokens) >= 12
+    assert C.run(spark, empty).collect() == []
