@@ -16,9 +16,6 @@ REGISTRY_SCHEMA = (
 # agents are listed after every skill of their repository
 AGENT_OFFSET = 1 << 40
 GRAM = 3
-# batch search broadcasts its queries only when both hold, and shuffles them otherwise
-BROADCAST_QUERIES = 100_000
-BROADCAST_BYTES = 32 << 20
 
 
 def build_registry(skills: DataFrame, agents: DataFrame | None = None) -> DataFrame:
@@ -141,15 +138,14 @@ def search_batch(
 ) -> DataFrame:
     """`search` for a whole table of queries `(query_id, query)`: (query_id, rank, score, repo_id, ord).
 
-    A substring can only occur where its own n-grams occur.  Every query is
-    filed under one of its grams (three characters, or the whole query when it
-    is shorter), every entry under all grams of its texts, and the two meet in
-    an equi join; only pairs that share a gram are scored.  Query texts that a
-    count shows to be few are broadcast, so entries are matched where they are
-    read; otherwise the query side is repeated over `salts`, and a common gram
-    spreads over many tasks.  What needs no textual hit is added from a bounded list: root agents, which
-    always score, and everything for the empty query.  Equal queries are
-    answered once.
+    A substring can only occur where its own n-grams occur.  The grams of the
+    catalogue are counted, every query is filed under the rarest of its own
+    (three characters, or the whole query when it is shorter), every entry
+    under all grams of its texts, and the two meet in an equi join; only pairs
+    that share such a gram are scored.  The query side is repeated over
+    `salts`, so a common gram spreads over many tasks.  What needs no textual
+    hit is added from a bounded list: root agents, which always score, and
+    everything for the empty query.  Equal queries are answered once.
     """
     _check_limit(k)
     entries = registry if type is None else registry.where(F.col("type") == type)
@@ -158,24 +154,24 @@ def search_batch(
         F.array(F.lower("name"), F.lower("description"), F.coalesce(F.lower("category"), F.lit(""))),
         F.coalesce(F.transform("triggers", lambda t: F.lower(t)), F.array().cast("array<string>")),
     )
-    gram = F.substring("q", 1, GRAM)
     filled_in = asked.where("q <> ''")
-    # three numbers: how many queries, how long, and the sizes (at most GRAM) they are filed under
-    n_queries, n_bytes, lengths = filled_in.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("q")), F.lit(0)), F.collect_set(F.char_length(gram))
-    ).first()
-    small = n_queries <= BROADCAST_QUERIES and n_bytes <= BROADCAST_BYTES
-    salts = 1 if small else salts
-    sizes = F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")
-    entry_grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(texts), lambda t: _grams(t, sizes))))
-    filed = entries.withColumn("salt", F.pmod(F.xxhash64("repo_id", "ord"), F.lit(salts))).withColumn(
+    # at most GRAM numbers: the gram sizes that queries are filed under
+    lengths = filled_in.agg(F.collect_set(F.least(F.char_length("q"), F.lit(GRAM)))).scalar()
+    sized = entries.withColumn("sizes", F.coalesce(lengths, F.array().cast("array<int>")))
+    entry_grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(texts), lambda t: _grams(t, F.col("sizes")))))
+    filed = sized.withColumn("salt", F.pmod(F.xxhash64("repo_id", "ord"), F.lit(salts))).withColumn(
         "gram", F.explode(entry_grams)
     )
+    counts = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = _grams(F.col("q"), F.array(F.least(F.char_length("q"), F.lit(GRAM))))
+    # a query with a gram that no entry has is in no entry; the others meet every one of theirs
+    met = filled_in.withColumn("gram", F.explode(F.array_distinct(own))).join(counts, "gram", "left")
+    rarest = met.groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
     keyed = (
-        filled_in.withColumn("gram", gram)
+        rarest.where("least.n > 0").select("q", F.col("least.gram").alias("gram"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     )
-    scored = filed.join(F.broadcast(keyed) if small else keyed, ["gram", "salt"]).withColumn("score", relevance(F.col("q")).cast("long"))
+    scored = filed.join(keyed, ["gram", "salt"]).withColumn("score", relevance(F.col("q")).cast("long"))
     bonus = F.when(is_root_agent(), rules.SCORE_ROOT_AGENT).otherwise(0)
     matched = scored.where(F.col("score") > bonus).select("q", "score", "repo_id", "ord")
     order = [F.col("score").desc(), F.col("repo_id"), F.col("ord")]

@@ -48,10 +48,7 @@ def test_list_and_get(registry):
     assert _names(catalogue.get_entry(registry, "Auth")) == []
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_batch_equals_single(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(catalogue, "BROADCAST_QUERIES", 2)
+def test_batch_equals_single(spark):
     rng = random.Random(7)
     words = ["auth", "api", "log", "db", "ui", "go", "test"]
     rows = []
@@ -99,3 +96,14 @@ def test_bad_lines(spark):
     assert [(r["repo_id"], r["line"]) for r in bad.collect()] == [("bad", "{oops")]
     strict, _ = registry_files.parse_registry(lines, strict=True)
     assert sorted(_names(strict)) == ["a", "b"]
+
+
+def test_batch_meets_on_the_rarest_gram(spark):
+    """Queries that share their first letters with every entry are compared with few of them."""
+    n = 2000
+    rows = [("r", i, "skill", f"agent-{i:07d}", "f", None, "", None, [], None, None, None) for i in range(n)]
+    registry = spark.createDataFrame(rows, catalogue.REGISTRY_SCHEMA)
+    queries = spark.range(n).selectExpr("id AS query_id", "concat('agent-', lpad(id, 7, '0'), ' zq') AS query")
+    assert catalogue.search_batch(registry, queries, 3).count() == 0
+    exact = spark.createDataFrame([(1, "agent-0001999")], "query_id bigint, query string")
+    assert [r["ord"] for r in catalogue.search_batch(registry, exact, 3).collect()] == [1999]
