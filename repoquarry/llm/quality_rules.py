@@ -42,7 +42,7 @@ class Rule:
 RULES = (
     Rule("length", "n_words", "one", 100, 50, reverse=True),
     Rule("symbols", "n_symbols", "n_words", 0.02, 0.10),
-    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.10, 0.30),
+    Rule("duplicate_lines", "n_dup_lines", "n_lines", 0.10, 0.50),
     Rule("repetition", "n_repeat_words", "n_words", 0.20, 0.50),
     Rule("upper_case", "n_upper", "n_letters", 0.10, 0.30),
     Rule("digits", "n_digits", "word_chars", 0.02, 0.15),
