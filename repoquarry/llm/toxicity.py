@@ -88,7 +88,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, features: int = FEATURES, facto
     picked = [np.array([known[b] for b in r.tolist() if b in known], np.int64) for r in rows]
     rng = np.random.default_rng(seed)
     m = max(len(known), 1)
-    w, v, b = np.zeros(m), rng.normal(0, 0.02, (m, factors)), 0.0
+    w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
+    b = float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 2.5)))  # the share of the class, so few labels reject nothing
     gw, gv, gb = np.full(m, 1e-3), np.full((m, factors), 1e-3), 1e-3
     order = np.arange(len(rows))
     for _ in range(epochs if len(rows) else 0):
