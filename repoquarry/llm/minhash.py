@@ -37,6 +37,8 @@ FAR = 0.45
 BLOCK = 200_000
 CACHE_WORDS = 300_000
 _SEED = 20_240_229
+# Spark's runtime Bloom filters at any size of the tables; a filter has at most 8 MB
+_BLOOM = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g"}
 
 
 def shingles(text: bytes, size: int, cache: dict[bytes, int]) -> np.ndarray:
@@ -126,12 +128,14 @@ def _agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _candidates(signed: DataFrame, far: float) -> DataFrame:
-    """Links (u, v) between representatives that share a band and are not clearly far apart."""
-    buckets = settle(signed.select("id", F.explode("bands").alias("band")), "bands")
-    links, rest = None, buckets
+    """Links (u, v) between representatives that share a band and are not clearly far apart.
+
+    Most bands hold one document; what is stored are the members of shared bands other than their leader.
+    """
+    links, rest = None, signed.select("id", F.explode("bands").alias("band"))
     for _ in range(2):
         leaders = rest.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
-        met = rest.join(leaders, "band").where("id <> leader")
+        met = settle(rest.join(leaders, "band").where("id <> leader"), "met")
         near = settle(_agreement(met.select("id", "leader").distinct(), signed.select("id", "signature")), "near")
         found = near.where(F.col("near") >= far).select(F.col("id").alias("u"), F.col("leader").alias("v"))
         links = found if links is None else links.unionByName(found)
@@ -175,7 +179,9 @@ def _exact_links(clusters: DataFrame, texts: DataFrame, size: int, accept: tuple
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
         "id", "digest", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    rows = dealt.join(texts, "id").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    # the comparison lets Spark see a selective side and drop other texts by a Bloom filter before they are shuffled
+    wanted = texts.join(clusters.where("n_shingles > 0").select("id"), "id", "left_semi")
+    rows = dealt.join(wanted, "id").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -225,6 +231,8 @@ def near_duplicates(
     With the defaults a link is missed only if no band of 4 out of 112 signature values agrees: at similarity 0.8 with
     probability 4e-7, at 0.85 with 1e-8.
     """
+    for name, value in _BLOOM.items():
+        df.sparkSession.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{name}", value)
     source = df.select(F.col(key).cast("bigint").alias("__key"), F.col(text).alias("__text"))
     signed = settle(sign(source, "__key", "__text", size, permutations, rows), "signed")
     valid = signed.where("id IS NOT NULL AND digest IS NOT NULL")
@@ -243,5 +251,5 @@ def near_duplicates(
     components = connected_components(links.unionByName(several))
     known = classes.join(components, classes.rep == components.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = signed.select("id", "n_shingles", "digest").join(known, "digest", "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return found.select("id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
