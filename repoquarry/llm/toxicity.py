@@ -71,9 +71,9 @@ class Machine:
 def _select(rows: list[np.ndarray], y: np.ndarray, features: int) -> dict[int, int]:
     """The buckets with the largest chi-square between presence and class; ties by bucket."""
     n1, n0 = max(y.sum(), 1), max((1 - y).sum(), 1)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    owner = np.repeat(y, [len(r) for r in rows])
-    in1, in0 = np.bincount(flat, owner, BUCKETS), np.bincount(flat, 1 - owner, BUCKETS)
+    in1, in0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, positive in zip(rows, y, strict=True):  # row by row: the sample is held once
+        (in1 if positive else in0)[r] += 1
     all_ = in1 + in0
     share = n1 / (n1 + n0)
     expected = all_ * share
@@ -85,7 +85,7 @@ def _select(rows: list[np.ndarray], y: np.ndarray, features: int) -> dict[int, i
 def train(rows: list[np.ndarray], y: np.ndarray, features: int = FEATURES, factors: int = FACTORS, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Fit by AdaGrad on the logistic loss; rows hold hash buckets, `y` 0 or 1."""
     known = _select(rows, y, features)
-    picked = [np.array([known[b] for b in r.tolist() if b in known], np.int64) for r in rows]
+    picked = [np.array([known[b] for b in r.tolist() if b in known], np.int32) for r in rows]
     rng = np.random.default_rng(seed)
     m = max(len(known), 1)
     w, v = np.zeros(m), rng.normal(0, 0.02, (m, factors))
@@ -140,7 +140,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
 
     got = chosen.mapInArrow(run, "terms array<int>, y int").toArrow()
     lists = got.column("terms").combine_chunks()
-    flat, sizes = np.asarray(lists.flatten(), np.int64), np.asarray(lists.value_lengths(), np.int64)
+    flat, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths(), np.int64)
     terms = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
     return train(terms, (got.column("y").to_numpy() > 0).astype(float) if len(sizes) else np.zeros(0), **options)
 
