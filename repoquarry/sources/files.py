@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ FILES_SCHEMA = (
 )
 
 
+_PREFIX = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"  # scheme and authority of a path
+
+
 def _after(text: Column, start: Column) -> Column:
     return F.substring(text, start, F.char_length(text))
 
@@ -20,14 +25,18 @@ def _after(text: Column, start: Column) -> Column:
 def scan_repositories(spark: SparkSession, root: str, with_content: bool = True) -> DataFrame:
     """Raw `(repo_id, ord, path, size, content)` of every file below `root/<repo_id>/`.
 
-    Without content only the listing is read.  Bytes that are not UTF-8 become
+    `root` is an absolute path, with or without scheme and authority.  A file found
+    outside it is an error.  Without content only the listing is read.  Bytes that are not UTF-8 become
     U+FFFD.  `ord` follows the listing; write the result to a table once and
     read that, so every later query sees the same positions.
     """
+    base = re.sub("/+", "/", re.sub(_PREFIX, "", root) + "/")
+    if not base.startswith("/"):
+        raise ValueError(f"not an absolute path: {root}")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.removeprefix("file:").rstrip("/") + "/"
-    full = F.col("path")
-    relative = _after(full, F.instr(full, F.lit(base)) + len(base))
+    full = F.regexp_replace("path", _PREFIX, "")
+    outside = F.raise_error(F.concat(F.lit("outside the root: "), F.col("path")))
+    relative = F.when(F.startswith(full, F.lit(base)), _after(full, F.lit(len(base) + 1))).otherwise(outside)
     columns = [
         F.substring_index(relative, "/", 1).alias("repo_id"),
         F.monotonically_increasing_id().alias("ord"),

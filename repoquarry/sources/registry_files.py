@@ -29,16 +29,17 @@ def registry_line() -> Column:
     return F.to_json(F.struct(*[F.col(column).alias(key) for key, column in FIELDS]))
 
 
-def write_registry(registry: DataFrame, path: str, files: int | None = None) -> None:
-    """Write one directory per repository with its entries in order.
+def write_registry(registry: DataFrame, path: str, files: int | None = None, buckets: int = 256) -> None:
+    """Write `(repo_id, ord, line)` as Parquet, partitioned by a hash bucket of `repo_id`.
 
-    Rows are range-partitioned by (repo_id, ord), so a huge repository is split
-    over several files whose names keep the order.
+    A bucket rather than the raw id keeps the number of directories fixed.  Rows are
+    range-partitioned by (bucket, repo_id, ord), so a huge repository is split over several files.
     """
-    lines = registry.select("repo_id", "ord", registry_line().alias("value"))
-    keys = [F.col("repo_id"), F.col("ord")]
+    bucket = F.pmod(F.xxhash64("repo_id"), F.lit(buckets)).alias("bucket")
+    lines = registry.select("repo_id", "ord", registry_line().alias("line"), bucket)
+    keys = [F.col("bucket"), F.col("repo_id"), F.col("ord")]
     ranged = lines.repartitionByRange(files, *keys) if files else lines.repartitionByRange(*keys)
-    ranged.sortWithinPartitions(*keys).select("repo_id", "value").write.partitionBy("repo_id").text(path)
+    ranged.sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(path)
 
 
 def registry_lines(files: DataFrame) -> DataFrame:
@@ -50,16 +51,9 @@ def registry_lines(files: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """(repo_id, ord, line) of registries written by `write_registry`.
-
-    `ord` is a position that grows with the offset in the file set; blank lines
-    are dropped.
-    """
-    # the schema keeps identifiers that look like numbers as text
-    lines = spark.read.schema("value string, repo_id string").text(path).where(strip_space(F.col("value")) != "")
-    return lines.select(
-        "repo_id", F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")
-    )
+    """(repo_id, ord, line) of registries written by `write_registry`, positions as written; blank lines are dropped."""
+    lines = spark.read.schema("repo_id string, ord bigint, line string").parquet(path).where(strip_space(F.col("line")) != "")
+    return lines.select("repo_id", "ord", "line")
 
 
 def parse_registry(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -83,7 +83,9 @@ def test_build_and_lines(spark, tmp_path):
     registry_files.write_registry(built, path)
     entries, bad = registry_files.parse_registry(registry_files.read_registry(spark, path))
     assert sorted(_names(entries)) == ["a", "s"] and bad.count() == 0
-    assert {r["repo_id"] for r in entries.collect()} == {"2024"}
+    assert {(r["repo_id"], r["ord"], r["name"]) for r in entries.collect()} == {(r["repo_id"], r["ord"], r["name"]) for r in built.collect()}
+    registry_files.write_registry(built.limit(0), path + "-empty")
+    assert registry_files.read_registry(spark, path + "-empty").count() == 0
     assert _names(catalogue.build_registry(skills)) == ["s"]
 
 

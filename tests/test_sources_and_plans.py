@@ -38,9 +38,12 @@ def test_scan_repositories(spark, tmp_path):
         path = tmp_path / "root" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)
-    raw = files.scan_repositories(spark, str(tmp_path / "root"))
-    got = sorted((r["repo_id"], r["path"], r["size"], r["content"]) for r in raw.collect())
-    assert got == [("r1", "README.md", 2, "�!"), ("r1", "src/a.py", 8, "print(1)"), ("r2", "lib/b.go", 1, "x")]
+    for root in (f"{tmp_path}/root", f"file:{tmp_path}//root/", f"file://{tmp_path}/root"):
+        raw = files.scan_repositories(spark, root)
+        got = sorted((r["repo_id"], r["path"], r["size"], r["content"]) for r in raw.collect())
+        assert got == [("r1", "README.md", 2, "�!"), ("r1", "src/a.py", 8, "print(1)"), ("r2", "lib/b.go", 1, "x")]
+    with pytest.raises(ValueError):
+        files.scan_repositories(spark, "root")
     listing = files.inventory(files.scan_repositories(spark, str(tmp_path / "root"), with_content=False))
     assert sorted((r["path"], r["ext"], r["is_test"]) for r in listing.collect()) == [("README.md", ".md", False), ("lib/b.go", ".go", False), ("src/a.py", ".py", False)]
 

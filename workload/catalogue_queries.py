@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repoquarry.operators import catalogue
+from repoquarry.plans.storage import working_dir
 from repoquarry.sources import registry_files
 from workload import views
 from workload.sql_views import with_views
@@ -15,10 +16,21 @@ def _registry(spark, sf_dir):
 
 
 def registry_build(spark, sf_dir):
+    return _entries(_registry(spark, sf_dir))
+
+
+def registry_roundtrip(spark, sf_dir):
+    """The catalogue written as lines, read back and parsed."""
+    path = working_dir(spark, "registry")
+    registry_files.write_registry(_registry(spark, sf_dir), path)
+    return _entries(registry_files.parse_registry(registry_files.read_registry(spark, path))[0])
+
+
+def _entries(registry):
     def text(name):
         return F.coalesce(F.col(name).cast("string"), F.lit("(none)")).alias(name)
 
-    return _registry(spark, sf_dir).select(
+    return registry.select(
         "repo_id", "ord", "type", "name", "file", text("vs_code_agent"), "description", text("category"),
         F.array_join("triggers", ",").alias("triggers"), text("parent_agent"),
         F.coalesce(F.array_join("sub_agents", ","), F.lit("(none)")).alias("sub_agents"), text("is_sub_agent"),
@@ -134,10 +146,12 @@ top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, repo_id
 SELECT query_id, rank, score, repo_id, ord FROM ask JOIN top USING (q) WHERE rank <= 10""", "skills", "agents"),
 }
 
+SQL["registry_roundtrip"] = SQL["registry_build"]
+
 QUERIES = {
     f.__name__: f
     for f in (
-        registry_build, registry_list, registry_json, registry_scan, registry_scan_strict, registry_quarantine,
+        registry_build, registry_roundtrip, registry_list, registry_json, registry_scan, registry_scan_strict, registry_quarantine,
         registry_search, registry_search_agents, registry_search_unmatched, registry_lookup, registry_search_batch,
     )
 }
