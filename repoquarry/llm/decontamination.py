@@ -16,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +146,7 @@ def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterato
     stride = index.longest
     get = index.terms.get
     sizes = np.array([len(words) for words in lists], np.int64)
-    ids = np.fromiter((t for words in lists for t in map(get, words, repeat(-1))), np.int64, int(sizes.sum()))
+    ids = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     upper = np.append(index.block_max.max(1), 0.0)  # the last is for words that no item has
     sums = np.concatenate([[0.0], np.cumsum(upper[ids])])
@@ -157,18 +157,21 @@ def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterato
     low = starts[text] + number * stride
     high = np.minimum(low + 2 * stride, starts[text + 1])
     for p in np.flatnonzero(sums[high] - sums[low] >= threshold):
-        terms = np.unique(ids[low[p] : high[p]])
-        terms = terms[terms >= 0]
+        terms = np.sort(ids[low[p] : high[p]])
+        terms = terms[np.append(terms[1:] != terms[:-1], True) & (terms >= 0)]
         if upper[terms].sum() < threshold:
             continue
-        alive = index.block_max[terms].sum(0) >= threshold
+        most = index.block_max[terms]
+        alive = most.sum(0) >= threshold
         if not alive.any():
             continue
-        scores = np.zeros(len(alive) * BLOCK_ITEMS)
-        for t in terms[(index.block_max[terms][:, alive] > 0).any(1)]:
-            a, b = index.begin[t], index.begin[t + 1]
-            scores[index.item[a:b]] += index.impact[a:b]
-        scores = np.where(np.repeat(alive, BLOCK_ITEMS), scores, 0)
+        terms = terms[(most[:, alive] > 0).any(1)]
+        begin, counts = index.begin[terms], index.begin[terms + 1] - index.begin[terms]
+        ends = np.cumsum(counts)
+        at = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])  # the postings of all terms, in their order
+        found = index.item[at]
+        held = alive[found // BLOCK_ITEMS]
+        scores = np.bincount(found[held], index.impact[at[held]])
         for item in np.flatnonzero(scores >= threshold):
             t = int(text[p])
             yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(item), float(scores[item])
