@@ -168,10 +168,10 @@ def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterato
         terms = terms[(most[:, alive] > 0).any(1)]
         begin, counts = index.begin[terms], index.begin[terms + 1] - index.begin[terms]
         ends = np.cumsum(counts)
-        at = np.repeat(begin - (ends - counts), counts) + np.arange(ends[-1])  # the postings of all terms, in their order
+        at = np.repeat(begin - (ends - counts), counts) + np.arange(counts.sum())  # the postings of all terms, in their order
         found = index.item[at]
         held = alive[found // BLOCK_ITEMS]
-        scores = np.bincount(found[held], index.impact[at[held]])
+        scores = np.bincount(found[held], index.impact[at[held]], len(index.ids))
         for item in np.flatnonzero(scores >= threshold):
             t = int(text[p])
             yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(item), float(scores[item])
