@@ -22,13 +22,19 @@ MASK = "[SECRET]"
 FINDING = "array<struct<start:bigint,end:bigint,score:double,secret:boolean,match:string>>"
 
 _NAMES = r"(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|credential)"
-# a value given to a secret's name; a key block; a run of letters and digits, entered at its start
+_PREFIXES = r"AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|npm_"
+# a value given to a secret's name; a key block; dotted tokens; a key with a known prefix, whatever stands beside it;
+# a run of letters and digits, entered at its start, that no dot or @ joins to a name (a full stop may follow)
 CANDIDATE = (
     rf"(?<=(?i:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"'`,;<>(){{}}\[\]]{{8,}}+"
     r"|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9@.])"
+    r"|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+(?:\.{1,2}[A-Za-z0-9_-]++){1,4}+"
+    r"|(?<![A-Za-z0-9])SG\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+    r"|(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z._-]*+[0-9])[A-Za-z0-9_-]{16,}+\.[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{16,}+(?![A-Za-z0-9@]|\.[A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9])(?:{_PREFIXES})(?:(?<=A[KS]IA)|(?=[A-Za-z_-]*+[0-9]))[A-Za-z0-9_-]{{12,}}+"
+    r"|(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9@]|\.[A-Za-z0-9])"
 )
-NEED = rf"[A-Za-z+/_-][0-9]|[0-9][A-Za-z+/_-]|PRIVATE KEY|(?i:{_NAMES})[\"']?\s{{0,3}}[:=]"
+NEED = rf"A[KS]IA|eyJ|SG\.|[A-Za-z+/_.-][0-9]|[0-9][A-Za-z+/_.-]|PRIVATE KEY|(?i:{_NAMES})[\"']?\s{{0,3}}[:=]"
 
 # fixed values: words that make up placeholders and names rather than keys
 DICTIONARY = (
@@ -61,7 +67,7 @@ FEATURES: dict[str, Callable[[Column, Column, Column], Column]] = {
     "assigned": lambda v, b, p: b.rlike(r"[:=]\s*[\"']?$").cast("double"),
     "quoted": lambda v, b, p: b.rlike(r"[\"'`]$").cast("double"),
     "digest_word": lambda v, b, p: b.rlike(r"(?i)\b(?:commit|revision|sha\d*|md5|hash|checksum|digest|etag|uuid|guid|blob|tree|build|fingerprint|integrity)\b[^\n]{0,12}$").cast("double"),
-    "prefixed": lambda v, b, p: v.rlike(r"^(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk-|eyJ|npm_|SG\.)").cast("double"),
+    "prefixed": lambda v, b, p: v.rlike(rf"^(?:{_PREFIXES}|eyJ|SG\.)").cast("double"),
     "test_path": lambda v, b, p: p.rlike(r"(?i)(?:^|[/_.-])(?:tests?|spec|examples?|samples?|docs?|fixtures?|mocks?)(?:[/_.-]|$)").cast("double"),
 }
 
@@ -89,6 +95,8 @@ def labelled_examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (1, [F.lit("AKIA"), upper]),
         (1, [F.lit("ghp_"), F.substring(mixed, 1, 36)]),
         (1, [F.lit("sk_live_"), F.substring(mixed, 1, 24)]),
+        (1, [F.lit("eyJ"), F.substring(mixed, 1, 17), F.lit("."), mixed, F.lit("."), F.substring(mixed, 2, 43)]),
+        (1, [F.lit("SG."), F.substring(mixed, 1, 22), F.lit("."), F.substring(mixed, 2, 43)]),
         (1, [F.lit("-----BEGIN RSA PRIVATE KEY-----")]),
         (1, [F.lit("passwd"), sign, quote, F.concat(word(5), F.substring(mixed, 3, 10)), quote]),
         (0, [F.lit("commit "), long_hex]),
@@ -101,11 +109,13 @@ def labelled_examples(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (0, [F.lit("secret"), sign, F.concat(F.lit("config."), word(1), F.lit("."), word(2))]),
         (0, [F.lit("see "), F.concat(word(1), F.lit("-"), word(2), F.lit("-"), word(3), F.lit("-2"), (F.col("id") % 1000).cast("string"))]),
         (0, [F.lit("in "), F.concat(word(1), F.lit("/"), word(2), F.lit("/"), word(3), F.lit("_v"), (F.col("id") % 10).cast("string"))]),
+        (0, [F.lit("in "), F.concat(word(1), F.lit("-"), word(2), F.lit("-"), word(3), F.lit("."), word(4), F.lit("_v2."), word(5), F.lit("_"), word(6), F.lit("_"), word(7))]),
         (0, [F.lit("token"), sign, quote, F.repeat(F.lit("x"), size), quote]),
         (0, [F.lit("build "), F.concat(word(1), F.lit("_"), F.lit("2024010112"), word(2))]),
         (0, [F.lit("password"), sign, quote, F.concat(F.lit("test"), word(1), F.lit("123")), quote]),
     ]
-    rows = F.array(*[F.struct(F.concat(F.lit("the value of "), *parts, F.lit(" is here")).alias("text"), F.lit(label).alias("label")) for label, parts in kinds])
+    after = F.when(F.col("id") % 5 == 4, F.lit(".")).when(F.col("id") % 5 == 3, F.lit(", here")).when(F.col("id") % 5 == 2, F.lit(")")).otherwise(F.lit(" is here"))
+    rows = F.array(*[F.struct(F.concat(F.lit("the value of "), *parts, after).alias("text"), F.lit(label).alias("label")) for label, parts in kinds])
     lines = spark.range(n).select("id", F.inline(rows))
     path = F.when((F.col("label") == 0) & (F.col("id") % 4 == 0), "tests/fixtures/data.txt").otherwise("src/main.txt")
     return lines.select("text", path.alias("path"), "label")
