@@ -44,7 +44,8 @@ class _Encoder:
     The byte-level pre-tokenizer never joins characters across a space that stands between two non-space
     characters, nor across a letter and the punctuation after it.  A text is therefore the concatenation of its
     words, each but the first led by its space, and a word of letters and what follows them.  Words seen before
-    come from a table; the parts that are new are encoded by the tokenizer in one call.
+    come from a table; the parts that are new are encoded by the tokenizer in one call.  The tokenizer stays as loaded:
+    a text that contains one of its added tokens, which it takes out before it cuts words, goes to it as a whole.
     """
 
     _letters = re.compile(r"[^\W\d_]+(?=[.,;:!?)\]\"])")
@@ -54,7 +55,8 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values() if token.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # by id: the token starts with a space
         for token, i in vocabulary.items():
@@ -110,6 +112,16 @@ class _Encoder:
         self.used += len(ids)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [k for k, text in enumerate(texts) if self.added.search(text)]
+        if not whole:
+            return self._from_words(texts)
+        held = set(whole)
+        out = self._from_words(["" if k in held else text for k, text in enumerate(texts)])
+        for k, ids in zip(whole, self._encode([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+    def _from_words(self, texts: list[str]) -> list[np.ndarray]:
         if self.entries > CACHE_WORDS:
             self.clear()
         entries = []

@@ -43,6 +43,22 @@ def test_encoder_equals_the_tokenizer():
     assert [x.tolist() for x in encoder(texts)] == want
 
 
+def test_encoder_leaves_the_tokenizer_as_loaded():
+    """Added tokens in a text, inside words and beside spaces, get the ids a freshly loaded tokenizer gives."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from repoquarry.llm.queries import tokenizer_path
+
+    fresh, encoder, rng = Tokenizer.from_file(tokenizer_path()), packing._Encoder(tokenizer_path()), random.Random(4)
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, mark * 3, f"in{mark}side", f" {mark}", f"{mark} ", f"a  {mark}  b", f"\n{mark}\n", "a <|endoftext| b", "a <| endoftext|> b", ""]
+    texts += ["".join(rng.choice(["stone", "river", " ", "  ", "\n", ".", "é", "7", mark, "<|", "|>"]) for _ in range(rng.randint(0, 30))) for _ in range(1000)]
+    assert encoder(texts)[0].tolist() == [64, 220, 50256, 275]
+    assert [x.tolist() for x in encoder(texts)] == [fresh.encode(text, add_special_tokens=False).ids for text in texts]
+
+
 def test_ppm_probabilities_add_up():
     """Under every context of the training text the probabilities of all bytes sum to one."""
     codes, _ = language_id.grams([b"abracadabra", b"abra cad"], 2)
