@@ -1,13 +1,17 @@
 """Licence detection by ordered signature rules, as column functions of one row.
 
-A rule is a regular expression over a text's words (lower-cased, joined by single spaces).  Rules are gated by a keyword:
-only texts that contain a keyword are normalized at all, and of the rules only those whose own keyword occurs are
-tried.  Overlapping detections are settled by containment: of two intervals, one inside the other, the rule of higher
+A rule is a regular expression over a text's words (lower-cased, joined by single spaces).  Only texts that pass a gate are
+normalized at all, and of the rules only those of which a keyword occurs are tried.  Gate and keywords are derived from the
+patterns: no match of a rule is without one of its keywords, no text with a match fails the gate.  Overlapping detections are settled by containment: of two intervals, one inside the other, the rule of higher
 priority stays, and of equal priorities the outer one.
 """
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from re import _constants, _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,106 +22,189 @@ WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 PRIORITIES = (4, 3, 2, 1)
 
-# fixed values: label, keyword, name as a pattern over normalized words, SPDX identifiers as normalized words
+# fixed values: label, name as a pattern over normalized words, SPDX identifiers as normalized words
 LICENCES = (
-    ("0bsd", "0bsd", "(?:0bsd|bsd zero clause|zero clause bsd)", ("0bsd",)),
-    ("afl", "academic", "academic free license", ("afl 2 1", "afl 3 0")),
-    ("agpl", "affero", "(?:gnu )?affero general public license", ("agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later")),
-    ("apache", "apache", "apache (?:software )?license", ("apache 1 1", "apache 2 0")),
-    ("apsl", "apple", "apple public source license", ("apsl 2 0",)),
-    ("artistic", "artistic", "artistic license", ("artistic 1 0", "artistic 2 0")),
-    ("blueoak", "oak", "blue oak model license", ("blueoak 1 0 0",)),
-    ("bsd", "bsd", "(?:(?:new|revised|simplified|modified|original) )?bsd (?:[234] clause )?(?:style )?license", ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause")),
-    ("bsl", "boost", "boost software license", ("bsl 1 0",)),
-    ("busl", "business", "business source license", ("busl 1 1",)),
-    ("cc-by", "attribution", "creative commons attribution", ("cc by 3 0", "cc by 4 0")),
-    ("cc-by-nc", "noncommercial", "creative commons attribution non ?commercial", ("cc by nc 3 0", "cc by nc 4 0")),
-    ("cc-by-nd", "noderivatives", "creative commons attribution no ?deriv(?:ative)?s", ("cc by nd 3 0", "cc by nd 4 0")),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike", ("cc by sa 3 0", "cc by sa 4 0")),
-    ("cc0", "cc0", "(?:creative commons zero|cc0)", ("cc0 1 0",)),
-    ("cddl", "cddl", "common development and distribution license", ("cddl 1 0", "cddl 1 1")),
-    ("cecill", "cecill", "cecill(?: free software)?(?: license)?", ("cecill 2 0", "cecill 2 1")),
-    ("cpal", "common", "common public attribution license", ("cpal 1 0",)),
-    ("cpl", "common", "common public license", ("cpl 1 0",)),
-    ("ecl", "educational", "educational community license", ("ecl 2 0",)),
-    ("efl", "eiffel", "eiffel forum license", ("efl 2 0",)),
-    ("epl", "eclipse", "eclipse public license", ("epl 1 0", "epl 2 0")),
-    ("eupl", "european", "european union public licen[cs]e", ("eupl 1 1", "eupl 1 2")),
-    ("fdl", "documentation", "(?:gnu )?free documentation license", ("gfdl 1 2", "gfdl 1 3")),
-    ("gpl", "general", "(?:gnu )?general public license", ("gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later")),
-    ("ipl", "ibm", "ibm public license", ("ipl 1 0",)),
-    ("isc", "isc", "isc license", ("isc",)),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public license", ("lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0")),
-    ("lppl", "latex", "latex project public license", ("lppl 1 3c",)),
-    ("mit", "mit", "(?:expat|mit) license", ("mit", "mit 0")),
-    ("mpl", "mozilla", "mozilla public license", ("mpl 1 1", "mpl 2 0")),
-    ("ms-pl", "microsoft", "microsoft public license", ("ms pl",)),
-    ("ms-rl", "microsoft", "microsoft reciprocal license", ("ms rl",)),
-    ("mulanpsl", "mulan", "mulan (?:permissive software|psl) license", ("mulanpsl 2 0",)),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source license", ("ncsa",)),
-    ("odbl", "database", "open (?:data commons open )?database license", ("odbl 1 0",)),
-    ("ofl", "font", "(?:sil )?open font license", ("ofl 1 1",)),
-    ("osl", "open", "open software license", ("osl 3 0",)),
-    ("php", "php", "php license", ("php 3 01",)),
-    ("postgresql", "postgresql", "postgresql license", ("postgresql",)),
-    ("psf", "python", "python software foundation license", ("psf 2 0", "python 2 0")),
-    ("ruby", "ruby", "ruby license", ("ruby",)),
-    ("sspl", "server", "server side public license", ("sspl 1 0",)),
-    ("unlicense", "unlicense", "unlicense", ("unlicense",)),
-    ("upl", "universal", "universal permissive license", ("upl 1 0",)),
-    ("vim", "vim", "vim license", ("vim",)),
-    ("w3c", "w3c", "w3c software (?:notice and )?license", ("w3c",)),
-    ("wtfpl", "fuck", "do what the fuck you want to public license", ("wtfpl",)),
-    ("zlib", "zlib", "zlib(?: libpng)? license", ("zlib",)),
-    ("zpl", "zope", "zope public license", ("zpl 2 1",)),
+    ("0bsd", "(?:0bsd|bsd zero clause|zero clause bsd)", ("0bsd",)),
+    ("afl", "academic free license", ("afl 2 1", "afl 3 0")),
+    ("agpl", "(?:gnu )?affero general public license", ("agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later")),
+    ("apache", "apache (?:software )?license", ("apache 1 1", "apache 2 0")),
+    ("apsl", "apple public source license", ("apsl 2 0",)),
+    ("artistic", "artistic license", ("artistic 1 0", "artistic 2 0")),
+    ("blueoak", "blue oak model license", ("blueoak 1 0 0",)),
+    ("bsd", "(?:(?:new|revised|simplified|modified|original) )?bsd (?:[234] clause )?(?:style )?license", ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause")),
+    ("bsl", "boost software license", ("bsl 1 0",)),
+    ("busl", "business source license", ("busl 1 1",)),
+    ("cc-by", "creative commons attribution", ("cc by 3 0", "cc by 4 0")),
+    ("cc-by-nc", "creative commons attribution non ?commercial", ("cc by nc 3 0", "cc by nc 4 0")),
+    ("cc-by-nd", "creative commons attribution no ?deriv(?:ative)?s", ("cc by nd 3 0", "cc by nd 4 0")),
+    ("cc-by-sa", "creative commons attribution share ?alike", ("cc by sa 3 0", "cc by sa 4 0")),
+    ("cc0", "(?:creative commons zero|cc0)", ("cc0 1 0",)),
+    ("cddl", "common development and distribution license", ("cddl 1 0", "cddl 1 1")),
+    ("cecill", "cecill(?: free software)?(?: license)?", ("cecill 2 0", "cecill 2 1")),
+    ("cpal", "common public attribution license", ("cpal 1 0",)),
+    ("cpl", "common public license", ("cpl 1 0",)),
+    ("ecl", "educational community license", ("ecl 2 0",)),
+    ("efl", "eiffel forum license", ("efl 2 0",)),
+    ("epl", "eclipse public license", ("epl 1 0", "epl 2 0")),
+    ("eupl", "european union public licen[cs]e", ("eupl 1 1", "eupl 1 2")),
+    ("fdl", "(?:gnu )?free documentation license", ("gfdl 1 2", "gfdl 1 3")),
+    ("gpl", "(?:gnu )?general public license", ("gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later", "gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later")),
+    ("ipl", "ibm public license", ("ipl 1 0",)),
+    ("isc", "isc license", ("isc",)),
+    ("lgpl", "(?:gnu )?(?:lesser|library) general public license", ("lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later", "lgpl 3 0")),
+    ("lppl", "latex project public license", ("lppl 1 3c",)),
+    ("mit", "(?:expat|mit) license", ("mit", "mit 0")),
+    ("mpl", "mozilla public license", ("mpl 1 1", "mpl 2 0")),
+    ("ms-pl", "microsoft public license", ("ms pl",)),
+    ("ms-rl", "microsoft reciprocal license", ("ms rl",)),
+    ("mulanpsl", "mulan (?:permissive software|psl) license", ("mulanpsl 2 0",)),
+    ("ncsa", "(?:university of illinois )?ncsa open source license", ("ncsa",)),
+    ("odbl", "open (?:data commons open )?database license", ("odbl 1 0",)),
+    ("ofl", "(?:sil )?open font license", ("ofl 1 1",)),
+    ("osl", "open software license", ("osl 3 0",)),
+    ("php", "php license", ("php 3 01",)),
+    ("postgresql", "postgresql license", ("postgresql",)),
+    ("psf", "python software foundation license", ("psf 2 0", "python 2 0")),
+    ("ruby", "ruby license", ("ruby",)),
+    ("sspl", "server side public license", ("sspl 1 0",)),
+    ("unlicense", "unlicense", ("unlicense",)),
+    ("upl", "universal permissive license", ("upl 1 0",)),
+    ("vim", "vim license", ("vim",)),
+    ("w3c", "w3c software (?:notice and )?license", ("w3c",)),
+    ("wtfpl", "do what the fuck you want to public license", ("wtfpl",)),
+    ("zlib", "zlib(?: libpng)? license", ("zlib",)),
+    ("zpl", "zope public license", ("zpl 2 1",)),
 )
 
-# fixed values: label, keyword, a passage that only the licence's own text has
+# fixed values: label, a passage that only the licence's own text has
 TEXTS = (
-    ("mit", "merchantability", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("apache", "licensor", "licensor shall mean the copyright owner or entity authorized by the copyright owner"),
-    ("gpl", "copyleft", "everyone is permitted to copy and distribute verbatim copies of this license document"),
-    ("mpl", "covered", "this source code form is subject to the terms of the mozilla public license"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented"),
-    ("bsl", "boost", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("cc0", "affirmer", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
-    ("proprietary", "reserved", "all rights reserved"),
-    ("public-domain", "domain", "(?:released|placed|dedicated) (?:in|in to|into|to) the public domain"),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache", "licensor shall mean the copyright owner or entity authorized by the copyright owner"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("cc0", "affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("proprietary", "all rights reserved"),
+    ("public-domain", "(?:released|placed|dedicated) (?:in|in to|into|to) the public domain"),
+    ("copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
 )
 
 WEAK = {"copyright": 0.2, "proprietary": 0.3}
 VERSION = "(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)?| [0-9]+ [0-9]+)?"
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, keyword, pattern, priority, confidence) in order: texts, identifiers, grants, headings, mentions."""
-    made = [(label, word, pattern, 1 if label in WEAK else 4, WEAK.get(label, 1.0)) for label, word, pattern in TEXTS]
-    for label, _, _, names in LICENCES:
+# words that stand in most rules and few texts; a text with one of them passes the gate
+STEMS = ("licens", "licenc", "spdx", "copyright", "reserved", "public domain", "creative commons", "cc0", "cecill", "bsd", "permission", "redistribution", "licensor", "verbatim", "unencumbered", "misrepresented", "affirmer")
+# words that say little about which rule a text matches
+COMMON = set("licensed released distributed available provided published under the terms and conditions of subject to license licence public".split())
+SPELLINGS = 64
+_GAP, _EDGE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+
+
+def rules() -> list[tuple[str, str, int, float]]:
+    """(label, pattern, priority, confidence) in order: texts, identifiers, grants, headings, mentions."""
+    made = [(label, pattern, 1 if label in WEAK else 4, WEAK.get(label, 1.0)) for label, pattern in TEXTS]
+    for label, _, names in LICENCES:
         for name in sorted(names, key=len, reverse=True):
-            made.append((label, "spdx", f"spdx license identifier {name}", 4, 1.0))
-            short = name.split(" ")[0]
+            made.append((label, f"spdx license identifier {name}", 4, 1.0))
             if len(name.split(" ")) > 1:
-                made.append((label, short, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name}", 3, 0.9))
-    for label, keyword, name, _ in LICENCES:
+                made.append((label, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name}", 3, 0.9))
+    for label, name, _ in LICENCES:
         grant = "(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
-        made.append((label, keyword, f"{grant}{name}{VERSION}", 3, 0.95))
-        made.append((label, keyword, f"subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}{VERSION}", 3, 0.9))
-        made.append((label, keyword, f"{name}{VERSION}", 2, 0.8))
+        made.append((label, f"{grant}{name}{VERSION}", 3, 0.95))
+        made.append((label, f"subject to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}{VERSION}", 3, 0.9))
+        made.append((label, f"{name}{VERSION}", 2, 0.8))
     return made
 
 
+def _runs(parsed: list) -> list[set[str]]:
+    """Sets of strings, of each of which every match of a parsed pattern contains at least one.
+
+    Neighbours of few spellings are joined to longer strings; whatever else there is ends a run.
+    """
+    done, open_ = [], {""}
+    for op, value in parsed:
+        some = _spelt(op, value)
+        if some and len(open_) * len(some) <= SPELLINGS:
+            open_ = {x + y for x in open_ for y in some}
+        else:
+            done.append(open_)
+            open_ = some if some else {""}
+    return [run for run in [*done, open_] if "" not in run]
+
+
+def _spelt(op, value) -> set[str] | None:
+    """All strings that a part of a pattern matches, or None if they are too many."""
+    if op is _constants.LITERAL:
+        return {chr(value)}
+    if op is _constants.IN and all(kind is _constants.LITERAL for kind, _ in value):
+        return {chr(code) for _, code in value}
+    if op is _constants.SUBPATTERN:
+        return _all_spelt(value[3])
+    if op is _constants.BRANCH:
+        each = [_all_spelt(branch) for branch in value[1]]
+        return None if None in each else set().union(*each)
+    if op is _constants.MAX_REPEAT and value[:2] == (0, 1):
+        inner = _all_spelt(value[2])
+        return None if inner is None else {"", *inner}
+    return None
+
+
+def _all_spelt(parsed: list) -> set[str] | None:
+    all_ = {""}
+    for op, value in parsed:
+        some = _spelt(op, value)
+        if some is None or len(all_) * len(some) > SPELLINGS:
+            return None
+        all_ = {x + y for x in all_ for y in some}
+    return all_
+
+
+def _least(run: set[str]) -> list[str]:
+    """A run without the strings that contain another of its strings."""
+    return sorted(x for x in run if not any(y != x and y in x for y in run))
+
+
+@cache
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Strings of which every match of a pattern, between single spaces, contains one: few, long and of a licence's own words."""
+    best, most = (), -1000.0
+    for run in _runs(list(_parser.parse(f" {pattern} "))):
+        cuts = [run]
+        for k in range(1, 5):
+            cuts += [{"".join(re.findall(r" ?[^ ]* ?$| ?[^ ]+", x)[-k:]) for x in run}, {"".join(re.findall(r"[^ ]* ", x)[:k]) or x for x in run}]
+        for some in map(_least, cuts):
+            own = "" not in some and all(set(x.split()) - COMMON for x in some)
+            worth = min(min(map(len, some)), 12) - 1.5 * len(some) - 100 * (not own)
+            if worth > most and all(some):
+                best, most = tuple(some), worth
+    return best
+
+
+@cache
+def gate() -> str:
+    """An expression that every text with a rule's match or a base phrase matches, whatever separates its words."""
+    patterns = [*(pattern for _, pattern, _, _ in rules()), *(phrase for phrase, _ in BASE)]
+    rest = [p for p in patterns if not any(all(any(stem in x for stem in STEMS) for x in run) for run in _runs(list(_parser.parse(f" {p} "))))]
+    by: dict[str, list[str]] = {}
+    for p in rest:
+        name = re.search(r"[^)?]*$", p)[0]
+        by.setdefault(p[: len(p) - len(name)], []).append(name)
+    whole = [rf"(?<!{_EDGE}){head}(?:{'|'.join(names)})(?!{_EDGE})" for head, names in by.items()]
+    return "(?i)" + "|".join([*STEMS, *whole]).replace(" ", _GAP)
+
+
 def _bounded(pattern: str) -> str:
     return f"(?<= )(?:{pattern})(?= )"
 
 
 def _phrase(phrase: str) -> str:
     """A phrase's words in any case, with any non-word characters between them, in the text itself."""
-    gap, edge = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    return f"(?i)(?<!{edge})" + gap.join(phrase.split(" ")) + f"(?!{edge})"
+    return f"(?i)(?<!{_EDGE})" + _GAP.join(phrase.split(" ")) + f"(?!{_EDGE})"
 
 
 def _places(text: str, phrase: str) -> Column:
@@ -135,17 +222,17 @@ def _places(text: str, phrase: str) -> Column:
 
 
 def _rule_table() -> Column:
-    fields = ("label", "keyword", "pattern", "priority", "confidence")
-    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(fields, (label, word, _bounded(pattern), priority, confidence), strict=True)]) for label, word, pattern, priority, confidence in rules()]
-    return F.array(*rows)
+    fields = ("label", "keywords", "pattern", "priority", "confidence")
+    made = [(label, F.array(*map(F.lit, keywords(pattern))), _bounded(pattern), priority, confidence) for label, pattern, priority, confidence in rules()]
+    return F.array(*[F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(n) for n, v in zip(fields, row, strict=True)]) for row in made])
 
 
 DETECTIONS = "array<struct<label:string,priority:int,confidence:double,start:bigint,end:bigint>>"
 
 
 def _detect(norm: Column, table: Column) -> Column:
-    """All matches of the rules whose keyword occurs, by start, then the longer, then priority."""
-    tried = F.filter(table, lambda r: F.contains(norm, F.concat(F.lit(" "), r["keyword"])))
+    """All matches of the rules of which a keyword occurs, by start, then the longer, then priority."""
+    tried = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(norm, k)))
 
     def matches(r: Column) -> Column:
         return F.transform(
@@ -197,18 +284,17 @@ def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
     alone.  Null and empty texts have no words and no labels.  Columns of `df` named like an output are replaced.
     """
     made = ("n_words", "places", "detections", "labels", "score")
-    body, words, gate, norm, table = "__licence_text", "__licence_words", "__licence_gate", "__licence_norm", "__licence_rules"
+    body, passed, norm = "__licence_text", "__licence_gate", "__licence_norm"
     source = df.drop(*made).withColumn(body, F.coalesce(F.col(text), F.lit("")))
-    keywords = sorted({word for _, word, _, _, _ in rules()})
-    gated = F.col(body).rlike("(?i)licen[cs]|copyright|spdx|rights reserved|public domain|under (?:the )?(?:terms of )?(?:" + "|".join(keywords) + ")|permission|redistribution|merchantability|licensor|affirmer|misrepresented|unencumbered|verbatim copies")
-    counted = once(source, **{"n_words": F.regexp_count(F.col(body), F.lit(WORD_ANY_CASE)).cast("bigint"), gate: gated})
+    gated = F.col(body).rlike(gate())
+    counted = once(source, **{"n_words": F.regexp_count(F.col(body), F.lit(WORD_ANY_CASE)).cast("bigint"), passed: gated})
     lowered = F.translate(F.col(body), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), " "), F.lit(" "))
-    ready = once(counted, **{norm: F.when(F.col(gate), joined)})
-    detected = F.when(F.col(gate), let(_rule_table(), lambda t: _settle(_detect(F.col(norm), t)))).otherwise(F.array().cast(DETECTIONS))
-    places = F.create_map(*[x for phrase, label in BASE for x in (F.lit(label), F.when(F.col(gate), _places(body, phrase)).otherwise(F.array().cast("array<bigint>")))])
+    ready = once(counted, **{norm: F.when(F.col(passed), joined)})
+    detected = F.when(F.col(passed), let(_rule_table(), lambda t: _settle(_detect(F.col(norm), t)))).otherwise(F.array().cast(DETECTIONS))
+    places = F.create_map(*[x for phrase, label in BASE for x in (F.lit(label), F.when(F.col(passed), _places(body, phrase)).otherwise(F.array().cast("array<bigint>")))])
     located = once(ready, places=places, detections=detected)
     base = F.map_keys(F.map_filter("places", lambda _, p: F.size(p) > 0))
     labels = F.array_sort(F.array_union(base, F.transform("detections", lambda d: d["label"])))
     best = F.greatest(F.when(F.size(base) > 0, 0.7).otherwise(0.0), F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)))
-    return once(located, labels=labels, score=best).drop(body, words, gate, norm, table)
+    return once(located, labels=labels, score=best).drop(body, passed, norm)

@@ -193,6 +193,24 @@ def test_licence_rules_and_containment(spark):
     assert [d["label"] for d in rows[0]["detections"]] == ["lgpl"]
 
 
+def test_every_licence_rule_fires_alone(spark, monkeypatch):
+    """No spelling of a rule is lost to gate or keywords, whatever separates the words."""
+    import re
+
+    monkeypatch.setattr(licence_scan, "SPELLINGS", 100_000)
+    gate, rows = re.compile(licence_scan.gate()), []
+    for label, pattern, _, _ in licence_scan.rules():
+        plain = pattern.replace(licence_scan.VERSION, "").replace("[0-9]{2}", "24")
+        spelt = sorted(licence_scan._all_spelt(list(re._parser.parse(plain))))
+        for x in spelt:
+            assert re.fullmatch(pattern, x) and any(k in f" {x} " for k in licence_scan.keywords(pattern)), (x, licence_scan.keywords(pattern))
+            assert gate.search(x) and gate.search(x.upper().replace(" ", "\n * ")), x
+        rows += [(label, gap.join(x.title().split(" "))) for x in (spelt[0], spelt[len(spelt) // 2], spelt[-1]) for gap in (" ", "\n# ")]
+    rows += [("mit", "Released under the terms\nof the Expat License"), ("cc-by-sa", "Creative Commons Attribution-Share Alike 4.0"), ("cc-by-nd", "Creative Commons Attribution NoDerivs"), ("cc0", "CC0"), ("cecill", "CeCILL-B"), ("apache", "available\nunder Apache-2.0")]
+    lost = licence_scan.scan_licences(spark.createDataFrame(rows, "label string, text string")).where("NOT array_contains(labels, label)")
+    assert [(r["label"], r["text"]) for r in lost.select("label", "text").collect()] == []
+
+
 def test_forest_text_is_the_forest(spark):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
