@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from repoquarry.llm.common import pieces, prepare
 
 ORDER = 3
-MAX_GRAMS = 4_000_000
 UNDETERMINED = "und"
 _GAPS = re.compile(r"[\W\d_]+")
 
@@ -137,19 +136,25 @@ def _counted(name: str, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS) -> dict[str, ContextTree]:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> dict[str, ContextTree]:
     """Context trees of all languages of `df`, from every row with a language and a letter.
 
-    The counts cover all rows; what reaches the driver is the model, at most `max_grams` leaves (the most frequent
-    ones, ties by value), which bounds its size whatever the corpus.  A pruned leaf is coded by an escape.
+    The trees hold all counts of all rows, so every language has one and its code lengths do not depend on the others.
+    The model passes through the driver; it grows with the distinct grams of the languages, not with their texts.
     """
     if not 0 <= order <= 6:
         raise ValueError("order must be between 0 and 6")
-    counts = gram_counts(df, text, lang, order).orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    names = np.array(counts.column("lang").to_pylist(), dtype=object)
-    codes = counts.column("gram").to_numpy().astype(np.uint64)
-    n = counts.column("n").to_numpy().astype(float)
-    return {name: ContextTree(codes[names == name], n[names == name], order) for name in sorted(set(names))}
+    counts = gram_counts(df, text, lang, order).toArrow().combine_chunks()
+    if not counts.num_rows:
+        return {}
+    names = counts.column("lang").chunk(0).dictionary_encode()
+    number, known = names.indices.to_numpy(), names.dictionary.to_pylist()
+    codes, n = counts.column("gram").to_numpy().astype(np.uint64), counts.column("n").to_numpy()
+    model = {}
+    for name in sorted(known):
+        own = number == known.index(name)
+        model[name] = ContextTree(codes[own], n[own].astype(float), order)
+    return model
 
 
 def identify(df: DataFrame, model: dict[str, ContextTree], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -77,6 +77,16 @@ def test_language_on_held_out_text(spark):
     assert found_.where("lang_pred = lang").count() == 30
 
 
+def test_small_languages_keep_their_trees(spark, monkeypatch):
+    """Millions of more frequent grams of another language take nothing from a small one."""
+    noise = spark.range(4_200_000).select(F.lit("big").alias("lang"), F.col("id").alias("gram"), F.lit(5).cast("bigint").alias("n"))
+    few = spark.range(100, 150).select(F.lit("small").alias("lang"), F.col("id").alias("gram"), F.lit(1).cast("bigint").alias("n"))
+    monkeypatch.setattr(language_id, "gram_counts", lambda *_: noise.unionByName(few))
+    model = language_id.fit(None)
+    assert {name: len(tree.grams[-1][0]) for name, tree in model.items()} == {"big": 4_200_000, "small": 50}
+    assert [tree.contexts[0][1][0] for tree in model.values()] == [5 * 4_200_000, 50]
+
+
 def test_factorization_machine_learns_a_pair():
     """Toxic only when an insult meets a group name: no additive weights can express that alone."""
     rng = np.random.default_rng(0)
