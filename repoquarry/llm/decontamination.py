@@ -6,7 +6,8 @@ cut into blocks, and each term keeps its largest impact in each block.
 
 All items above the threshold are retrieved by block-max WAND, for all passages of a batch at once: passages whose term
 maxima add up to less than the threshold are skipped, then blocks whose block maxima do; what is left is scored exactly.
-No passage, item or posting is dropped otherwise.  Retrieved items are verified on the words themselves: the passage
+No passage, item or posting is dropped otherwise.  Passages are cut to the item's own length class (powers of two), so
+what they hold depends on no other item and no shard; of the other items only the idf in a score does.  Retrieved items are verified on the words themselves: the passage
 must repeat the item's question and its answer.
 """
 
@@ -67,6 +68,18 @@ def overlap(wanted: list[str], passage: list[str]) -> float:
     return sum(run in there for run in runs) / len(runs)
 
 
+@dataclass(frozen=True)
+class Group:
+    """The items of one length class of a shard: those of more than half of `stride` words, up to `stride`."""
+
+    stride: int
+    items: np.ndarray  # by number within the group: number within the shard
+    begin: np.ndarray  # postings of term t: begin[t] to begin[t + 1]
+    item: np.ndarray
+    impact: np.ndarray
+    block_max: np.ndarray  # terms x blocks
+
+
 @dataclass(frozen=True)
 class Index:
     """One shard of items."""
@@ -74,45 +87,36 @@ class Index:
     ids: list[int]
     parts: list[tuple[list[str], list[str]]]
     terms: dict[str, int]
-    begin: np.ndarray  # postings of term t: begin[t] to begin[t + 1]
-    item: np.ndarray
-    impact: np.ndarray
-    block_max: np.ndarray  # terms x blocks
-    longest: int
+    groups: list[Group]
 
 
 def build_index(items: list[tuple[int, str]], total: int, frequency: dict[str, int], average: float) -> Index:
     """Index of `items`; item count, document frequencies and average length are those of all shards."""
     terms: dict[str, int] = {}
-    postings: list[list[tuple[int, float]]] = []
     parts = [question_and_answer(text) for _, text in items]
-    longest = 1
+    impacts: list[list[tuple[int, float]]] = []
+    classes: dict[int, list[int]] = {}
     for number, (question, answer) in enumerate(parts):
         words = question + answer
-        longest = max(longest, len(words))
+        classes.setdefault(1 << (len(words) - 1).bit_length(), []).append(number)
         counts = Counter(words)
         norm = K1 * (1 - B + B * len(words) / average)
         raw = {}
         for w, n in counts.items():
             idf = np.log1p((total - frequency[w] + 0.5) / (frequency[w] + 0.5))
-            raw[w] = idf * n * (K1 + 1) / (n + norm)
+            raw[terms.setdefault(w, len(terms))] = idf * n * (K1 + 1) / (n + norm)
         own = sum(raw.values())
-        for w, value in raw.items():
-            t = terms.setdefault(w, len(terms))
-            if t == len(postings):
-                postings.append([])
-            postings[t].append((number, value / own))
-    blocks = -(-max(len(items), 1) // BLOCK_ITEMS)
-    block_max = np.zeros((len(terms), blocks), np.float32)
-    for t, found in enumerate(postings):
-        for number, value in found:
-            block_max[t, number // BLOCK_ITEMS] = max(block_max[t, number // BLOCK_ITEMS], value * 1.000001)
-    begin = np.concatenate([[0], np.cumsum([len(p) for p in postings])]).astype(np.int64)
-    flat = [x for p in postings for x in p]
-    return Index(
-        [i for i, _ in items], parts, terms, begin, np.array([x[0] for x in flat], np.int64),
-        np.array([x[1] for x in flat]), block_max, longest,
-    )
+        impacts.append([(t, value / own) for t, value in raw.items()])
+    groups = []
+    for stride, members in sorted(classes.items()):
+        postings = sorted((t, k, value) for k, number in enumerate(members) for t, value in impacts[number])
+        term, item = (np.array([x[i] for x in postings], np.int64) for i in (0, 1))
+        impact = np.array([x[2] for x in postings])
+        block_max = np.zeros((len(terms), -(-len(members) // BLOCK_ITEMS)), np.float32)
+        np.maximum.at(block_max, (term, item // BLOCK_ITEMS), (impact * 1.000001).astype(np.float32))
+        begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]).astype(np.int64)
+        groups.append(Group(stride, np.array(members, np.int64), begin, item, impact, block_max))
+    return Index([i for i, _ in items], parts, terms, groups)
 
 
 def build_shards(items: DataFrame, key: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> list[Index]:
@@ -143,16 +147,20 @@ def build_shards(items: DataFrame, key: str = "item_id", text: str = "text", sha
 
 def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
     """(text, first word, last word, item, score) of all passages and items at or above the threshold."""
-    stride = index.longest
-    get = index.terms.get
     sizes = np.array([len(words) for words in lists], np.int64)
-    ids = np.fromiter(map(get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
+    ids = np.fromiter(map(index.terms.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    upper = np.append(index.block_max.max(1), 0.0)  # the last is for words that no item has
+    for group in index.groups:
+        yield from _retrieve_group(group, ids, sizes, starts, threshold)
+
+
+def _retrieve_group(group: Group, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+    stride = group.stride
+    upper = np.append(group.block_max.max(1), 0.0)  # the last is for words that no item has
     sums = np.concatenate([[0.0], np.cumsum(upper[ids])])
     # passages: two strides long, one stride apart, so that each run of an item's length lies in one of them
     count = np.maximum(1, -(-sizes // stride) - 1)
-    text = np.repeat(np.arange(len(lists)), count)
+    text = np.repeat(np.arange(len(sizes)), count)
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     low = starts[text] + number * stride
     high = np.minimum(low + 2 * stride, starts[text + 1])
@@ -161,20 +169,20 @@ def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterato
         terms = terms[np.append(terms[1:] != terms[:-1], True) & (terms >= 0)]
         if upper[terms].sum() < threshold:
             continue
-        most = index.block_max[terms]
+        most = group.block_max[terms]
         alive = most.sum(0) >= threshold
         if not alive.any():
             continue
         terms = terms[(most[:, alive] > 0).any(1)]
-        begin, counts = index.begin[terms], index.begin[terms + 1] - index.begin[terms]
+        begin, counts = group.begin[terms], group.begin[terms + 1] - group.begin[terms]
         ends = np.cumsum(counts)
         at = np.repeat(begin - (ends - counts), counts) + np.arange(counts.sum())  # the postings of all terms, in their order
-        found = index.item[at]
+        found = group.item[at]
         held = alive[found // BLOCK_ITEMS]
-        scores = np.bincount(found[held], index.impact[at[held]], len(index.ids))
+        scores = np.bincount(found[held], group.impact[at[held]], len(group.items))
         for item in np.flatnonzero(scores >= threshold):
             t = int(text[p])
-            yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(item), float(scores[item])
+            yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(group.items[item]), float(scores[item])
 
 
 def find_leaks(

@@ -280,6 +280,25 @@ def test_leaks_match_brute_force(spark):
     assert all(want <= got[i] for i, _, want in docs) and sum(len(got[i] - want) for i, _, want in docs) <= 1
 
 
+def test_leaks_do_not_depend_on_other_items(spark):
+    """A long item, or another number of shards, changes nothing for a short one: scattered words are no leak."""
+    import random
+
+    rng = random.Random(6)
+    item = "Which stone bridge crosses the quiet northern river. Maple bridge"
+    filler = lambda n: " ".join(f"f{rng.randint(0, 3000)}" for _ in range(n))
+    scattered = " ".join([filler(60), "which stone bridge crosses", filler(60), "the quiet northern river", filler(60), "maple bridge", filler(60)])
+    rows = [(0, scattered), (1, f"{filler(90)} {item} {filler(90)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    long_item = (2, " ".join(f"q{i}" for i in range(2000)) + ".")
+    got = []
+    for items, words in (([(1, item)], 200_000), ([(1, item), long_item], 200_000), ([(1, item), long_item], 100)):
+        shards = decontamination.build_shards(spark.createDataFrame(items, "item_id long, text string"), shard_words=words)
+        hits = decontamination.find_leaks(docs, shards).orderBy("doc_id").collect()
+        got.append([[(h["item_id"], h["passages"], h["first_word"], h["question"], h["answer"]) for h in r["hits"]] for r in hits])
+    assert got[0] == got[1] == got[2] and got[0][0] == [] and [h[0] for h in got[0][1]] == [1]
+
+
 def test_pipeline(spark, corpus, empty):
     import corpus_pipeline as C
 
