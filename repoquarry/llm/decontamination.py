@@ -8,7 +8,7 @@ All items above the threshold are retrieved by block-max WAND, for all passages
 maxima add up to less than the threshold are skipped, then blocks whose block maxima do; what is left is scored exactly.
 No passage, item or posting is dropped otherwise.  Passages are cut to the item's own length class (powers of two), so
 what they hold depends on no other item and no shard; of the other items only the idf in a score does.  Retrieved items are verified on the words themselves: the passage
-must repeat the item's question and its answer.
+must repeat the item's question and its answer.  Items of fewer than `MIN_WORDS` words are found by all their words in a row.
 """
 
 from __future__ import annotations
@@ -31,15 +31,17 @@ BLOCK_ITEMS = 16
 SHARD_WORDS = 200_000
 THRESHOLD = 0.6
 OVERLAP = 0.5
-MIN_WORDS = 5
+MIN_WORDS = 5  # an item of fewer is found by an exact run of all its words
 NGRAM = 3
-_WORDS = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?<=[.?!])\s+|\n+")
+# scripts without spaces (Thai to Tibetan, Burmese, Khmer, New Tai Lue, Tai Tham, kana, Han): every character is a word
+_ALONE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[^\W_{_ALONE}]+|[^\W_]")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+|(?<=[。？！｡])\s*|\n+")
 HITS = "array<struct<item_id:bigint,passages:bigint,first_word:bigint,score:double,question:double,answer:double>>"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters and digits."""
+    """Lower-cased runs of letters and digits, one by one in scripts without spaces."""
     return _WORDS.findall(text.lower()) if text else []
 
 
@@ -88,6 +90,22 @@ class Index:
     parts: list[tuple[list[str], list[str]]]
     terms: dict[str, int]
     groups: list[Group]
+    short: list[tuple[np.ndarray, dict[int, list[int]]]]  # by number of words: sorted keys of the runs, items that end at a key
+
+
+def _run_keys(short: list[tuple[int, list[int]]], terms: int) -> list[tuple[np.ndarray, dict[int, list[int]]]]:
+    """A trie of the term runs (item, terms), level by level; a key is the number of the run before, and the next term."""
+    levels, at = [], [0] * len(short)
+    for k in range(max((len(run) for _, run in short), default=0)):
+        key = {i: at[i] * terms + run[k] for i, (_, run) in enumerate(short) if len(run) > k}
+        keys = np.unique(np.fromiter(key.values(), np.int64, len(key)))
+        ending: dict[int, list[int]] = {}
+        for i, value in key.items():
+            at[i] = int(np.searchsorted(keys, value))
+            if len(short[i][1]) == k + 1:
+                ending.setdefault(at[i], []).append(short[i][0])
+        levels.append((keys, ending))
+    return levels
 
 
 def build_index(items: list[tuple[int, str]], total: int, frequency: dict[str, int], average: float) -> Index:
@@ -96,8 +114,13 @@ def build_index(items: list[tuple[int, str]], total: int, frequency: dict[str, i
     parts = [question_and_answer(text) for _, text in items]
     impacts: list[list[tuple[int, float]]] = []
     classes: dict[int, list[int]] = {}
+    short: list[tuple[int, list[int]]] = []
     for number, (question, answer) in enumerate(parts):
         words = question + answer
+        if len(words) < MIN_WORDS:
+            short.append((number, [terms.setdefault(w, len(terms)) for w in words]))
+            impacts.append([])
+            continue
         classes.setdefault(1 << (len(words) - 1).bit_length(), []).append(number)
         counts = Counter(words)
         norm = K1 * (1 - B + B * len(words) / average)
@@ -116,17 +139,21 @@ def build_index(items: list[tuple[int, str]], total: int, frequency: dict[str, i
         np.maximum.at(block_max, (term, item // BLOCK_ITEMS), (impact * 1.000001).astype(np.float32))
         begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]).astype(np.int64)
         groups.append(Group(stride, np.array(members, np.int64), begin, item, impact, block_max))
-    return Index([i for i, _ in items], parts, terms, groups)
+    return Index([i for i, _ in items], parts, terms, groups, _run_keys(short, len(terms)))
 
 
 def build_shards(items: DataFrame, key: str = "item_id", text: str = "text", shard_words: int = SHARD_WORDS) -> list[Index]:
-    """Indexes of all items with an id and `MIN_WORDS` words or more, in shards of about `shard_words` words.
+    """Indexes of all items with a word, in shards of about `shard_words` words.
 
     A shard is what the driver and each task hold at a time; a larger set of items makes more shards.  Of rows that
-    repeat an id with another text, each is an item.
+    repeat an id with another text, each is an item.  A text without an id is an item with a negative number made from
+    the text (far below other ids), unless an item with an id has the same text.
     """
-    rows = items.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).distinct()
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]+"))
+    every = items.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+    named, unnamed = every.where("id IS NOT NULL"), every.where("id IS NULL")
+    own = F.pmod(F.xxhash64("text"), F.lit(1 << 62)) - F.lit((1 << 63) - 1) - 1
+    rows = named.unionByName(unnamed.join(named.select("text"), "text", "left_anti").select(own.alias("id"), "text"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]|[\p{L}\p{N}]+"))
     sizes = rows.withColumn("n", words)
     total_words = sizes.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total_words // shard_words))
@@ -134,7 +161,7 @@ def build_shards(items: DataFrame, key: str = "item_id", text: str = "text", sha
         [(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k).orderBy("id", "text").collect()]
         for k in range(shards)
     ]
-    sharded = [[(i, x) for i, x in shard if len(words_of(x)) >= MIN_WORDS] for shard in sharded]
+    sharded = [[(i, x) for i, x in shard if words_of(x)] for shard in sharded]
     frequency: Counter[str] = Counter()
     total = length = 0
     for shard in sharded:
@@ -145,16 +172,38 @@ def build_shards(items: DataFrame, key: str = "item_id", text: str = "text", sha
     return [build_index(shard, total, frequency, length / total) for shard in sharded if shard]
 
 
-def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """(text, first word, last word, item, score) of all passages and items at or above the threshold."""
+def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterator[tuple[int, int, int, int, float, int]]:
+    """(text, first word, last word, item, score, passages) of all passages and items at or above the threshold.
+
+    A passage of a longer item is a row of its own; the runs of a short item in a text are one row, with the first run.
+    """
     sizes = np.array([len(words) for words in lists], np.int64)
     ids = np.fromiter(map(index.terms.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     for group in index.groups:
         yield from _retrieve_group(group, ids, sizes, starts, threshold)
-
-
-def _retrieve_group(group: Group, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
+    yield from _retrieve_short(index, ids, starts)
+
+
+def _retrieve_short(index: Index, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int, float, int]]:
+    at, node = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+    for k, (keys, ending) in enumerate(index.short):
+        inside = at + k < starts[np.searchsorted(starts, at, "right")]  # the run stays in its text
+        at, node = at[inside], node[inside]
+        term = ids[at + k]
+        key = node * len(index.terms) + term
+        node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        there = (term >= 0) & (keys[node] == key)
+        at, node = at[there], node[there]
+        ends = np.isin(node, list(ending))
+        text = np.searchsorted(starts, at[ends], "right") - 1
+        runs, first, count = np.unique(np.stack([text, node[ends]], 1), axis=0, return_index=True, return_counts=True)
+        for (t, end), low, n in zip(runs.tolist(), (at[ends][first] - starts[runs[:, 0]]).tolist(), count.tolist(), strict=True):
+            for item in ending[end]:
+                yield t, low, low + k + 1, item, 1.0, n
+
+
+def _retrieve_group(group: Group, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float, int]]:
     stride = group.stride
     upper = np.append(group.block_max.max(1), 0.0)  # the last is for words that no item has
     sums = np.concatenate([[0.0], np.cumsum(upper[ids])])
@@ -182,7 +231,7 @@ def _retrieve_group(group: Group, ids: np.ndarray, sizes: np.ndarray, starts: np
         scores = np.bincount(found[held], group.impact[at[held]], len(group.items))
         for item in np.flatnonzero(scores >= threshold):
             t = int(text[p])
-            yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(group.items[item]), float(scores[item])
+            yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(group.items[item]), float(scores[item]), 1
 
 
 def find_leaks(
@@ -192,7 +241,7 @@ def find_leaks(
 
     A hit is an item that a passage covers to `threshold` of its BM25 weight and whose question and answer the passage
     repeats to `least` of their 3-word runs each.  `passages` counts such passages, the other fields are those of the
-    best one (earliest on ties).  Hits are in item order.  A column named like `out` is replaced.
+    best one (earliest on ties).  An item of fewer than `MIN_WORDS` words is hit wherever all its words stand in a row.  Hits are in item order.  A column named like `out` is replaced.
     """
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(shards)
@@ -208,16 +257,16 @@ def find_leaks(
             for start, stop in pieces(texts):
                 lists = [words_of(x) for x in texts[start:stop]]
                 for index in shared.value:
-                    for row, low, high, item, score in _retrieve(index, lists, threshold):
+                    for row, low, high, item, score, n in _retrieve(index, lists, threshold):
                         passage = lists[row][low:high]
                         question, answer = (overlap(part, passage) for part in index.parts[item])
                         if min(question, answer) < least:
                             continue
                         best = found[start + row].get(index.ids[item])
-                        now = {"item_id": index.ids[item], "passages": 1, "first_word": low, "score": score, "question": question, "answer": answer}
+                        now = {"item_id": index.ids[item], "passages": n, "first_word": low, "score": score, "question": question, "answer": answer}
                         if best:
                             better = now if score > best["score"] else best
-                            now = better | {"passages": best["passages"] + 1}
+                            now = better | {"passages": best["passages"] + n}
                         found[start + row][index.ids[item]] = now
             hits = pa.array([[h[i] for i in sorted(h)] for h in found], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=names)

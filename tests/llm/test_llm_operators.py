@@ -299,6 +299,20 @@ def test_leaks_do_not_depend_on_other_items(spark):
     assert got[0] == got[1] == got[2] and got[0][0] == [] and [h[0] for h in got[0][1]] == [1]
 
 
+def test_every_item_is_indexed(spark):
+    """Short items, items in scripts without spaces and items without an id are found, and only where they stand whole."""
+    han = "中国最长的河流是哪一条？是长江。"
+    thai = "แม่น้ำที่ยาวที่สุดในโลกคือแม่น้ำอะไร แม่น้ำไนล์"
+    items = [(1, "12 x 12? 144"), (2, "12 x"), (3, han), (4, thai), (5, "長江"), (None, "What colour is the seventh quiet engine of the north. It is green."), (None, "12 x 12? 144"), (6, " ."), (7, None)]
+    shards = decontamination.build_shards(spark.createDataFrame(items, "item_id long, text string"))
+    texts = ["see 12 x 12 144 and 12 X 9", "12 x", "x 12 144 12", f"他问{han}然后", f"ข้อ {thai} จบ", "在長江邊", "江長", "say what colour is the seventh quiet engine of the north? It is green now", "12", "x", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(h["item_id"], h["passages"], h["first_word"]) for h in r["hits"]] for r in decontamination.find_leaks(docs, shards).collect()}
+    assert got[0] == [(1, 1, 1), (2, 2, 1)] and got[1] == [(2, 1, 0)] and got[2] == [] and got[5] == [(5, 1, 1)] and got[6] == []
+    assert [h[0] for h in got[3]] == [3] and [h[0] for h in got[4]] == [4] and got[8] == got[9] == got[10] == []
+    assert len(got[7]) == 1 and got[7][0][0] < 0
+
+
 def test_pipeline(spark, corpus, empty):
     import corpus_pipeline as C
 
