@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.llm import decontamination, language_id, licence_scan, minhash, packing, pii, quality_rules, secret_scan, toxicity, warc_zip
+from repoquarry.llm import (
+    decontamination, language_id, licence_scan, manifest, minhash, packing, periodic_runs, pii, quality_rules, secret_scan, token_counts, toxicity, warc_zip,
+)
 from repoquarry.llm.common import remainder, table
-from repoquarry.llm.spans import listed
+from repoquarry.llm.spans import listed, once
+from repoquarry.plans.storage import working_dir
 
 
 def tokenizer_path() -> str:
@@ -110,6 +113,56 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, through a cache that starts empty."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"), path, working_dir(spark, "token_cache"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, tree and proof of all documents, and what the proof says of rows that were tampered with."""
+    documents = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    tampered = F.when(remainder("doc_id", 2) == 0, manifest.leaf_digest(*map(F.col, fields), F.replace("text", F.lit("\n"), F.lit(""))))
+    found = manifest.manifest(documents, tampered=tampered).withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, a tenth of which are made periodic from some word on."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = (crc % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    plain = once(documents, words=F.when(planted, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    seed, n = F.floor(crc / 10), F.size("words")
+    plain = once(plain, start=(seed % n).cast("int"))
+    plain = once(plain, period=(1 + F.floor((n - F.col("start")) / (3 + seed % 8))).cast("int"))
+    word = lambda i: F.get("words", (F.col("start") + (i - F.col("start")) % F.col("period")).cast("int"))
+    tail = F.transform(F.sequence(F.col("start"), n - 1), word)
+    periodic = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("start")), tail), " ")
+    found = periodic_runs.find_runs(plain.select("doc_id", F.when(F.col("words").isNotNull(), periodic).otherwise(F.col("text")).alias("text")))
+    runs = F.col("runs")
+
+    def better(best: Column, r: Column) -> Column:
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    # runs are in order of start and period, so the first of equal ones stays
+    strongest = F.aggregate(runs, F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), better)
+    lines = F.transform(runs, lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n")))
+    found = once(found, strongest=strongest)
+    return found.select(
+        "doc_id", F.size(runs).cast("bigint").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc": op2_warc,
@@ -121,6 +174,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_counts": op11_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {}
 
@@ -160,3 +216,4 @@ SELECT page_id, octet_length(rows.body)::BIGINT AS payload_bytes, sha1(rows.body
     CASE WHEN last <> page_id THEN last END AS refers_to, TRUE AS intact
 FROM rows LEFT JOIN last USING (body)
 """
+
