@@ -5,69 +5,95 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from repoquarry import rules
 from repoquarry.operators.sessions import TERMINATORS, assemble_sessions
 
 OUTPUT_SCHEMA = "session_id string, status string, text string"
-# closed: the result went out, what is left is a mark against later events of the session
-STATE_SCHEMA = "deadline bigint, closed boolean, seqs array<bigint>, times array<bigint>, full array<boolean>, parts array<string>"
+EVENT_SCHEMA = "seq bigint, ms bigint, type string, text string"
+# first event's time; the end known so far and its time; closed: the result went out, what is left is a mark
+CLOCK_SCHEMA = "first bigint, end_seq bigint, end_ms bigint, closed boolean"
 RETENTION_SECONDS = 3600
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _assembler(mode: str, milliseconds: int, retention: int):
-    """State function; nested and fed with plain values so executors get it by value."""
+def _processor(mode: str, milliseconds: int, retention: int) -> StatefulProcessor:
+    """The processor; nested and fed with plain values so executors get it by value.
+
+    Events are a list that only grows by appending; those whose text does not count are held without it.  The clock is
+    one small value.  A session is finished when all numbers from 0 to its end are there, or when the watermark has passed
+    the one timer, set at the end known so far or else at the deadline: nothing earlier can come any more.  The
+    result is made from all events in the session's order, by the same rules as in batch.
+    """
     terminators = TERMINATORS[mode]
     delta_type, message_type, error_type = rules.EVENT_DELTA, rules.EVENT_MESSAGE, rules.EVENT_ERROR
     remote = mode == "remote"
 
-    def result(key, status, deadline, events):
-        counted = sorted(e for e in events if e[1] < deadline)
-        message = [text for _, _, full, text in counted if full][-1:]
-        streamed = "".join(text for _, _, full, text in counted if not full)
-        return pd.DataFrame({"session_id": [key[0]], "status": [status], "text": [(message or [""])[0] or streamed]})
-
-    def assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        watermark = state.getCurrentWatermarkMs()
-        deadline, closed, held = None, False, []
-        if state.exists:
-            deadline, closed, *columns = state.get
-            held = list(zip(*columns))
-        status = None
-        if state.hasTimedOut:
+    class Sessions(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.events = handle.getListState("events", EVENT_SCHEMA)
+            self.clock = handle.getValueState("clock", CLOCK_SCHEMA)
+
+        def _set_timer(self, at: int) -> None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            first, end_seq, end_ms, closed = self.clock.get() if self.clock.exists() else (None, None, None, False)
+            for frame in rows:
+                if closed:
+                    continue
+                earliest = int(frame["ms"].min())
+                first = earliest if first is None else min(first, earliest)
+                kept = frame[frame["ms"] < first + milliseconds]
+                text = kept["content"].where(kept["type"] == message_type, kept["delta"] if remote else None)
+                held = list(zip(kept["seq"].tolist(), kept["ms"].tolist(), kept["type"].tolist(), text.where(text.notna(), "").tolist()))
+                if held:
+                    self.events.appendList(held)
+                for seq, ms, kind, _ in held:
+                    if kind in terminators and (end_seq is None or seq < end_seq):
+                        end_seq, end_ms = seq, ms
             if closed:
-                state.remove()
                 return
-            status = "timeout"
-        elif not closed:
-            # one session's events of one micro-batch, in session order
-            events = pd.concat(list(frames)).sort_values("seq")
-            # an earlier event that comes later moves the deadline back
-            first = int(events["ms"].min()) + milliseconds
-            deadline = first if deadline is None else min(deadline, first)
-            wanted = events["type"].isin([message_type, *([delta_type] if remote else [])]) & (events["ms"] < deadline)
-            ends = events[events["type"].isin(terminators) & (events["ms"] < deadline)].head(1)
-            if len(ends):
-                wanted &= events["seq"] <= ends["seq"].iloc[0]
-                status = "error" if ends["type"].iloc[0] == error_type else "ok"
-            taken = events[wanted]
-            full = taken["type"] == message_type
-            texts = taken["content"].where(full, taken["delta"])
-            texts = texts.where(texts.notna(), "")
-            held += zip(taken["seq"].tolist(), taken["ms"].tolist(), full.tolist(), texts.tolist())
-            if status is None and deadline <= watermark:
-                status = "timeout"
-        if status is not None:
-            yield result(key, status, deadline, held)
-            closed, held = True, []
-        if closed and deadline + retention <= watermark:
-            state.remove()
-            return
-        state.update((deadline, closed, *(list(map(list, zip(*held))) or [[], [], [], []])))
-        state.setTimeoutTimestamp(deadline + retention if closed else deadline)
-
-    return assemble
+            if end_ms is not None and end_ms >= first + milliseconds:
+                end_seq = end_ms = None  # an earlier first event took the end out of time; at the deadline all are looked at
+            if end_seq is not None:
+                events = sorted(e for e in self.events.get() if e[1] < first + milliseconds)
+                if len({e[0] for e in events if 0 <= e[0] <= end_seq}) == end_seq + 1:
+                    yield self._finish(key, first, events, timerValues)
+                    return
+            self.clock.update((first, end_seq, end_ms, False))
+            self._set_timer(first + milliseconds if end_ms is None else end_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            first, _, _, closed = self.clock.get()
+            if closed:
+                self.clock.clear()
+                return
+            held = self.events.get() if self.events.exists() else ()
+            yield self._finish(key, first, sorted(e for e in held if e[1] < first + milliseconds), timerValues)
+
+        def _finish(self, key, first: int, events: list, timerValues) -> pd.DataFrame:
+            end = next((e for e in events if e[2] in terminators), None)
+            inside = events if end is None else [e for e in events if e[0] < end[0]]
+            status = "timeout" if end is None else "error" if end[2] == error_type else "ok"
+            if remote:
+                message = end[3] if end is not None and end[2] == message_type else ""
+                text = message or "".join(e[3] for e in inside if e[2] == delta_type)
+            else:
+                text = next((e[3] for e in reversed(inside) if e[2] == message_type), "")
+            self.events.clear()
+            self.clock.update((first, None, None, True))
+            self._set_timer(max(first + milliseconds, timerValues.getCurrentWatermarkInMs()) + retention)
+            return pd.DataFrame({"session_id": [key[0]], "status": [status], "text": [text]})
+
+        def close(self) -> None:
+            pass
+
+    return Sessions()
 
 
 def stream_sessions(
@@ -79,26 +105,29 @@ def stream_sessions(
 ) -> DataFrame:
     """Streaming counterpart of `assemble_sessions`: append one row per session as sessions end.
 
-    The deadline is an event-time timer `seconds` after the first event, so the
-    watermark (`lateness`) decides when an unfinished session is given up.  A
-    session that went out leaves a mark for `retention` seconds beyond its
-    deadline, so events that arrive until then cannot start it anew.
+    A session goes out as soon as all events numbered from 0 to its end are there, else when the watermark (the latest
+    time seen, less `lateness`) has passed its end, or its deadline `seconds` after its first event.  Until then events may come in any order and any cut into micro-batches; the
+    result is that of the batch form as long as, within a session, an event with a smaller `seq` is not younger and none is
+    later than the watermark.  A session that went out leaves a mark for `retention` seconds, so events that arrive
+    until then cannot start it anew.
+
+    State is kept in RocksDB, which lists and timers need: set `spark.sql.streaming.stateStore.providerClass` to
+    `STATE_STORE` in the session that starts the query (`run_available` does).
     """
     timed = events.withWatermark("ts", lateness).withColumn("ms", F.unix_millis("ts"))
     columns = timed.select("session_id", "seq", "ts", "ms", "type", "content", "delta")
-    return columns.groupBy("session_id").applyInPandasWithState(
-        _assembler(mode, seconds * 1000, retention * 1000),
+    return columns.groupBy("session_id").transformWithStateInPandas(
+        _processor(mode, seconds * 1000, retention * 1000),
         OUTPUT_SCHEMA,
-        STATE_SCHEMA,
         "append",
-        GroupStateTimeout.EventTimeTimeout,
+        "eventTime",
     )
 
 
 def with_unfinished(results: DataFrame, events: DataFrame, mode: str = "remote", seconds: int = rules.SESSION_SECONDS) -> DataFrame:
     """What a stream has put out, and the sessions still open in it, assembled from the same events in batch.
 
-    For a closed input: its last sessions end when no later event moves the watermark past their deadline.
+    For a closed input: its last sessions end when no later event moves the watermark past their end.
     """
     opened = events.join(results.select("session_id"), "session_id", "left_anti")
     return results.unionByName(assemble_sessions(opened, mode, seconds))
@@ -108,14 +137,20 @@ def run_available(results: DataFrame, output: str, checkpoint: str) -> None:
     """Process everything available now into Parquet at `output`, then stop.
 
     Both paths belong on shared storage: progress survives the loss of any
-    executor, and of the driver.
+    executor, and of the driver.  The session's state store setting is put back afterwards.
     """
-    query = (
-        results.writeStream.format("parquet")
-        .option("path", output)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    conf, name = results.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name, None)
+    conf.set(name, STATE_STORE)
+    try:
+        query = (
+            results.writeStream.format("parquet")
+            .option("path", output)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)

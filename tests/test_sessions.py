@@ -1,6 +1,7 @@
 """Session assembly: batch rules, slices, and the streaming form against the batch form."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,37 @@ def test_no_shared_folder_is_an_error_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         working_dir(Session, "x")
+
+
+# session -> [(seq, second, type, text)]; events with a smaller seq are not younger
+DISORDER = {
+    "held_beyond_end": [(1, 1, DELTA, "one "), (3, 3, DELTA, "three "), (2, 2, IDLE, None)],
+    "gap": [(0, 5, DELTA, "a"), (4, 9, MESSAGE, ""), (2, 7, DELTA, "b"), (6, 11, DELTA, "c")],
+    "two_ends": [(5, 50, IDLE, None), (3, 30, ERROR, None), (4, 40, MESSAGE, "late"), (1, 10, DELTA, "x"), (2, 20, MESSAGE, "first")],
+    "deadline_moves": [(2, 130, IDLE, None), (1, 100, DELTA, "in"), (0, 5, DELTA, "start "), (3, 131, DELTA, "out")],
+    "only_end": [(0, 7, IDLE, None)],
+    "clock": [(0, 9000, DELTA, "z"), (1, 9001, IDLE, None)],
+}
+
+
+@pytest.mark.parametrize("mode", ["remote", "local"])
+@pytest.mark.parametrize("cut", [1, 2, 3])
+def test_stream_equals_batch_for_any_order_and_cut(spark, tmp_path, mode, cut):
+    rows = [(s, q, START + dt.timedelta(seconds=t), k, x if k == MESSAGE else None, x if k == DELTA else None) for s, events in DISORDER.items() for q, t, k, x in events]
+    last = [r for r in rows if r[0] == "clock"]
+    rows = [r for r in rows if r[0] != "clock"]
+    random.Random(cut).shuffle(rows)
+    size = max(1, -(-len(rows) // (cut * 3)))
+    for i, at in enumerate(range(0, len(rows), size)):
+        spark.createDataFrame(rows[at : at + size], session_events.EVENTS_SCHEMA).coalesce(1).write.json(str(tmp_path / "in" / f"{i:03}"))
+    spark.createDataFrame(last, session_events.EVENTS_SCHEMA).coalesce(1).write.json(str(tmp_path / "in" / "900"))
+    source = session_events.stream_events(spark, str(tmp_path / "in" / "*"), files_per_batch=1)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    run_available(stream_sessions(source, mode, lateness="1 hour"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    got = sorted(map(tuple, spark.read.schema("session_id string, status string, text string").parquet(str(tmp_path / "out")).collect()))
+    every = session_events.read_events(spark, str(tmp_path / "in" / "*"))
+    want = sorted(map(tuple, sessions.assemble_sessions(every, mode).collect()))
+    assert got == want
+    if mode == "remote":
+        assert dict((r[0], r[1:]) for r in got)["held_beyond_end"] == ("ok", "one ")
