@@ -217,3 +217,52 @@ SELECT page_id, octet_length(rows.body)::BIGINT AS payload_bytes, sha1(rows.body
 FROM rows LEFT JOIN last USING (body)
 """
 
+
+# crc32 takes the bytes of the decimal id one by one, and eight shifts (-1) after each
+SQL["op12_merkle_manifest"] = r"""
+WITH RECURSIVE fields AS (
+    SELECT doc_id, coalesce('=' || source, '') AS grp, text, list_reduce(list_concat([4294967295], flatten(list_transform(
+            string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc // 2, 3988292384) ELSE acc // 2 END) AS crc,
+        coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+            || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head
+    FROM documents
+),
+leaves AS (
+    SELECT doc_id, grp, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')) END AS tampered
+    FROM fields
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+tree(grp, lvl, pos, n, digest) AS (
+    SELECT grp, 0, pos, n, leaf FROM numbered
+    UNION ALL
+    SELECT grp, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY grp, lvl, pos // 3, n
+),
+subroots AS (SELECT grp, lvl AS height, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place, count(*) OVER () AS total FROM tree WHERE n = 1),
+crown(lvl, pos, n, digest) AS (
+    SELECT 0, place, total, subroot FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY lvl, pos // 3, n
+),
+roots AS (SELECT lvl AS crown_height, digest AS root FROM crown WHERE n = 1),
+siblings AS (
+    SELECT grp, lvl, pos, coalesce(lag(digest, 2) OVER run, '') || coalesce(lag(digest, 1) OVER run, '') AS l,
+        coalesce(lead(digest, 1) OVER run, '') || coalesce(lead(digest, 2) OVER run, '') AS r
+    FROM (SELECT grp, lvl, pos, n, digest FROM tree UNION ALL SELECT NULL, lvl, pos, n, digest FROM crown) WHERE n > 1
+    WINDOW run AS (PARTITION BY grp, lvl, pos // 3 ORDER BY pos)
+),
+climb(grp, begun, here, lvl, h, proof) AS (
+    SELECT grp, pos, pos, 0, coalesce(tampered, leaf), '' FROM numbered
+    UNION ALL
+    SELECT c.grp, begun, here // 3, c.lvl + 1, sha256(l || h || r), proof || l || r FROM climb c JOIN siblings s ON s.grp = c.grp AND s.lvl = c.lvl AND s.pos = c.here
+),
+end_of_climb(grp, begun, here, lvl, h, proof) AS (
+    SELECT c.grp, begun, place, 0, h, proof FROM climb c JOIN subroots s ON s.grp = c.grp AND s.height = c.lvl
+    UNION ALL
+    SELECT c.grp, begun, here // 3, c.lvl + 1, sha256(l || h || r), proof || l || r FROM end_of_climb c JOIN siblings s ON s.grp IS NULL AND s.lvl = c.lvl AND s.pos = c.here
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM numbered JOIN subroots USING (grp) CROSS JOIN roots
+JOIN end_of_climb c ON c.grp = numbered.grp AND c.begun = numbered.pos AND c.lvl = crown_height
+"""
