@@ -29,14 +29,21 @@ class _Table(dict):
 
     def __init__(self, owner: _Encoder):
         super().__init__()
-        self.owner, self.new = owner, []
+        self.owner, self.new, self.numbers = owner, [], []
 
     def __missing__(self, word: str) -> int:
         self[word] = number = self.owner.entries
         self.owner.entries += 1
         self.new.append(word)
+        self.numbers.append(number)
         return number
 
+    def taken(self) -> tuple[list[str], list[int]]:
+        """The strings noted since the last call, and their entry numbers."""
+        new, numbers = self.new, self.numbers
+        self.new, self.numbers = [], []
+        return new, numbers
+
 
 class _Encoder:
     """Token ids of many texts, encoding every distinct word once.
@@ -73,44 +80,57 @@ class _Encoder:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        """Fill in the entries of all new strings."""
-        words, self.spaced.new = self.spaced.new, []
-        simple, joined, direct = [], [], []
-        for word in words:
-            number = self.spaced[word]
-            if not word or word[0].isspace() or word[-1].isspace():
-                self._put(number, None)
-            elif word.isalpha():
+        """Fill in the entries of all new strings, a kind at a time."""
+        spaced, numbers = self.spaced.taken()
+        simple, simple_at, heads, tails, joined_at, direct, direct_at, wide = [], [], [], [], [], [], [], []
+        for word, number in zip(spaced, numbers):
+            if word.isalpha():
                 simple.append(word)
+                simple_at.append(number)
+            elif not word or word[0].isspace() or word[-1].isspace():
+                wide.append(number)
             elif found := self._letters.match(word):
-                joined.append((number, self.spaced[word[: found.end()]], self.plain[word[found.end() :]]))
+                end = found.end()
+                heads.append(self.spaced[word[:end]])
+                tails.append(self.plain[word[end:]])
+                joined_at.append(number)
             else:
-                direct.append(word)
-        simple += self.spaced.new  # heads that were new as well
-        self.spaced.new = []
+                direct.append(" " + word)
+                direct_at.append(number)
+        more, more_at = self.spaced.taken()  # heads that were new as well
+        simple += more
+        simple_at += more_at
+        plain, plain_at = self.plain.taken()
+        self._room()
+        self.count[wide] = -1
         if simple:  # one call for all: each begins with the only token that starts with a space
             ids = self._encode([" " + " ".join(simple)])[0]
-            for word, piece in zip(simple, np.split(ids, np.flatnonzero(self.opens[ids])[1:]), strict=True):
-                self._put(self.spaced[word], piece)
-        parts = [(self.spaced[word], " " + word) for word in direct] + [(self.plain[word], word) for word in self.plain.new]
-        self.plain.new = []
-        for (number, _), piece in zip(parts, self._encode([part for _, part in parts]), strict=True):
-            self._put(number, piece)
-        for number, head, tail in joined:
-            self._put(number, np.concatenate([self.flat[self.begin[i] : self.begin[i] + self.count[i]] for i in (head, tail)]))
-
-    def _put(self, number: int, ids: np.ndarray | None) -> None:
-        if number >= len(self.begin):
-            self.begin, self.count = (np.resize(x, max(number + 1, 2 * len(x))) for x in (self.begin, self.count))
-        if ids is None:
-            self.count[number] = -1
-            return
+            self._store(simple_at, ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        parts = self._encode(direct + plain)
+        if parts:
+            self._store(direct_at + plain_at, np.concatenate(parts), [len(ids) for ids in parts])
+        if joined_at:
+            both = np.array([heads, tails], np.int64).T.ravel()
+            self._store(joined_at, self._ids(both), self.count[heads] + self.count[tails])
+
+    def _room(self) -> None:
+        if self.entries > len(self.begin):
+            self.begin, self.count = (np.resize(x, max(self.entries, 2 * len(x))) for x in (self.begin, self.count))
+
+    def _store(self, numbers: list[int], ids: np.ndarray, counts) -> None:
+        """The ids of entries `numbers`, `counts` each, in a row."""
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
-        self.begin[number], self.count[number] = self.used, len(ids)
+        self.begin[numbers], self.count[numbers] = self.used + np.cumsum(counts) - counts, counts
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of entries, in a row."""
+        counts = self.count[numbers]
+        ends = np.cumsum(counts, dtype=np.int64)
+        return self.flat[np.repeat(self.begin[numbers] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         whole = [k for k, text in enumerate(texts) if self.added.search(text)]
         if not whole:
@@ -139,12 +159,7 @@ class _Encoder:
             clear = [i > 0 and not word[-1].isspace() for i, word in enumerate(words)]
             entries[k] = np.array([self.spaced[w[1:]] if c else self.plain[w] for w, c in zip(words, clear, strict=True)], np.int64)
         self._learn()
-        out = []
-        for at in entries:
-            counts = self.count[at]
-            ends = np.cumsum(counts, dtype=np.int64)
-            out.append(self.flat[np.repeat(self.begin[at] - (ends - counts), counts) + np.arange(ends[-1])])
-        return out
+        return [self._ids(at) for at in entries]
 
 
 def _encoder(path: str) -> _Encoder:
