@@ -4,8 +4,8 @@ The index holds, for each term of the items, its postings in item order with BM2
 the item gives itself; a passage's score for an item is thus the share of the item's weight it covers.  The items are
 cut into blocks, and each term keeps its largest impact in each block.
 
-All items above the threshold are retrieved by block-max WAND, for all passages of a batch at once: passages whose term
-maxima add up to less than the threshold are skipped, then blocks whose block maxima do; what is left is scored exactly.
+All items above the threshold are retrieved by block-max WAND, for all passages of a batch at once: for each passage,
+blocks whose block maxima add up to less than the threshold are skipped; the postings of the others are scored exactly.
 No passage, item or posting is dropped otherwise.  Passages are cut to the item's own length class (powers of two), so
 what they hold depends on no other item and no shard; of the other items only the idf in a score does.  Retrieved items are verified on the words themselves: the passage
 must repeat the item's question and its answer.  Items of fewer than `MIN_WORDS` words are found by all their words in a row.
@@ -29,6 +29,7 @@ from repoquarry.llm.common import pieces, prepare
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
 SHARD_WORDS = 200_000
+CELLS = 2_000_000  # passages x items scored at a time
 THRESHOLD = 0.6
 OVERLAP = 0.5
 MIN_WORDS = 5  # an item of fewer is found by an exact run of all its words
@@ -36,13 +37,14 @@ NGRAM = 3
 # scripts without spaces (Thai to Tibetan, Burmese, Khmer, New Tai Lue, Tai Tham, kana, Han): every character is a word
 _ALONE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _WORDS = re.compile(rf"[^\W_{_ALONE}]+|[^\W_]")
+_ASCII_WORDS = re.compile(r"[a-z0-9]+")  # the same words, where the text is ASCII only
 _SENTENCE = re.compile(r"(?<=[.?!])\s+|(?<=[。？！｡])\s*|\n+")
 HITS = "array<struct<item_id:bigint,passages:bigint,first_word:bigint,score:double,question:double,answer:double>>"
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters and digits, one by one in scripts without spaces."""
-    return _WORDS.findall(text.lower()) if text else []
+    return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text.lower()) if text else []
 
 
 def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
@@ -79,7 +81,9 @@ class Group:
     begin: np.ndarray  # postings of term t: begin[t] to begin[t + 1]
     item: np.ndarray
     impact: np.ndarray
-    block_max: np.ndarray  # terms x blocks
+    block_begin: np.ndarray  # blocks that hold term t: block_begin[t] to block_begin[t + 1]
+    block: np.ndarray
+    block_max: np.ndarray  # the term's largest impact in that block
 
 
 @dataclass(frozen=True)
@@ -135,10 +139,10 @@ def build_index(items: list[tuple[int, str]], total: int, frequency: dict[str, i
         postings = sorted((t, k, value) for k, number in enumerate(members) for t, value in impacts[number])
         term, item = (np.array([x[i] for x in postings], np.int64) for i in (0, 1))
         impact = np.array([x[2] for x in postings])
-        block_max = np.zeros((len(terms), -(-len(members) // BLOCK_ITEMS)), np.float32)
-        np.maximum.at(block_max, (term, item // BLOCK_ITEMS), (impact * 1.000001).astype(np.float32))
-        begin = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]).astype(np.int64)
-        groups.append(Group(stride, np.array(members, np.int64), begin, item, impact, block_max))
+        starts = np.flatnonzero(np.diff(term * len(members) + item // BLOCK_ITEMS, prepend=-1))  # a run of postings each
+        block_max = np.maximum.reduceat(impact, starts) * 1.000001  # the bound must not round below a sum of impacts
+        begin, block_begin = (np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(terms)))]).astype(np.int64) for t in (term, term[starts]))
+        groups.append(Group(stride, np.array(members, np.int64), begin, item, impact, block_begin, item[starts] // BLOCK_ITEMS, block_max))
     return Index([i for i, _ in items], parts, terms, groups, _run_keys(short, len(terms)))
 
 
@@ -180,8 +184,13 @@ def _retrieve(index: Index, lists: list[list[str]], threshold: float) -> Iterato
     sizes = np.array([len(words) for words in lists], np.int64)
     ids = np.fromiter(map(index.terms.get, chain.from_iterable(lists), repeat(-1)), np.int64, int(sizes.sum()))
     starts = np.concatenate([[0], np.cumsum(sizes)])
+    known = np.flatnonzero(ids >= 0)
+    order = known[np.argsort(ids[known], kind="stable")]
+    before = np.full(len(ids), -1, np.int64)  # the place before where the same word stands, in any text
+    same = ids[order[1:]] == ids[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
     for group in index.groups:
-        yield from _retrieve_group(group, ids, sizes, starts, threshold)
+        yield from _retrieve_group(group, ids, before, sizes, starts, threshold)
     yield from _retrieve_short(index, ids, starts)
 
 
@@ -203,35 +212,54 @@ def _retrieve_short(index: Index, ids: np.ndarray, starts: np.ndarray) -> Iterat
                 yield t, low, low + k + 1, item, 1.0, n
 
 
-def _retrieve_group(group: Group, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float, int]]:
-    stride = group.stride
-    upper = np.append(group.block_max.max(1), 0.0)  # the last is for words that no item has
-    sums = np.concatenate([[0.0], np.cumsum(upper[ids])])
+def _spread(begin: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each term its places from begin[t] to begin[t + 1], in a row: the number of the term in the list, and the place."""
+    counts = begin[terms + 1] - begin[terms]
+    owner = np.repeat(np.arange(len(terms)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - begin[terms], counts)
+
+
+def _retrieve_group(
+    group: Group, ids: np.ndarray, before: np.ndarray, sizes: np.ndarray, starts: np.ndarray, threshold: float
+) -> Iterator[tuple[int, int, int, int, float, int]]:
+    stride, n_items, n_blocks = group.stride, len(group.items), -(-len(group.items) // BLOCK_ITEMS)
     # passages: two strides long, one stride apart, so that each run of an item's length lies in one of them
     count = np.maximum(1, -(-sizes // stride) - 1)
+    first = np.cumsum(count) - count
     text = np.repeat(np.arange(len(sizes)), count)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    low = starts[text] + number * stride
+    low = starts[text] + (np.arange(len(text)) - first[text]) * stride
     high = np.minimum(low + 2 * stride, starts[text + 1])
-    for p in np.flatnonzero(sums[high] - sums[low] >= threshold):
-        terms = np.sort(ids[low[p] : high[p]])
-        terms = terms[np.append(terms[1:] != terms[:-1], True) & (terms >= 0)]
-        if upper[terms].sum() < threshold:
-            continue
-        most = group.block_max[terms]
-        alive = most.sum(0) >= threshold
-        if not alive.any():
-            continue
-        terms = terms[(most[:, alive] > 0).any(1)]
-        begin, counts = group.begin[terms], group.begin[terms + 1] - group.begin[terms]
-        ends = np.cumsum(counts)
-        at = np.repeat(begin - (ends - counts), counts) + np.arange(counts.sum())  # the postings of all terms, in their order
-        found = group.item[at]
-        held = alive[found // BLOCK_ITEMS]
-        scores = np.bincount(found[held], group.impact[at[held]], len(group.items))
-        for item in np.flatnonzero(scores >= threshold):
+    # the query of a passage: its words that some item of the group has, each where it first stands in the passage
+    there = group.begin[1:] > group.begin[:-1]
+    at = np.flatnonzero(np.append(there, False)[ids])
+    owner = np.searchsorted(starts, at, "right") - 1
+    queries = []
+    for back in (0, 1):
+        number = (at - starts[owner]) // stride - back
+        inside = (number >= 0) & (number < count[owner])
+        passage = first[owner[inside]] + number[inside]
+        new = before[at[inside]] < low[passage]
+        queries.append((passage[new], ids[at[inside][new]]))
+    step = max(1, CELLS // max(n_items, 1))
+    for start in range(0, len(text), step):
+        cuts = [np.searchsorted(passage, [start, start + step]) for passage, _ in queries]
+        passage = np.concatenate([p[a:b] for (p, _), (a, b) in zip(queries, cuts, strict=True)]) - start
+        terms = np.concatenate([t[a:b] for (_, t), (a, b) in zip(queries, cuts, strict=True)])
+        rows = min(step, len(text) - start)
+        # blocks whose maxima add up to the threshold; only their postings are scored
+        query, place = _spread(group.block_begin, terms)
+        bound = np.bincount(passage[query] * n_blocks + group.block[place], group.block_max[place], rows * n_blocks)
+        alive = bound >= threshold
+        some = alive.reshape(rows, n_blocks).any(1)[passage]
+        passage, terms = passage[some], terms[some]
+        query, place = _spread(group.begin, terms)
+        held = alive[passage[query] * n_blocks + group.item[place] // BLOCK_ITEMS]
+        query, place = query[held], place[held]
+        scores = np.bincount(passage[query] * n_items + group.item[place], group.impact[place], rows * n_items)
+        for cell in np.flatnonzero(scores >= threshold).tolist():
+            p, item = start + cell // n_items, cell % n_items
             t = int(text[p])
-            yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(group.items[item]), float(scores[item]), 1
+            yield t, int(low[p] - starts[t]), int(high[p] - starts[t]), int(group.items[item]), float(scores[cell]), 1
 
 
 def find_leaks(
@@ -244,19 +272,22 @@ def find_leaks(
     best one (earliest on ties).  An item of fewer than `MIN_WORDS` words is hit wherever all its words stand in a row.  Hits are in item order.  A column named like `out` is replaced.
     """
     prepare(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(shards)
+    # plain values, so that executors need no copy of this package to read them
+    plain = [(x.ids, x.parts, x.terms, [tuple(vars(g).values()) for g in x.groups], x.short) for x in shards]
+    shared = df.sparkSession.sparkContext.broadcast(plain)
     source = df.drop(out)
     at, names = source.columns.index(text), [*source.columns, out]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("passages", pa.int64()), ("first_word", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
+        indexes = [Index(ids, parts, terms, [Group(*g) for g in groups], short) for ids, parts, terms, groups, short in shared.value]
         for batch in batches:
             texts = [x or "" for x in batch.column(at).to_pylist()]
             found: list[dict] = [{} for _ in texts]
             for start, stop in pieces(texts):
                 lists = [words_of(x) for x in texts[start:stop]]
-                for index in shared.value:
+                for index in indexes:
                     for row, low, high, item, score, n in _retrieve(index, lists, threshold):
                         passage = lists[row][low:high]
                         question, answer = (overlap(part, passage) for part in index.parts[item])
