@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from repoquarry.plans.storage import settle
@@ -31,8 +31,10 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        links = settle(small, "links")
-        state = links.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # counted and summed up while they are written: links equal to those of the last round are the result
+        watched = Observation()
+        links = settle(small.observe(watched, F.count("u").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "links")
+        state = watched.get
         if before == state:
             roots = links.select(F.col("v").alias("node")).distinct()
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

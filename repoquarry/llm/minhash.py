@@ -10,7 +10,8 @@ The steps, none of which gathers a group of unbounded size:
 1. Texts with equal shingle sets form a class, represented by its smallest id.
 2. Representatives that share a band are candidates; each is paired with the smallest of the band only.  Where
    the signatures put a pair far apart, the representative is paired again with the smallest of those left over.
-3. Connected components of these pairs are clusters: documents in different clusters are not alike.
+3. Connected components of these pairs are clusters, and so is what two rounds leave of each band: documents that share
+   no cluster are not alike.
 4. Inside a cluster all similarities are computed exactly, in blocks of bounded size: a cluster of `k` blocks makes
    `k (k + 1) / 2` tasks.  A task yields the links of a spanning forest of its two blocks, never all pairs.
 5. Connected components of those links, and class membership, give every row its component.
@@ -127,10 +128,12 @@ def _agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "id bigint, leader bigint, near double")
 
 
-def _candidates(signed: DataFrame, far: float) -> DataFrame:
-    """Links (u, v) between representatives that share a band and are not clearly far apart.
+def _candidates(signed: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v) between representatives that share a band and are not clearly far apart, and what these leave over.
 
-    Most bands hold one document; what is stored are the members of shared bands other than their leader.
+    Most bands hold one document; what is stored are the members of shared bands other than their leader.  Those far from
+    their leader meet the smallest of them in a second round.  (id, band) of what is far from both leaders is returned: its
+    members may still be alike and have to be compared with each other.
     """
     links, rest = None, signed.select("id", F.explode("bands").alias("band"))
     for _ in range(2):
@@ -140,7 +143,7 @@ def _candidates(signed: DataFrame, far: float) -> DataFrame:
         found = near.where(F.col("near") >= far).select(F.col("id").alias("u"), F.col("leader").alias("v"))
         links = found if links is None else links.unionByName(found)
         rest = met.join(near.where(F.col("near") < far).select("id", "leader"), ["id", "leader"]).select("id", "band")
-    return links
+    return links, rest
 
 
 def _forest(members: list[tuple[int, int, np.ndarray]], same: bool, accept: tuple[int, int]) -> list[tuple[int, int]]:
@@ -180,7 +183,7 @@ def _exact_links(clusters: DataFrame, texts: DataFrame, size: int, accept: tuple
         "id", "digest", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     # the comparison lets Spark see a selective side and drop other texts by a Bloom filter before they are shuffled
-    wanted = texts.join(clusters.where("n_shingles > 0").select("id"), "id", "left_semi")
+    wanted = texts.join(clusters.where("n_shingles > 0").select("id").distinct(), "id", "left_semi")
     rows = dealt.join(wanted, "id").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +243,10 @@ def near_duplicates(
     classes = settle(valid.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "classes")
     own = valid.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     reps = settle(own.groupBy("id", "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "reps")
-    clusters = connected_components(_candidates(reps, far)).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    links, rest = _candidates(reps, far)
+    clusters = connected_components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    # what is left of a crowded band is a cluster of its own, so that none of its pairs goes without a comparison
+    clusters = clusters.unionByName(rest.select("id", F.col("band").alias("cluster")))
     clusters = settle(reps.select("id", "digest", "n_shingles").join(clusters, "id"), "clusters")
     texts = source.select(F.col("__key").alias("id"), "__text")
     links = _exact_links(clusters, texts, size, threshold, block)

@@ -120,7 +120,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     """Train on the texts of labelled keys.
 
     Of more than `sample_rows` labels, those with the smallest hash of their key are taken; that bounds the broadcast
-    side of the join, so texts are not shuffled, and what the driver gets, the term numbers of those rows.  A key with
+    side of the join, so texts are not shuffled, and the term numbers of those rows, on which one task trains.  The driver gets
+    the machine only.  `options` are those of `train`.  A key with
     several labels counts with the largest; rows without key or label are left out.  Without rows of a class the
     machine gives the other class's prior.
     """
@@ -128,32 +129,51 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
     marked = marked.agg(F.max(label).cast("int").alias("__y")).orderBy(F.xxhash64("__key"), "__key").limit(sample_rows)
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    chosen = rows.join(F.broadcast(marked), "__key").select("__text", "__y")
+    chosen = rows.join(F.broadcast(marked), "__key").select("__text", F.xxhash64("__key").alias("place"), "__y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
         for batch in batches:
-            found = [terms_of(text, cache) for text in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32())), batch.column(1)], names=["terms", "y"]
-            )
+            found = [terms_of(text, cache).astype(np.int32) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]], names=["terms", "place", "y"])
 
-    got = chosen.mapInArrow(run, "terms array<int>, y int").toArrow()
-    lists = got.column("terms").combine_chunks()
-    flat, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths(), np.int64)
-    terms = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-    return train(terms, (got.column("y").to_numpy() > 0).astype(float) if len(sizes) else np.zeros(0), **options)
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, y = [], []
+        for batch in batches:
+            lists = batch.column(0)
+            flat, sizes = np.asarray(lists.flatten()), np.asarray(lists.value_lengths(), np.int64)
+            terms += np.split(flat, np.cumsum(sizes)[:-1])
+            y += (batch.column(2).to_numpy() > 0).tolist()
+        machine = train(terms, np.array(y, float), **options)
+        # the bias stands in a row of its own, under no bucket
+        numbers = [-1, *machine.known]
+        weights = np.concatenate([[machine.bias], machine.weights[list(machine.known.values())]])
+        factors = [[0.0] * machine.factors.shape[1], *machine.factors[list(machine.known.values())].tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(weights), pa.array(factors, pa.list_(pa.float64()))], names=["bucket", "weight", "factors"])
+
+    sample = chosen.mapInArrow(read, "terms array<int>, place bigint, y int").repartition(1).sortWithinPartitions("place", "y", "terms")
+    found = sample.mapInArrow(learn, "bucket int, weight double, factors array<double>").collect()
+    if not found:  # no labelled text, so no task
+        return train([], np.zeros(0), **options)
+    known = {r["bucket"]: k for k, r in enumerate(found[1:])}
+    weights, factors = np.array([r["weight"] for r in found[1:]] or [0.0]), np.array([r["factors"] for r in found[1:]] or [found[0]["factors"]])
+    return Machine(known, found[0]["weight"], weights, factors)
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
-    """Columns `keep` and the probability that the whole text is toxic; null and empty texts get that of no terms."""
+    """Columns `keep` and the probability that the whole text is toxic; null and empty texts get that of no terms.
+
+    A kept column named like `out` is replaced.
+    """
     prepare(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(machine)
+    # plain values, so that executors need no copy of this package to read them
+    shared = df.sparkSession.sparkContext.broadcast((machine.known, machine.bias, machine.weights, machine.factors))
+    keep = tuple(name for name in keep if name != out)
     source = df.select(*keep, F.col(text).alias("__text"))
     types = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
+        model, cache = Machine(*shared.value), {}
         for batch in batches:
             z = model.logits([terms_of(x, cache, model.known) for x in batch.column(len(keep)).to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
