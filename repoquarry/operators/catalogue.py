@@ -13,16 +13,19 @@ REGISTRY_SCHEMA = (
     "description string, category string, triggers array<string>, parent_agent string, "
     "sub_agents array<string>, is_sub_agent boolean"
 )
-# agents are listed after every skill of their repository
-AGENT_OFFSET = 1 << 40
+# agents are listed after every skill of their repository: positions are not negative, those of skills are moved below zero
+SKILL_OFFSET = -(1 << 63)
 GRAM = 3
 
 
 def build_registry(skills: DataFrame, agents: DataFrame | None = None) -> DataFrame:
-    """Skills then agents as one relation, with the path each entry is filed under."""
+    """Skills then agents as one relation, with the path each entry is filed under.
+
+    `ord` is that of the input for agents; skills keep their order below zero, whatever their positions.
+    """
     entries = skills.select(
         "repo_id",
-        "ord",
+        (F.col("ord") + F.lit(SKILL_OFFSET)).alias("ord"),
         F.lit("skill").alias("type"),
         "name",
         F.concat(F.lit(".github/skills/"), "name", F.lit("/SKILL.md")).alias("file"),
@@ -40,7 +43,7 @@ def build_registry(skills: DataFrame, agents: DataFrame | None = None) -> DataFr
     return entries.unionByName(
         agents.select(
             "repo_id",
-            (F.col("ord") + AGENT_OFFSET).alias("ord"),
+            "ord",
             F.lit("agent").alias("type"),
             "name",
             file.alias("file"),

@@ -57,14 +57,16 @@ def ordered_concat(
     sections: Sequence[str] = (),
     chunk: int = CHUNK,
     sliced: bool = False,
+    leading: str | None = None,
 ) -> DataFrame:
     """Concatenate `text` per key in (sections, position) order.
 
     `position` is unique within (keys, sections), so a first pass over slices
     of `chunk` positions never gathers more than `chunk` rows; the second pass
-    joins the slices into the one output value the caller asked for.
+    joins the slices into the one output value the caller asked for.  Where a position is a struct,
+    `leading` names its first field, an integer, which is what is cut into slices.
     """
-    pieces = concat_slices(df, keys, position, text, separator, sections, chunk, sliced)
+    pieces = concat_slices(df, keys, position, text, separator, sections, chunk, sliced, leading)
     order = F.struct(*sections, "slice")
     return pieces.groupBy(*keys).agg(_joined(order, text, separator).alias(text))
 
@@ -83,13 +85,14 @@ def concat_slices(
     sections: Sequence[str] = (),
     chunk: int = CHUNK,
     sliced: bool = False,
+    leading: str | None = None,
 ) -> DataFrame:
     """The slices of `ordered_concat`, for values too long to be one row: (keys, sections, slice, text).
 
     `sliced` says that the table has its `slice` column already; one that is
     partitioned by it is not shuffled again.
     """
-    pieces = df if sliced else df.withColumn("slice", slice_of(position, chunk))
+    pieces = df if sliced else df.withColumn("slice", slice_of(leading or position, chunk))
     return pieces.groupBy(*keys, *sections, "slice").agg(_joined(F.col(position), text, separator).alias(text))
 
 

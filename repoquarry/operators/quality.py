@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +90,13 @@ def agent_findings(files: DataFrame, repos: DataFrame) -> DataFrame:
 def hook_findings(files: DataFrame) -> DataFrame:
     """Hook files: a name, a known event and a non-empty array of commands."""
     docs = assets.hook_assets(files)
-    text, label = F.col("content"), F.concat(F.lit("hooks/"), "name")
+    return _explode(docs, "hooks", _hook_checks(F.concat(F.lit("hooks/"), "name"), F.col("content")))
+
+
+def _hook_checks(label: Column, text: Column) -> list[Column]:
     event = fm.scalar(text, "event")
     readable = strip_space(text) != ""
-    checks = [
+    return [
         _finding(~readable, ERROR, label, ": Invalid YAML - empty document"),
         _finding(readable & ~fm.is_set(text, "name"), ERROR, label, ": Missing 'name' field"),
         _finding(readable & ~fm.is_set(text, "event"), ERROR, label, ": Missing 'event' field"),
@@ -108,7 +109,6 @@ def hook_findings(files: DataFrame) -> DataFrame:
             readable & (fm.value_kind(text, "commands") != "ARRAY"), ERROR, label, ": Missing or empty 'commands' array"
         ),
     ]
-    return _explode(docs, "hooks", checks)
 
 
 def line_findings(lines: DataFrame) -> DataFrame:
@@ -145,16 +145,72 @@ def registry_findings(files: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
-def validate_assets(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
-    """All findings `(repo_id, area, severity, message)` over `(repo_id, path, content)` files."""
-    repos = files.select("repo_id").distinct() if repos is None else repos.select("repo_id").distinct()
-    parts = [
-        skill_findings(files, repos),
-        agent_findings(files, repos),
-        hook_findings(files),
-        registry_findings(files, repos),
+def _file_findings(files: DataFrame) -> DataFrame:
+    """Findings about one file each: every file is read once and judged by the rules of its kind."""
+    path, content = F.col("path"), F.col("content")
+    skill, agent, hook = (F.regexp_extract(path, p, 1) for p in (assets.SKILL_FILE, assets.AGENT_PATH, assets.HOOK_PATH))
+    kind = F.when(skill != "", "skills").when(agent != "", "agents").when(hook != "", "hooks").when(path == assets.REGISTRY_PATH, "registry")
+    label = F.when(skill != "", F.concat(skill, F.lit("/SKILL.md"))).when(agent != "", agent).otherwise(F.concat(F.lit("hooks/"), hook))
+    known = files.select("repo_id", kind.alias("area"), label.alias("label"), "content").where(F.col("area").isNotNull())
+    readable, checks = _document_checks(F.col("label"), content)
+    tools = fm.value_kind(fm.front_matter(content), "tools")
+    wrong_tools = _finding(readable & tools.isin("SCALAR", "MAP"), ERROR, F.col("label"), ": 'tools' must be an array")
+    empty = _finding(strip_space(content) == "", WARNING, "skills-registry.jsonl is empty")
+    by_area = {"skills": checks, "agents": [*checks, wrong_tools], "hooks": _hook_checks(F.col("label"), content), "registry": [empty]}
+    found = F.array().cast("array<struct<severity:string,message:string>>")
+    for area, rules_of_area in by_area.items():
+        found = F.when(F.col("area") == area, F.filter(F.array(*rules_of_area), lambda f: f.isNotNull())).otherwise(found)
+    rows = known.select("repo_id", "area", F.explode(found).alias("f"))
+    return rows.select("repo_id", "area", F.col("f.severity").alias("severity"), F.col("f.message").alias("message"))
+
+
+def _presence(files: DataFrame) -> DataFrame:
+    """(repo_id, skill, and flags of what its files are): one row per skill directory, and one for all other files."""
+    path, content = F.col("path"), F.col("content")
+    readable, _ = _document_checks(path, content)
+    return files.groupBy("repo_id", F.regexp_extract(path, assets.SKILL_PATH, 1).alias("skill")).agg(
+        F.bool_or((F.regexp_extract(path, assets.SKILL_FILE, 1) != "") & content.isNotNull()).alias("documented"),
+        F.bool_or(path.startswith(".github/skills/")).alias("skills_dir"),
+        F.bool_or(path.startswith(".github/agents/")).alias("agents_dir"),
+        F.coalesce(F.bool_or((F.regexp_extract(path, assets.AGENT_PATH, 1) != "") & readable), F.lit(False)).alias("agent_read"),
+        F.bool_or(path == assets.REGISTRY_PATH).alias("registry"),
+    )
+
+
+def _absence_findings(files: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """Findings about what a repository lacks, from flags of one aggregation."""
+    present = _presence(files)
+    undocumented = present.where((F.col("skill") != "") & ~F.col("documented"))
+    missing = _repo_finding(undocumented, "skills", ERROR, F.concat("skill", F.lit(": Missing SKILL.md file")))
+    flags = ["skills_dir", "agents_dir", "agent_read", "registry"]
+    whole = present.groupBy("repo_id").agg(F.bool_or(F.col("skill") != "").alias("skills"), *[F.bool_or(name).alias(name) for name in flags])
+    if repos is None:
+        whole = whole.withColumn("listed", F.lit(True))
+    else:
+        whole = whole.join(repos.select("repo_id", F.lit(True).alias("listed")).distinct(), "repo_id", "full")
+        whole = whole.select("repo_id", *[F.coalesce(name, F.lit(False)).alias(name) for name in ("skills", *flags, "listed")])
+    has, listed = F.col, F.col("listed")
+    checks = [
+        ("skills", WARNING, has("skills_dir") & ~has("skills"), "No skills found in .github/skills/"),
+        ("skills", WARNING, listed & ~has("skills_dir"), "No .github/skills/ directory found"),
+        ("agents", ERROR, has("agents_dir") & ~has("agent_read"), "No .agent.md files found in .github/agents/"),
+        ("agents", ERROR, listed & ~has("agents_dir"), "No .github/agents/ directory found"),
+        ("registry", WARNING, listed & ~has("registry"), "No skills-registry.jsonl found"),
     ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    made = [F.when(test, F.struct(F.lit(a).alias("area"), F.lit(s).alias("severity"), F.lit(m).alias("message"))) for a, s, test, m in checks]
+    found = F.filter(F.array(*made), lambda f: f.isNotNull())
+    return missing.unionByName(whole.select("repo_id", F.inline(found)))
+
+
+def validate_assets(files: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """All findings `(repo_id, area, severity, message)` over `(repo_id, path, content)` files.
+
+    The rows are those of `skill_findings`, `agent_findings`, `hook_findings` and `registry_findings` together, from one pass
+    over the files for findings about a file, one aggregation for what is absent, and the registry's lines.  `repos` are
+    the repositories that must not lack anything, by default those with a file.
+    """
+    lines = line_findings(registry_lines(assets.registry_assets(files)))
+    return _file_findings(files).unionByName(_absence_findings(files, repos)).unionByName(lines)
 
 
 def rollup(findings: DataFrame, repos: DataFrame) -> DataFrame:

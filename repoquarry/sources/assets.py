@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ASSETS_SCHEMA = "repo_id string, path string, content string"
 SKILL_PATH = r"^\.github/skills/([^/]+)/"
+SKILL_FILE = r"^\.github/skills/([^/]+)/SKILL\.md\z"
 AGENT_PATH = r"^\.github/agents/([^/]+\.agent\.md)\z"
 HOOK_PATH = r"^\.github/hooks/([^/]+\.ya?ml)\z"
 REGISTRY_PATH = "skills-registry.jsonl"

@@ -54,3 +54,15 @@ def test_ranking_reads_no_content(stored_files):
 def test_classification_needs_no_shuffle(stored_files):
     plan = _plan(classify_license(stored_files))
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_validation_is_one_pass(spark, tmp_path):
+    """One scan for findings about files, one for what is absent, two of the registry's lines; no anti join."""
+    from repoquarry.operators import quality
+
+    spark.createDataFrame([("r", ".github/skills/a/SKILL.md", "x")], "repo_id string, path string, content string").write.parquet(str(tmp_path / "f"))
+    files = spark.read.parquet(str(tmp_path / "f"))
+    plan = _plan(quality.validate_assets(files))
+    scans, exchanges = plan.count("FileScan"), len([line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line])
+    # the absent parts share one aggregation, which the adaptive plan reuses when it runs
+    assert scans <= 5 and exchanges <= 8 and "LeftAnti" not in plan

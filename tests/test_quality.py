@@ -86,3 +86,21 @@ def test_flat_values(column_of):
     assert kinds == {"a": "SCALAR", "b": "SCALAR", "c": "NONE", "d": "MAP", "e": "ARRAY", "f": "MAP", "g": "EMPTY_ARRAY", "h": "NONE", "i": "NONE", "j": "NONE",
                      "k": "SCALAR", "z": "NONE"}
     assert column_of(lambda c: fm.scalar(c, "a"), [text]) == ["plain"] and column_of(lambda c: fm.scalar(c, "b"), [text]) == ["q # x"]
+
+
+@pytest.mark.parametrize("listed", [None, ["sound", "hooks", "nothing at all"]])
+def test_one_pass_equals_the_areas(spark, listed):
+    """`validate_assets` gives the rows of the four functions together, also with null contents, and for other repositories."""
+    rows = [(repo, path, text) for repo, files in FILES.items() for path, text in files.items()]
+    rows += [("nulls", f".github/{path}", None) for path in ("skills/n/SKILL.md", "agents/n.agent.md", "hooks/n.yaml", "skills//x")] + [("nulls", "skills-registry.jsonl", None)]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    repos = files.select("repo_id").distinct() if listed is None else spark.createDataFrame([(r,) for r in listed], "repo_id string")
+    want = quality.skill_findings(files, repos).unionByName(quality.agent_findings(files, repos)).unionByName(quality.hook_findings(files))
+    want = want.unionByName(quality.registry_findings(files, repos))
+    got = quality.validate_assets(files, None if listed is None else repos)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_no_files_no_findings(spark):
+    files = spark.createDataFrame([], "repo_id string, path string, content string")
+    assert quality.validate_assets(files).collect() == []

@@ -97,9 +97,9 @@ def registry_search_batch(spark, sf_dir):
 
 
 _REGISTRY = f"""WITH reg AS (
-  SELECT repo_id, ord, 'skill' AS type, name, '.github/skills/' || name || '/SKILL.md' AS file, CAST(NULL AS VARCHAR) AS vs_code_agent, description, category,
+  SELECT repo_id, CAST(ord + ({catalogue.SKILL_OFFSET}) AS BIGINT) AS ord, 'skill' AS type, name, '.github/skills/' || name || '/SKILL.md' AS file, CAST(NULL AS VARCHAR) AS vs_code_agent, description, category,
     triggers, CAST(NULL AS VARCHAR) AS parent_agent, CAST(NULL AS VARCHAR[]) AS sub_agents, CAST(NULL AS BOOLEAN) AS is_sub_agent FROM skills
-  UNION ALL SELECT repo_id, ord + {catalogue.AGENT_OFFSET}, 'agent', name, '.github/agents/' || name || '.agent.md', '.github/agents/' || name || '.agent.md',
+  UNION ALL SELECT repo_id, ord, 'agent', name, '.github/agents/' || name || '.agent.md', '.github/agents/' || name || '.agent.md',
     description, NULL, triggers, parent_agent, sub_agents, is_sub_agent FROM agents)"""
 
 

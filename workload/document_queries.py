@@ -71,14 +71,14 @@ def text_conventions(spark, sf_dir):
     lines = views.table(spark, sf_dir, "documents").select(
         F.col("source").alias("repo_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "pattern")
     )
-    numbered = lines.select("repo_id", (F.col("doc_id") * docs.STRIDE + F.col("pos")).alias("position"), "pattern")
+    numbered = lines.select("repo_id", F.struct("doc_id", "pos").alias("position"), "pattern")
     got = docs.distinct_patterns(numbered)
     return got.select("repo_id", F.col("rank").cast("long").alias("rank"), "pattern")
 
 
 def distinct_tools(spark, sf_dir):
     got = docs.distinct_tools(docs.numbered_tools(views.agents(spark, sf_dir)))
-    return got.select("repo_id", "command", "position", "description")
+    return got.select("repo_id", "command", "position.ord", F.col("position.pos").cast("long").alias("pos"), "description")
 
 
 def first_seen_orders(spark, sf_dir):
@@ -96,7 +96,7 @@ def structure(spark, sf_dir):
 
 def testing_info(spark, sf_dir):
     got = docs.testing_info(views.skills(spark, sf_dir), docs.numbered_tools(views.agents(spark, sf_dir)))
-    return got.select("repo_id", F.col("tier").cast("long").alias("tier"), "position", "info")
+    return got.select("repo_id", F.col("tier").cast("long").alias("tier"), "position.ord", F.col("position.pos").cast("long").alias("pos"), "info")
 
 
 def pattern_language(spark, sf_dir):
@@ -177,9 +177,9 @@ _LISTS = f"""shape AS (
   FROM brands b LEFT JOIN (SELECT repo_id, bool_or(is_sub_agent) AS has_subs, arg_min(description, ord) FILTER (NOT is_sub_agent) AS root
     FROM agents GROUP BY repo_id) a USING (repo_id)),
 links AS (SELECT repo_id, string_agg({_LINK}, {_NL} ORDER BY ord) AS skill_links FROM skills GROUP BY repo_id),
-dtools AS (SELECT repo_id, command, min(ord * {docs.STRIDE} + pos) AS position, arg_min(description, ord * {docs.STRIDE} + pos) AS description
+dtools AS (SELECT repo_id, command, min(ord) AS ord, arg_min(pos, (ord, pos)) AS pos, arg_min(description, (ord, pos)) AS description
   FROM tools GROUP BY repo_id, command),
-cmds AS (SELECT repo_id, string_agg('- `' || command || '`', {_NL} ORDER BY position) AS commands FROM dtools GROUP BY repo_id),
+cmds AS (SELECT repo_id, string_agg('- `' || command || '`', {_NL} ORDER BY ord, pos) AS commands FROM dtools GROUP BY repo_id),
 subs AS (SELECT repo_id, string_agg('- `@' || name || '` for '
   || CASE WHEN len(triggers) > 0 THEN array_to_string(triggers, ', ') ELSE 'any task' END || ': ' || description, {_NL} ORDER BY ord) AS delegation
   FROM agents WHERE is_sub_agent GROUP BY repo_id)"""
@@ -223,10 +223,10 @@ _SUB_ROWS = f"""SELECT a.repo_id, a.ord, '.github/agents/' || {_sanitize("name")
   || {_NL} || {_NL} || '## Instructions' || {_NL} || {_NL} || CASE WHEN source_dir IS NOT NULL THEN 'Work in `' || source_dir || '/`.' || {_NL} ELSE '' END
   || {_lit(docs._SUB_GUIDE)} || {_NL} AS content FROM agents a LEFT JOIN sub_links l USING (repo_id, ord) WHERE is_sub_agent"""
 
-_TESTING = f"""test_cmds AS (SELECT repo_id, 0 AS tier, ord * {docs.STRIDE} + pos AS position, 'Run tests: `' || command || '`' AS info FROM tools
+_TESTING = f"""test_cmds AS (SELECT repo_id, 0 AS tier, ord, pos, 'Run tests: `' || command || '`' AS info FROM tools
   WHERE regexp_matches(lower(command), 'test|jest')),
 test_rows AS (SELECT * FROM test_cmds UNION ALL
-  SELECT p.repo_id, 1, position, pattern FROM (SELECT repo_id, ord * {docs.STRIDE} + pos AS position, pattern,
+  SELECT p.repo_id, 1, ord, pos, pattern FROM (SELECT repo_id, ord, pos, pattern,
       row_number() OVER (PARTITION BY repo_id ORDER BY ord, pos) AS rn FROM patterns WHERE category = 'quality' OR contains(name, 'test')) p
   LEFT JOIN (SELECT repo_id, count(*) AS n FROM test_cmds GROUP BY repo_id) t USING (repo_id) WHERE rn + coalesce(n, 0) <= 8)"""
 _CONVENTIONS = """conv AS (SELECT repo_id, pattern, row_number() OVER (PARTITION BY repo_id ORDER BY o, p) AS rank
@@ -246,8 +246,8 @@ def _section(title: str, column: str) -> str:
 _INSTRUCTIONS = f"""{_CONVENTIONS}, {_STRUCTURE}, {_TESTING}, {_PATTERN_LANGUAGE},
 c1 AS (SELECT repo_id, string_agg('- ' || pattern, {_NL} ORDER BY rank) AS c1 FROM conv WHERE rank <= 15 GROUP BY repo_id),
 c2 AS (SELECT repo_id, string_agg('- `' || source_dir || '/` -- ' || description, {_NL} ORDER BY ord) AS c2 FROM layout GROUP BY repo_id),
-c3 AS (SELECT repo_id, string_agg('- ' || info, {_NL} ORDER BY tier, position) AS c3 FROM test_rows GROUP BY repo_id),
-c4 AS (SELECT repo_id, string_agg('- `' || command || '` -- ' || description, {_NL} ORDER BY position) AS c4 FROM dtools GROUP BY repo_id),
+c3 AS (SELECT repo_id, string_agg('- ' || info, {_NL} ORDER BY tier, ord, pos) AS c3 FROM test_rows GROUP BY repo_id),
+c4 AS (SELECT repo_id, string_agg('- `' || command || '` -- ' || description, {_NL} ORDER BY ord, pos) AS c4 FROM dtools GROUP BY repo_id),
 instr AS (SELECT s.repo_id, '<!-- {docs.MANAGED_TAG} -->' || {_NL} || '# About this code base' || {_NL} || {_NL}
   || CASE WHEN summary <> '' THEN summary || {_NL} || {_NL} ELSE '' END || '## Stack' || {_NL} || {_NL}
   || '- Language: ' || coalesce(s.language, plang.language, 'unknown') || {_NL} || '- Framework: ' || coalesce(framework, 'unknown') || {_NL} || {_NL}
@@ -263,6 +263,17 @@ _HANDOFF_ROWS = f"""SELECT repo_id, '.github/copilot/handoffs.json' AS path, '{{
 
 _ALL = ("skills", "agents", "tools", "patterns", "brands", "hooks")
 
+# of the rows with one path the last written stays: by section, then position; the root document stands where the last root agent does
+_WRITTEN = f""", written AS (SELECT repo_id, path, 0 AS sec, ord, content FROM ({_SKILL_ROWS})
+  UNION ALL SELECT repo_id, path, 1, 0, content FROM (WITH {_MAIN_D} {_main_rows("NOT multi")})
+  UNION ALL SELECT repo_id, path, 1, last_root, content FROM (WITH {_ROOT_D} {_ROOT_ROWS})
+    JOIN (SELECT repo_id, max(ord) AS last_root FROM agents WHERE NOT is_sub_agent GROUP BY repo_id) USING (repo_id)
+  UNION ALL SELECT repo_id, path, 1, ord, content FROM ({_SUB_ROWS})
+  UNION ALL SELECT repo_id, path, 2, 0, content FROM ({_HANDOFF_ROWS})
+  UNION ALL SELECT repo_id, '.github/copilot-instructions.md', 3, 0, content FROM instr
+  UNION ALL SELECT repo_id, path, 4, ord, content FROM ({_HOOK_ROWS}))
+SELECT repo_id, path, md5(arg_max(content, (sec, ord))) AS content_md5 FROM written GROUP BY repo_id, path"""
+
 SQL = {
     "text_scalars": f"""WITH x AS (SELECT 'p' || p_partkey AS id, p_brand || ' ' || replace(p_name, ' ', '-') AS s FROM part UNION ALL SELECT 'd' || doc_id, text FROM documents)
 SELECT id, md5({_sanitize("s")}) AS sanitized, md5({_title("s")}) AS titled, md5({_quote("s")}) AS quoted FROM x""",
@@ -279,7 +290,7 @@ SELECT id, md5({_sanitize("s")}) AS sanitized, md5({_title("s")}) AS titled, md5
 e AS (SELECT source, doc_id, i, ls[i] AS pattern FROM (SELECT *, unnest(generate_series(1, len(ls))) AS i FROM l)),
 f AS (SELECT source, pattern, min((doc_id, i)) AS k FROM e GROUP BY source, pattern)
 SELECT source AS repo_id, row_number() OVER (PARTITION BY source ORDER BY k) AS rank, pattern FROM f QUALIFY rank <= 15""",
-    "distinct_tools": with_views("WITH " + _LISTS + " SELECT repo_id, command, position, description FROM dtools", *_ALL),
+    "distinct_tools": with_views("WITH " + _LISTS + " SELECT repo_id, command, ord, pos, description FROM dtools", *_ALL),
     "first_seen_orders": """SELECT l_returnflag || l_linestatus AS repo_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS command,
   min(l_orderkey * 8 + l_linenumber) AS position, arg_min(CAST(l_partkey AS VARCHAR), (l_orderkey * 8 + l_linenumber, CAST(l_partkey AS VARCHAR))) AS description
 FROM lineitem GROUP BY ALL""",
@@ -295,14 +306,7 @@ SELECT CAST(doc_id AS VARCHAR) AS repo_id, md5(content) AS content_md5, length(c
   (SELECT count(*) FROM hooks h WHERE h.repo_id = s.repo_id) AS n_hooks FROM shape s""", *_ALL),
     "rendered_assets": with_views(
         "WITH " + _LISTS + ", " + _INSTRUCTIONS + ", " + _SUB_LINKS
-        + f""", written AS (SELECT repo_id, path, ord, content FROM ({_SKILL_ROWS})
-  UNION ALL SELECT repo_id, path, 0, content FROM (WITH {_MAIN_D} {_main_rows("NOT multi")})
-  UNION ALL SELECT repo_id, path, 0, content FROM (WITH {_ROOT_D} {_ROOT_ROWS})
-  UNION ALL SELECT repo_id, path, ord, content FROM ({_SUB_ROWS})
-  UNION ALL SELECT repo_id, path, 0, content FROM ({_HANDOFF_ROWS})
-  UNION ALL SELECT repo_id, '.github/copilot-instructions.md', 0, content FROM instr
-  UNION ALL SELECT repo_id, path, ord, content FROM ({_HOOK_ROWS}))
-SELECT repo_id, path, md5(arg_max(content, ord)) AS content_md5 FROM written GROUP BY repo_id, path""", *_ALL),
+        + _WRITTEN, *_ALL),
 }
 
 QUERIES = {
