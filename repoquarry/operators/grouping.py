@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from repoquarry.plans.storage import settle
+
 SALTS = 64
 CHUNK = 4096
 
@@ -122,6 +124,22 @@ def number_rows(
     return joined.withColumn(out, F.row_number().over(inside) + F.col(offset)).drop(slice_col, offset)
 
 
+def number_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Exact 0-based row number per key in the order of columns of any type, without one task per key.
+
+    Rows are sorted by range partitioning, so a key may fill many tasks; a row's number follows from its place in its part and
+    the counts of (key, part).  The sorted rows are written to shared storage once, as both must see the same parts.
+    """
+    by = [*keys, *order]
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = settle(placed.withColumn("__part", F.shiftright("__at", 33)), "sorted")
+    counts = placed.groupBy(*keys, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    joined = placed.join(shifts, [*keys, "__part"])
+    return joined.withColumn(out, F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift")
+
+
 def spread_join(
     big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str, how: str = "inner", salts: int = 16
 ) -> DataFrame:

@@ -85,3 +85,36 @@ def test_against_sql(spark, name):
     df = entry.queries()[name](spark, sf_dir)
     assert sorted(df.columns) == columns
     assert sorted(str([r[c] for c in columns]) for r in df.collect()) == expected
+
+
+def test_scans_agree_and_leave_out_what_cannot_be_read(spark, tmp_path):
+    """Odd names are files like any other, `ord` follows the sorted paths for any split, gone files lose their row."""
+    names = ["r1/__init__.py", "r1/.eslintrc.js", "r1/a b/é.py", "r1/a/_x.md", "r1/a-b.py", "r2/deep/er/and/deeper/f.go", "r2/gone.py", "r2/empty.txt", "beside.txt"]
+    for name in names:
+        path = tmp_path / "root" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("" if "empty" in name else name)
+    (tmp_path / "root" / "r1" / "dangling").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "root" / "r3").mkdir()
+    root = f"{tmp_path}/root"
+    want = [("r1", i, p, len(f"r1/{p}".encode()), f"r1/{p}") for i, p in enumerate(sorted([".eslintrc.js", "__init__.py", "a b/é.py", "a/_x.md", "a-b.py"]))]
+    want += [("r2", 0, "deep/er/and/deeper/f.go", 26, "r2/deep/er/and/deeper/f.go"), ("r2", 1, "empty.txt", 0, ""), ("r2", 2, "gone.py", 10, "r2/gone.py")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for split in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", split)
+        try:
+            assert sorted(map(tuple, files.scan_repositories(spark, root).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    scan = files.scan_repositories(spark, root)
+    (tmp_path / "root" / "r2" / "gone.py").unlink()
+    assert sorted(map(tuple, scan.collect())) == want[:-1]
+    assert files.scan_repositories(spark, str(tmp_path / "root" / "r3")).collect() == []
+
+
+def test_written_files_are_found(spark, tmp_path):
+    rows = [("r", 0, "a/b.py", 1, "é"), ("r", 1, "c", 0, None)]
+    made = spark.createDataFrame(rows, "repo_id string, ord bigint, path string, size bigint, content string")
+    assert files.write_files(made, f"file:{tmp_path}/out") == 2
+    got = sorted(map(tuple, files.scan_repositories(spark, f"file://{tmp_path}/out").collect()))
+    assert got == [("r", 0, "a/b.py", 2, "é"), ("r", 1, "c", 0, "")]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from repoquarry import rules
 from repoquarry.functions import text as tx
 from repoquarry.operators import documents as docs
+from repoquarry.plans.storage import working_dir
+from repoquarry.sources.assets import ASSETS_SCHEMA, write_assets
 from workload import views
 from workload.sql_views import with_views
 
@@ -128,6 +130,16 @@ def rendered_assets(spark, sf_dir):
     return got.select("repo_id", "path", F.md5("content").alias("content_md5"))
 
 
+def stored_assets(spark, sf_dir):
+    """The document table written to buckets of repositories, and read back with the bucket a reader would look in."""
+    path = working_dir(spark, "assets")
+    rendered = docs.render_assets(views.brands(spark, sf_dir), views.skills(spark, sf_dir), views.agents(spark, sf_dir), views.hooks(spark, sf_dir))
+    write_assets(rendered, path, buckets=16)
+    stored = spark.read.schema(f"{ASSETS_SCHEMA}, bucket bigint").parquet(path)
+    right = F.col("bucket") == F.pmod(F.xxhash64("repo_id"), F.lit(16))
+    return stored.select("repo_id", "path", F.md5("content").alias("content_md5"), right.alias("in_bucket"))
+
+
 # ------------------------------------------------------------------ the same in SQL
 
 _NL = "chr(10)"
@@ -307,6 +319,9 @@ SELECT CAST(doc_id AS VARCHAR) AS repo_id, md5(content) AS content_md5, length(c
     "rendered_assets": with_views(
         "WITH " + _LISTS + ", " + _INSTRUCTIONS + ", " + _SUB_LINKS
         + _WRITTEN, *_ALL),
+    "stored_assets": with_views(
+        "WITH " + _LISTS + ", " + _INSTRUCTIONS + ", " + _SUB_LINKS
+        + _WRITTEN.replace("AS content_md5", "AS content_md5, TRUE AS in_bucket"), *_ALL),
 }
 
 QUERIES = {
@@ -314,6 +329,6 @@ QUERIES = {
     for f in (
         text_scalars, category_texts, skill_documents, hook_documents, document_modes, main_agent_documents,
         root_agent_documents, sub_agent_documents, instruction_documents, conventions, text_conventions, distinct_tools,
-        first_seen_orders, structure, testing_info, pattern_language, managed_merge, run_summary, rendered_assets,
+        first_seen_orders, structure, testing_info, pattern_language, managed_merge, run_summary, rendered_assets, stored_assets,
     )
 }

@@ -8,7 +8,9 @@ from repoquarry.functions import licences as lic
 from repoquarry.functions import paths, urls
 from repoquarry.operators import defaults, licensing, profile, sampling
 from repoquarry.plans import prompts
+from repoquarry.plans.storage import working_dir
 from repoquarry.sources import exports
+from repoquarry.sources.files import scan_repositories, write_files
 from workload import views
 from workload.sql_views import with_views
 
@@ -70,6 +72,14 @@ def file_inventory(spark, sf_dir):
     )
 
 
+def scanned_files(spark, sf_dir):
+    """Every document written as a file of its repository, and what a scan of these folders finds."""
+    root = working_dir(spark, "repositories")
+    write_files(views.plain_files(spark, sf_dir), root)
+    found = scan_repositories(spark, root)
+    return found.select("repo_id", "ord", "path", "size", F.md5("content").alias("content_md5"))
+
+
 def remote_inventory(spark, sf_dir):
     return views.remote_files(spark, sf_dir).select("repo_id", "ord", "path", "ext", "is_test", "is_config")
 
@@ -477,6 +487,8 @@ WHERE coalesce(lic, '') NOT IN ('MIT', 'apache-2.0', 'gpl-3.0')""",
     "file_inventory": with_views("""SELECT repo_id, ord, path, ext, is_test, is_config, len(string_split(path, '/')) AS depth,
   CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '' END AS first_dir,
   CASE WHEN len(string_split(path, '/')) > 2 THEN string_split(path, '/')[2] ELSE '' END AS second_dir FROM local_files""", "local_files"),
+    "scanned_files": with_views("""SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY path) - 1 AS ord, path,
+  CAST(octet_length(encode(coalesce(content, ''))) AS BIGINT) AS size, md5(coalesce(content, '')) AS content_md5 FROM plain_files""", "plain_files"),
     "remote_inventory": with_views("SELECT repo_id, ord, path, ext, is_test, is_config FROM remote_files", "remote_files"),
     "content_truncation": """SELECT doc_id, md5(left(text, 10000)) AS local_md5, length(left(text, 10000)) AS local_length,
   md5(left(text, 5000)) AS remote_md5, length(left(text, 5000)) AS remote_length FROM documents""",
@@ -544,7 +556,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         license_classify, license_gate_by_source, license_resolution, license_blocked, metadata_blocked,
-        file_inventory, remote_inventory, content_truncation, content_decode, git_tree, repo_metadata,
+        file_inventory, scanned_files, remote_inventory, content_truncation, content_decode, git_tree, repo_metadata,
         language_vote, language_vote_remote, framework_manifests, framework_paths, source_dirs, source_dirs_remote,
         domain_boundaries, sample_files, sample_contents, priority_files, prompt_paths, prompts_local, prompts_remote,
         default_skills, default_tools, default_tools_remote, default_hooks, repo_profiles, heuristic_agents,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from repoquarry.operators import sessions
 from repoquarry.plans.storage import working_dir
+from repoquarry.sources.session_events import read_events, stream_events
 from repoquarry.streaming.sessions import run_available, stream_sessions, with_unfinished
 from workload import views
 from workload.sql_views import with_views
@@ -45,6 +46,25 @@ def _streamed(spark, sf_dir, mode):
     return with_unfinished(results, views.session_events(table), mode)
 
 
+def _stored_events(spark, sf_dir):
+    path = working_dir(spark, "events")
+    _events(spark, sf_dir).write.json(path)
+    return path
+
+
+def session_events_read(spark, sf_dir):
+    """Sessions of an event log of JSON lines, read in batch."""
+    return sessions.assemble_sessions(read_events(spark, _stored_events(spark, sf_dir)), "remote")
+
+
+def session_events_streamed(spark, sf_dir):
+    """Sessions of the same log, read as a stream of one file per micro-batch."""
+    path, work = _stored_events(spark, sf_dir), working_dir(spark, "sessions")
+    run_available(stream_sessions(stream_events(spark, path, files_per_batch=1), "remote", lateness="10 days"), f"{work}/output", f"{work}/checkpoint")
+    results = spark.read.schema("session_id string, status string, text string").parquet(f"{work}/output")
+    return with_unfinished(results, read_events(spark, path), "remote")
+
+
 def session_stream(spark, sf_dir):
     return _streamed(spark, sf_dir, "remote")
 
@@ -72,10 +92,12 @@ SQL = {
     "session_slices": with_views(_REMOTE + " SELECT session_id, 0 AS slice, text FROM body", "timed_events"),
     "session_timeouts": with_views("""SELECT session_id, seq, type FROM (SELECT *, min(secs) OVER (PARTITION BY session_id) AS started FROM session_events)
 WHERE secs >= started + 120""", "session_events"),
+    "session_events_read": with_views(_REMOTE + " SELECT session_id, status, text FROM result", "timed_events"),
+    "session_events_streamed": with_views(_REMOTE + " SELECT session_id, status, text FROM result", "timed_events"),
     "session_stream": with_views(_REMOTE + " SELECT session_id, status, text FROM result", "timed_events"),
     "session_stream_local": with_views(_LOCAL + " SELECT session_id, status, text FROM result", "timed_events"),
 }
 
 QUERIES = {
-    f.__name__: f for f in (session_assemble, session_assemble_local, session_slices, session_timeouts, session_stream, session_stream_local)
+    f.__name__: f for f in (session_assemble, session_assemble_local, session_slices, session_timeouts, session_events_read, session_events_streamed, session_stream, session_stream_local)
 }
