@@ -27,7 +27,10 @@ _GAPS = re.compile(r"[\W\d_]+")
 
 def normalized(text: str | None) -> bytes:
     """Lower-cased letters with single spaces between the runs, in UTF-8; empty if there is no letter."""
-    return _GAPS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    kept = _GAPS.sub(" ", text.lower()).strip() if text else ""
+    if kept and not kept.replace(" ", "").isalpha():  # signs such as ½, ² or Ⅷ are word characters, but no letters
+        kept = " ".join("".join(c if c.isalpha() else " " for c in kept).split())
+    return kept.encode("utf-8", "replace")
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -166,12 +169,14 @@ def identify(df: DataFrame, model: dict[str, ContextTree], text: str = "text", k
     prepare(df.sparkSession)
     names = sorted(model)
     order = model[names[0]].order if names else ORDER
-    shared = df.sparkSession.sparkContext.broadcast([model[name] for name in names])
+    shared = df.sparkSession.sparkContext.broadcast([vars(model[name]) for name in names])  # plain values: executors need no copy of this package
     source = df.select(*keep, F.col(text).alias("__text"))
     types = "".join(f"`{name}` {source.schema[name].dataType.simpleString()}, " for name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
+        trees = [ContextTree.__new__(ContextTree) for _ in names]
+        for tree, values in zip(trees, shared.value, strict=True):
+            vars(tree).update(values)
         for batch in batches:
             texts = [normalized(x) for x in batch.column(len(keep)).to_pylist()]
             best, score, bits = [], [], []
