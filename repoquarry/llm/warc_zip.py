@@ -29,7 +29,7 @@ from repoquarry.plans.storage import working_dir
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 ARCHIVE_BYTES = 256 << 20
 LEAST_REVISIT = 1000
-JOIN_GAP, READ_BYTES = 64 << 10, 8 << 20
+JOIN_GAP, READ_BYTES, PART_BYTES = 64 << 10, 8 << 20, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -217,41 +217,44 @@ def members(archives: DataFrame, column: str = "archive") -> DataFrame:
 def index_entries(found: DataFrame) -> DataFrame:
     """(archive, record_id, offset, length): the places in the archive file of all records that stored indexes name.
 
-    `found` is the result of `members`.  Index members are read in pieces; lines that are no JSON object are skipped,
-    as are records of members that aren't stored or don't exist.
+    `found` is the result of `members`.  One task reads the indexes of an archive, piece by piece, beside the list of its stored
+    members, so that no record is joined to anything.  Lines that are no JSON object are skipped, as are records of members
+    that aren't stored or don't exist.
     """
-    indexes = found.where("name LIKE 'indexes/%' AND method = 0").select("archive", "data_offset", "size")
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps small rows apart
+    stored = found.where("method = 0").select("archive", "name", "data_offset", "size").repartition(tasks, "archive")
+    listed = stored.groupBy("archive").agg(F.collect_list(F.struct("name", "data_offset", "size")).alias("stored"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, offset, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uri, stored in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                offsets = {member["name"]: member["data_offset"] for member in stored}
                 source, _ = _open(uri)
                 with source:
-                    rest, done = b"", 0
-                    while done < size:
-                        got = _at(source, offset + done, min(1 << 20, size - done))
-                        if not got:
-                            break
-                        done += len(got)
-                        *lines, rest = (rest + got).split(b"\n")
-                        yield _entries(uri, lines)
-                    yield _entries(uri, [rest])
-
-    listed = indexes.mapInArrow(run, "archive string, name string, record_id string, start bigint, length bigint")
-    stored = found.where("method = 0").select("archive", "name", "data_offset")
-    return listed.join(stored, ["archive", "name"]).select("archive", "record_id", (F.col("data_offset") + F.col("start")).alias("offset"), "length")
-
-
-def _entries(uri: str, lines: list[bytes]) -> pa.RecordBatch:
+                    for offset, size in [(m["data_offset"], m["size"]) for m in stored if m["name"].startswith("indexes/")]:
+                        rest, done = b"", 0
+                        while done < size:
+                            got = _at(source, offset + done, min(1 << 20, size - done))
+                            if not got:
+                                break
+                            done += len(got)
+                            *lines, rest = (rest + got).split(b"\n")
+                            yield _entries(uri, lines, offsets)
+                        yield _entries(uri, [rest], offsets)
+
+    return listed.mapInArrow(run, "archive string, record_id string, offset bigint, length bigint")
+
+
+def _entries(uri: str, lines: list[bytes], offsets: dict[str, int]) -> pa.RecordBatch:
     rows = []
     for line in lines:
         try:
             x = json.loads(line[line.index(b"{") :])
-            rows.append((uri, str(x["filename"]), str(x["id"]), int(x["offset"]), int(x["length"])))
+            rows.append((uri, str(x["id"]), offsets[str(x["filename"])] + int(x["offset"]), int(x["length"])))
         except (ValueError, KeyError, TypeError):
             continue
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-    names = ["archive", "name", "record_id", "start", "length"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+    names = ["archive", "record_id", "offset", "length"]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
@@ -280,11 +283,13 @@ def parse_record(data: bytes) -> dict | None:
         return None
 
 
-def read_records(entries: DataFrame, payloads: bool = True) -> DataFrame:
+def read_records(entries: DataFrame, payloads: bool = True, tasks: int | None = None) -> DataFrame:
     """The records at (archive, offset, length), each read by its range; neighbouring ranges are read together.
 
-    A range that holds no WARC record yields a row of nulls with `intact` false.
+    A range that holds no WARC record yields a row of nulls with `intact` false.  The ranges are dealt over `tasks` (default: the
+    session's shuffle partitions) by archive and stretch of `PART_BYTES`; their rows are small, what is read is not.
     """
+    tasks = tasks or int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prepare(entries.sparkSession)
     fields = [("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("intact", pa.bool_())]
     fields = [f for f in fields if payloads or f[0] != "payload"]
@@ -312,8 +317,8 @@ def read_records(entries: DataFrame, payloads: bool = True) -> DataFrame:
         if source:
             source.close()
 
-    split = entries.select("archive", "offset", "length").withColumn("part", F.floor(F.col("offset") / F.lit(64 << 20)))
-    ordered = split.repartition("archive", "part").sortWithinPartitions("archive", "offset").drop("part")
+    split = entries.select("archive", "offset", "length").withColumn("part", F.floor(F.col("offset") / F.lit(PART_BYTES)))
+    ordered = split.repartition(tasks, "archive", "part").sortWithinPartitions("archive", "offset").drop("part")
     spark_types = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary", pa.bool_(): "boolean"}
     return ordered.mapInArrow(run, "archive string, offset bigint, " + ", ".join(f"{n} {spark_types[t]}" for n, t in fields))
 
@@ -321,4 +326,6 @@ def read_records(entries: DataFrame, payloads: bool = True) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write `pages` (page_id, url, html) as archives on shared storage and read the records back from them."""
     written = write_archives(with_revisits(pages), folder or working_dir(spark, "archives"))
-    return read_records(index_entries(members(written)), payloads=False)
+    total = written.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(total // PART_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read_records(index_entries(members(written)), payloads=False, tasks=tasks)
