@@ -9,9 +9,9 @@ The steps, none of which gathers a group of unbounded size:
 
 1. Texts with equal shingle sets form a class, represented by its smallest id.
 2. Representatives that share a band are candidates; each is paired with the smallest of the band only.  Where
-   the signatures put a pair far apart, the representative is paired again with the smallest of those left over.
-3. Connected components of these pairs are clusters, and so is what two rounds leave of each band: documents that share
-   no cluster are not alike.
+   the signatures put a pair far apart, the representative is paired again with the smallest of those left over.  What is
+   far from both is compared by signature with all others left in the band, in blocks.
+3. Connected components of these pairs are clusters: documents in different clusters are not alike.
 4. Inside a cluster all similarities are computed exactly, in blocks of bounded size: a cluster of `k` blocks makes
    `k (k + 1) / 2` tasks.  A task yields the links of a spanning forest of its two blocks, never all pairs.
 5. Connected components of those links, and class membership, give every row its component.
@@ -36,6 +36,7 @@ PERMUTATIONS = 56
 ROWS = 4
 FAR = 0.45
 BLOCK = 200_000
+BAND_BLOCK = 4096
 CACHE_WORDS = 300_000
 _SEED = 20_240_229
 # Spark's runtime Bloom filters at any size of the tables; a filter has at most 8 MB
@@ -128,12 +129,62 @@ def _agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "id bigint, leader bigint, near double")
 
 
-def _candidates(signed: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) between representatives that share a band and are not clearly far apart, and what these leave over.
+def _leftover_links(rest: DataFrame, signatures: DataFrame, far: float, block: int) -> DataFrame:
+    """Links (u, v) that connect what is not far apart among all members (id, band) of each band.
+
+    A band is dealt to blocks of about `block` members, and each two of its blocks to one task, with signatures only.  A task
+    yields the links of a spanning forest, never all pairs.
+    """
+    count = F.count(F.lit(1))
+    sizes = rest.groupBy("band").agg(count.alias("n"), F.ceil(count / F.lit(block)).cast("int").alias("k")).where("n > 1")
+    placed = rest.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "id", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    rows = dealt.join(signatures.select("id", "signature"), "id").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, links = None, [], []
+
+        def close() -> None:
+            if len(members) < 2:
+                members.clear()
+                return
+            members.sort(key=lambda m: (m[1], m[0]))
+            ids, blocks = [m[0] for m in members], np.array([m[1] for m in members])
+            signs = np.frombuffer(b"".join(m[2] for m in members), np.uint16).reshape(len(members), -1)
+            # within a block each with those after it; of two blocks the members of one with those of the other
+            inside = group[1] == group[2]
+            last = len(members) if inside else int(np.searchsorted(blocks, blocks[0], "right"))
+            root = np.arange(len(members))
+            for i in range(last):
+                later = np.arange(i + 1 if inside else last, len(members))
+                later = later[root[later] != root[i]]
+                for j in later[(signs[later] == signs[i]).mean(1) >= far].tolist():
+                    if root[j] != root[i]:
+                        links.append((ids[i], ids[j]))
+                        root[root == root[j]] = root[i]
+            members.clear()
+
+        for batch in batches:
+            for i, band, own, low, high, signature in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (band, low, high) != group:
+                    close()
+                    group = (band, low, high)
+                members.append((i, own, signature))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            links.clear()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return rows.select("id", "band", "block", "low", "high", "signature").mapInArrow(run, "u bigint, v bigint")
+
+
+def _candidates(signed: DataFrame, far: float, block: int = BAND_BLOCK) -> DataFrame:
+    """Links (u, v) that connect all representatives that share a band and are not clearly far apart.
 
     Most bands hold one document; what is stored are the members of shared bands other than their leader.  Those far from
-    their leader meet the smallest of them in a second round.  (id, band) of what is far from both leaders is returned: its
-    members may still be alike and have to be compared with each other.
+    their leader meet the smallest of them in a second round; what is far from both leaders is compared with each other.
     """
     links, rest = None, signed.select("id", F.explode("bands").alias("band"))
     for _ in range(2):
@@ -143,7 +194,7 @@ def _candidates(signed: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
         found = near.where(F.col("near") >= far).select(F.col("id").alias("u"), F.col("leader").alias("v"))
         links = found if links is None else links.unionByName(found)
         rest = met.join(near.where(F.col("near") < far).select("id", "leader"), ["id", "leader"]).select("id", "band")
-    return links, rest
+    return links.unionByName(_leftover_links(rest, signed, far, block))
 
 
 def _forest(members: list[tuple[int, int, np.ndarray]], same: bool, accept: tuple[int, int]) -> list[tuple[int, int]]:
@@ -183,7 +234,7 @@ def _exact_links(clusters: DataFrame, texts: DataFrame, size: int, accept: tuple
         "id", "digest", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
     # the comparison lets Spark see a selective side and drop other texts by a Bloom filter before they are shuffled
-    wanted = texts.join(clusters.where("n_shingles > 0").select("id").distinct(), "id", "left_semi")
+    wanted = texts.join(clusters.where("n_shingles > 0").select("id"), "id", "left_semi")
     rows = dealt.join(wanted, "id").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +294,7 @@ def near_duplicates(
     classes = settle(valid.groupBy("digest").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "classes")
     own = valid.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi")
     reps = settle(own.groupBy("id", "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "reps")
-    links, rest = _candidates(reps, far)
-    clusters = connected_components(links).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
-    # what is left of a crowded band is a cluster of its own, so that none of its pairs goes without a comparison
-    clusters = clusters.unionByName(rest.select("id", F.col("band").alias("cluster")))
+    clusters = connected_components(_candidates(reps, far)).withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
     clusters = settle(reps.select("id", "digest", "n_shingles").join(clusters, "id"), "clusters")
     texts = source.select(F.col("__key").alias("id"), "__text")
     links = _exact_links(clusters, texts, size, threshold, block)

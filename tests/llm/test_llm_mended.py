@@ -39,12 +39,8 @@ def test_what_a_crowded_band_leaves_over_is_compared(spark):
     df = spark.createDataFrame(list(enumerate([*texts, " ".join(near)])), "doc_id bigint, text string")
     signed = minhash.sign(df, "doc_id", "text", 3).cache()
     crowded = spark.createDataFrame([(r["id"], r["signature"], [7]) for r in signed.collect()], "id bigint, signature binary, bands array<bigint>")
-    links, rest = minhash._candidates(crowded, minhash.FAR)
-    assert {tuple(r) for r in links.collect()} == set() and {r["id"] for r in rest.collect()} >= {8, 12}
-    sizes = signed.select("id", "digest", "n_shingles")
-    clusters = rest.selectExpr("id", "band AS cluster").join(sizes, "id").select("id", "digest", "n_shingles", "cluster")
-    found = minhash._exact_links(clusters, df.selectExpr("doc_id AS id", "text AS __text"), 3, (100, 85), 200)
-    assert {tuple(sorted(r)) for r in found.collect()} == {(8, 12)}
+    for block in (minhash.BAND_BLOCK, 3, 1):
+        assert {tuple(sorted(r)) for r in minhash._candidates(crowded, minhash.FAR, block).collect()} == {(8, 12)}
 
 
 def test_leaks_equal_exact_scores_of_all_pairs():
