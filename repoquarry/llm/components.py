@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from repoquarry.operators.grouping import spread_join
 from repoquarry.plans.storage import settle
 
 
@@ -12,14 +13,15 @@ def _joined_to_least(links: DataFrame, near: Column) -> DataFrame:
     """Rows (u, v, m): both directions of the links kept by `near`, with the least of u and its kept neighbours."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where(near).join(least, "u")
+    return spread_join(both.where(near), least, ["u"], "v")
 
 
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) for every node of `links (u, v)`, the component being its smallest node.
 
-    Each round is two shuffle aggregations and joins over the links; the links are written to shared storage after
-    every round, so lineage stays short and a lost executor costs one round.  Rows with a null end are left out.
+    Each round is two shuffle aggregations and joins over the links, in which the links of a hub are dealt over several
+    tasks; they are written to shared storage after every round, so lineage stays short and a lost executor costs one
+    round.  Rows with a null end are left out.
     The number of rounds grows with the logarithm of the longest chain; running out of them is an error.
     """
     links = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -29,7 +31,7 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
         large = _joined_to_least(links, F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every link now points from a larger to a smaller node; small-star: smaller neighbours of u, and u, to their least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, least, ["u"], "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         # counted and summed up while they are written: links equal to those of the last round are the result
         watched = Observation()
