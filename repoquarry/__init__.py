@@ -12,11 +12,12 @@ from repoquarry.operators.sampling import first_paths, priority_files, sample_fi
 from repoquarry.operators.sessions import assemble_sessions
 from repoquarry.plans.analyse import analyse_local, analyse_remote, gated
 from repoquarry.plans.prompts import local_prompts, remote_prompts
+from repoquarry.plans.storage import StageStore
 from repoquarry.sources.files import inventory, scan_repositories
 from repoquarry.streaming.sessions import stream_sessions
 
 __all__ = [
-    "analyse_local", "analyse_remote", "assemble_sessions", "build_registry", "classify_license",
+    "StageStore", "analyse_local", "analyse_remote", "assemble_sessions", "build_registry", "classify_license",
     "detect_framework", "detect_language", "domains", "extract_tools", "first_paths", "flatten_agents",
     "gated", "get_entry", "handoff_documents", "handoff_edges", "inventory", "is_permissive", "license_gate",
     "list_entries", "local_prompts", "merge_managed", "metadata_gate", "parse_responses", "priority_files",

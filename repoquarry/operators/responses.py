@@ -38,13 +38,29 @@ def _children(owner: Column, keep: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.filter(listed, lambda child: keep(child["value"])), none)
 
 
+def _list_depth(value: Column) -> Column:
+    """How many lists lie inside each other in a VARIANT value, at least 1: no tree of agents has more levels."""
+    # escapes go first, so that a quote always ends a text; then all but the brackets of lists
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json(value), r"\\.", ""), r'"[^"]*"|[^\[\]"]+', "")
+    return F.aggregate(
+        F.split(F.coalesce(brackets, F.lit("")), ""),
+        F.struct(F.lit(0).alias("now"), F.lit(1).alias("most")),
+        lambda state, bracket: F.struct(
+            (state["now"] + F.when(bracket == "[", 1).when(bracket == "]", -1).otherwise(0)).alias("now"),
+            F.greatest(state["most"], state["now"] + F.when(bracket == "[", 1).otherwise(0)).alias("most"),
+        ),
+        lambda state: state["most"],
+    )
+
+
 def _agent_nodes(
     agents: Column, keep_top: Callable[[Column], Column], keep_nested: Callable[[Column], Column]
 ) -> Column:
     """All agents of a response in pre-order, as an array of `_NODE_TYPE`.
 
-    Works level by level inside the row.  The number of rounds is the number of
-    `subAgents` keys in this response, which no nesting can exceed.
+    Works level by level inside the row, in as many rounds as lists lie inside
+    each other in this response.  Levels are kept side by side and put together
+    once, so the work grows with the number of agents and of levels, not with their product.
     """
     none = F.array().cast(f"array<{_NODE_TYPE}>")
 
@@ -75,14 +91,14 @@ def _agent_nodes(
             )
         ).cast(f"array<{_NODE_TYPE}>")
 
-    rounds = F.sequence(F.lit(1), F.coalesce(F.regexp_count(F.to_json(agents), F.lit('"subAgents":')), F.lit(0)) + 1)
     walked = F.aggregate(
-        rounds,
-        F.struct(top.alias("level"), none.alias("seen")),
+        F.sequence(F.lit(1), _list_depth(agents)),
+        F.struct(top.alias("level"), F.array().cast(f"array<array<{_NODE_TYPE}>>").alias("seen")),
         lambda state, _: F.struct(
-            next_level(state["level"]).alias("level"), F.concat(state["seen"], state["level"]).alias("seen")
+            next_level(state["level"]).alias("level"),
+            F.concat(state["seen"], F.array(state["level"])).alias("seen"),
         ),
-        lambda state: F.concat(state["seen"], state["level"]),
+        lambda state: F.flatten(state["seen"]),
     )
 
     def pre_order(left, right):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from repoquarry.operators import catalogue, defaults, documents, responses
 from repoquarry.operators.grouping import spread_join
 from repoquarry.operators.licensing import license_gate, metadata_gate
-from repoquarry.plans.storage import settle
+from repoquarry.plans.storage import StageStore
 
 
 @dataclass
@@ -74,17 +74,18 @@ def route(profile: DataFrame, sessions: DataFrame, mode: str = "local") -> DataF
     return joined.withColumn("route", chosen)
 
 
-def _routed(profile: DataFrame, sessions: DataFrame, mode: str, store: bool) -> DataFrame:
+def _routed(profile: DataFrame, sessions: DataFrame, mode: str, store: StageStore | None) -> DataFrame:
     # every table of the analysis derives from these rows: parse and validate each response once
     rows = route(profile, sessions, mode).drop("response", "violations")
-    return (settle(rows, "routed") if store else rows).withColumn("valid", F.col("route") == "model")
+    return (rows if store is None else store.keep(rows, f"routed-{mode}")).withColumn("valid", F.col("route") == "model")
 
 
-def analyse_local(profile: DataFrame, sessions: DataFrame, sep: str = "/", store: bool = True) -> Analysis:
+def analyse_local(profile: DataFrame, sessions: DataFrame, sep: str = "/", store: StageStore | None = None) -> Analysis:
     """Analyse checked-out repositories from their profile and session results.
 
-    With `store` the parsed responses are written once to shared storage, which
-    runs a job here; without it every table parses them again when it is read.
+    With a `store` the parsed responses are written to it once, which runs a job
+    here unless it holds them already, and the tables can be read until the store
+    is discarded; without one every table parses the responses again when it is read.
     """
     routed = _routed(profile, sessions, "local", store)
     heuristic = routed.where("NOT valid")
@@ -106,7 +107,7 @@ def analyse_local(profile: DataFrame, sessions: DataFrame, sep: str = "/", store
     )
 
 
-def analyse_remote(profile: DataFrame, sessions: DataFrame, metadata: DataFrame, store: bool = True) -> Analysis:
+def analyse_remote(profile: DataFrame, sessions: DataFrame, metadata: DataFrame, store: StageStore | None = None) -> Analysis:
     """Analyse exported repositories; `metadata` adds owner and name.  `store` as in `analyse_local`."""
     named = profile.join(metadata.select("repo_id", "owner", "repo"), "repo_id")
     routed = _routed(named, sessions, "remote", store)

@@ -1,6 +1,7 @@
 """Model responses: extraction, validation, tools, flattening, routing."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,10 +148,29 @@ def test_routes_and_hooks(spark):
     for r in local.hooks.orderBy("repo_id", "ord").collect():
         hooks.setdefault(r["repo_id"], []).append(r["event"])
     assert hooks["own_hooks"] == ["pre-push"] and hooks["good"] == ["pre-commit", "pre-push", "post-generate"]
-    remote = analyse.analyse_remote(profile, sessions, meta, store=False)
+    remote = analyse.analyse_remote(profile, sessions, meta)
     assert sorted((r["repo_id"], r["name"]) for r in remote.agents.collect()) == [("error", "a1"), ("good", "a1"), ("none", "root")]
     assert {r["repo_id"]: r["summary"] for r in remote.repos.collect()} == {"good": "S", "error": "S", "bad": "", "own_hooks": "", "none": "A Python repository using Flask."}
     assert {r["event"] for r in remote.hooks.collect()} == {"pre-commit", "post-generate"}
     licences = spark.createDataFrame([("good", "MIT"), ("bad", None)], "repo_id string, license string")
     kept, blocked = analyse.gated(remote, licences)
     assert [r["repo_id"] for r in kept.repos.collect()] == ["good"] and blocked.count() == 1
+
+
+def test_depth_of_lists(spark):
+    texts = {"[]": 1, "{}": 1, "[[],[[]]]": 3, '["[[[["]': 1, '[{"a":"\\\\\\"[[","b":[1]}]': 2, '[{"subAgents":[{"subAgents":[]}]}]': 3, "null": 1}
+    df = spark.createDataFrame(list(texts.items()), "t string, n int").select("t", "n", F.try_parse_json("t").alias("v"))
+    assert [(r["t"], r["n"]) for r in df.where(responses._list_depth(F.col("v")) != F.col("n")).collect()] == []
+
+
+def test_thousands_of_sub_agents_keep_their_order(spark):
+    """Wide, with an empty list in every agent, beside a deep chain; the walk takes as many rounds as there are levels."""
+    wide = [{"name": f"w{i}", "subAgents": []} for i in range(8000)]
+    text = json.dumps({"agents": [{"name": "top", "subAgents": wide}, _deep(40)]})
+    parsed = responses.parse_responses(spark.createDataFrame([("r", text)], "repo_id string, response string"))
+    start = time.monotonic()
+    got = [(r["name"], r["parent_agent"]) for r in responses.response_agents(parsed.where("valid")).orderBy("ord").collect()]
+    spent = time.monotonic() - start
+    assert [n for n, _ in got] == ["top", *[f"w{i}" for i in range(8000)], *[f"n{i}" for i in range(41)]]
+    assert {p for n, p in got if n[0] == "w"} == {"top"} and got[-1][1] == "n39"
+    assert spent < 15

@@ -2,15 +2,17 @@
 
 import base64
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from repoquarry.operators import profile
-from repoquarry.plans import prompts
+from repoquarry.plans import analyse, prompts
+from repoquarry.plans.storage import StageStore
 from repoquarry.sources import exports, files
-from workload import catalogue_queries, document_queries, file_queries, quality_queries, response_queries, session_queries
+from workload import catalogue_queries, document_queries, file_queries, quality_queries, response_queries, session_queries, views
 
 
 def test_metadata_and_tree(spark, tmp_path):
@@ -118,3 +120,34 @@ def test_written_files_are_found(spark, tmp_path):
     assert files.write_files(made, f"file:{tmp_path}/out") == 2
     got = sorted(map(tuple, files.scan_repositories(spark, f"file://{tmp_path}/out").collect()))
     assert got == [("r", 0, "a/b.py", 2, "é"), ("r", 1, "c", 0, "")]
+
+
+def test_store_writes_a_stage_once_and_resumes(spark, tmp_path):
+    with StageStore(spark, f"{tmp_path}/kept") as store:
+        first = store.keep(spark.range(3), "numbers")
+        assert sorted(r["id"] for r in store.keep(spark.range(9), "numbers").collect()) == [0, 1, 2] and first.count() == 3
+        # one opened again on the folder reads what is whole and writes anew what broke off
+        (tmp_path / "kept" / "broken").mkdir()
+        (tmp_path / "kept" / "broken" / "part-0.parquet").write_text("cut")
+        again = StageStore(spark, f"{tmp_path}/kept")
+        assert again.has("numbers") and not again.has("broken") and not again.has("other")
+        assert again.keep(spark.range(2), "broken").count() == 2
+        again.discard("numbers")
+        assert not store.has("numbers") and store.has("broken")
+        for name in ("", "_hidden", "a/b"):
+            with pytest.raises(ValueError):
+                store.keep(spark.range(1), name)
+    assert not (tmp_path / "kept").exists()
+
+
+def test_analysis_is_written_once_and_leaves_nothing(spark, tmp_path):
+    """All tables, the gate and the catalogue read the one copy of a run; resumed, it needs no session."""
+    profile = views.part_profiles(spark, "/root/testdata/sf0.001")
+    sessions = response_queries._sessions(spark, "/root/testdata/sf0.001")
+    with StageStore(spark, f"{tmp_path}/run") as store:
+        run = analyse.analyse_local(profile, sessions, store=store)
+        counts = [t.count() for t in (run.repos, run.skills, run.agents, run.hooks, run.registry, run.assets())]
+        assert os.listdir(tmp_path / "run") == ["routed-local"] and min(counts) > 0
+        resumed = analyse.analyse_local(profile, sessions.where("false"), store=StageStore(spark, f"{tmp_path}/run"))
+        assert [t.count() for t in (resumed.repos, resumed.skills, resumed.agents, resumed.hooks, resumed.registry)] == counts[:-1]
+    assert os.listdir(tmp_path) == []

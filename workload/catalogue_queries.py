@@ -80,6 +80,11 @@ def registry_search_unmatched(spark, sf_dir):
     return _hits(catalogue.search(_registry(spark, sf_dir), "nothing like this", limit=5))
 
 
+def registry_search_matched(spark, sf_dir):
+    """Only entries that hold the words: root agents without them are left out."""
+    return _hits(catalogue.search(_registry(spark, sf_dir), "nation 1", limit=25, require_match=True))
+
+
 def registry_lookup(spark, sf_dir):
     return catalogue.get_entry(_registry(spark, sf_dir), "red-bolt").select("repo_id", "ord", "type", "name", "description")
 
@@ -139,6 +144,7 @@ SQL = {
     "registry_search": _search("blue", 10),
     "registry_search_agents": _search("nation 1", 25, "type = 'agent'"),
     "registry_search_unmatched": _search("nothing like this", 5),
+    "registry_search_matched": _search("nation 1", 25, f"""{_score("'nation 1'")} > CASE WHEN type = 'agent' AND NOT is_sub_agent THEN 5 ELSE 0 END"""),
     "registry_lookup": with_views(_REGISTRY + " SELECT repo_id, ord, type, name, description FROM reg WHERE name = 'red-bolt' ORDER BY repo_id, ord LIMIT 1", "skills", "agents"),
     "registry_search_batch": with_views(_REGISTRY + f""", ask AS (SELECT p_partkey AS query_id, lower({_QUERY_TEXT}) AS q FROM part),
 scored AS (SELECT q, repo_id, ord, CAST({_score("q")} AS BIGINT) AS score FROM (SELECT DISTINCT q FROM ask) CROSS JOIN reg),
@@ -152,6 +158,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         registry_build, registry_roundtrip, registry_list, registry_json, registry_scan, registry_scan_strict, registry_quarantine,
-        registry_search, registry_search_agents, registry_search_unmatched, registry_lookup, registry_search_batch,
+        registry_search, registry_search_agents, registry_search_unmatched, registry_search_matched,
+        registry_lookup, registry_search_batch,
     )
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repoquarry.operators import defaults, hierarchy, responses
+from repoquarry.operators import defaults, hierarchy, licensing, responses
+from repoquarry.operators.catalogue import SKILL_OFFSET
 from repoquarry.plans import analyse
+from repoquarry.plans.storage import StageStore
 from workload import views
 from workload.sql_views import with_views
 
@@ -79,12 +81,71 @@ def response_routing(spark, sf_dir):
     return local.join(remote, "repo_id")
 
 
+_STORES: dict[tuple[str, str], StageStore] = {}
+
+
+def _store(spark, sf_dir):
+    """One store for all queries over a folder of tables, removed when the application ends."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        _STORES[key] = StageStore(spark, at_exit=True)
+    return _STORES[key]
+
+
 def _local(spark, sf_dir):
-    return analyse.analyse_local(views.part_profiles(spark, sf_dir), _sessions(spark, sf_dir))
+    return analyse.analyse_local(views.part_profiles(spark, sf_dir), _sessions(spark, sf_dir), store=_store(spark, sf_dir))
 
 
 def _remote(spark, sf_dir):
-    return analyse.analyse_remote(views.part_profiles(spark, sf_dir), _sessions(spark, sf_dir), _metadata(spark, sf_dir))
+    return analyse.analyse_remote(
+        views.part_profiles(spark, sf_dir), _sessions(spark, sf_dir), _metadata(spark, sf_dir), store=_store(spark, sf_dir)
+    )
+
+
+def _licence_files(spark, sf_dir):
+    """One file per part that settles its licence, or does not."""
+    size = F.col("p_size") % 6
+    return views.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("repo_id"),
+        views.pick(["LICENSE", "COPYING", "package.json", "package.json", "README.md", "LICENCE"], size).alias("path"),
+        views.pick(
+            ["The MIT License", "GNU General Public License v3", '{"license":"Apache-2.0"}', '{"license":"SSPL-1.0"}', "MIT License", "Ask us first."], size
+        ).alias("content"),
+    )
+
+
+def _gated_local(spark, sf_dir):
+    return analyse.gated(_local(spark, sf_dir), licensing.resolve_license(_licence_files(spark, sf_dir)))
+
+
+def _gated_remote(spark, sf_dir, dry_run=False):
+    given = views.pick(["MIT", "SSPL-1.0", None, "GPL-3.0", ""], F.col("p_size") % 5)
+    part = views.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("repo_id"), given.alias("license"))
+    return analyse.gated(_remote(spark, sf_dir), part, dry_run)
+
+
+def gated_registry_local(spark, sf_dir):
+    """Checked-out repositories from responses through the licence gate to the catalogue."""
+    return _gated_local(spark, sf_dir)[0].registry.select("repo_id", "ord", "type", "name")
+
+
+def gated_blocked_local(spark, sf_dir):
+    return _gated_local(spark, sf_dir)[1]
+
+
+def gated_skills_remote(spark, sf_dir):
+    return _gated_remote(spark, sf_dir)[0].skills.select("repo_id", "ord", "name", "category")
+
+
+def gated_blocked_remote(spark, sf_dir):
+    return _gated_remote(spark, sf_dir)[1]
+
+
+def gated_dry_run_remote(spark, sf_dir):
+    """A dry run keeps every repository and blocks none."""
+    run, blocked = _gated_remote(spark, sf_dir, dry_run=True)
+    kept = run.repos.select("repo_id", F.lit("").alias("reason"))
+    return kept.unionByName(blocked)
 
 
 def _hook_columns(hooks):
@@ -144,6 +205,9 @@ _DEFAULT_HOOKS = f"""
   FROM responses WHERE {{when}} AND {{tests}} AND {_LANG} <> 'Rust'
   UNION ALL SELECT repo_id, 2, 'post-generate-validate', 'post-generate', '{defaults.VALIDATE_COMMAND}' FROM responses WHERE {{when}}"""
 
+_LOCAL_ALLOWED = "p_size % 6 IN (0, 1, 2)"
+_LOCAL_REASON = """(['', '', '', 'License "SSPL-1.0" is not permissive.', 'No license file found.', 'License "Unknown" is not permissive.'])[p_size % 6 + 1]"""
+
 SQL = {
     "json_extract": with_views("""WITH x AS (SELECT *, regexp_extract(response, '\\{.*\\}', 0, 's') AS j FROM responses)
 SELECT repo_id, j <> '' AS has_braces, j <> '' AND json_valid(j) AS is_json, valid,
@@ -192,6 +256,29 @@ SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY k) - 1 AS ord,
     "analysis_summary_remote": with_views(f"""SELECT repo_id, repo_id AS repo_name, CASE WHEN {_REMOTE_OK} THEN {_MODEL_SUMMARY}
   WHEN p_size % 17 = 0 THEN 'A ' || {_LANG} || ' repository' || CASE WHEN p_size % 2 = 0 THEN ' using Flask.' ELSE '.' END ELSE '' END AS summary,
   {_LANG} AS language, CASE WHEN p_size % 2 = 0 THEN 'Flask' ELSE '' END AS framework FROM responses""", "responses"),
+    "gated_registry_local": with_views(f"""WITH k AS (
+  SELECT repo_id, p_size, 0 AS ord, p_name AS name FROM responses WHERE {_LOCAL_OK}
+  UNION ALL SELECT repo_id, p_size, 1, 'extra' FROM responses WHERE {_LOCAL_OK} AND p_size % 5 = 0
+  UNION ALL SELECT repo_id, p_size, 0, CASE p_size % 3 WHEN 0 THEN 'src-patterns' ELSE 'clients-patterns' END FROM responses WHERE NOT ({_LOCAL_OK}) AND p_size % 3 < 2
+  UNION ALL SELECT repo_id, p_size, 1, 'lib-patterns' FROM responses WHERE NOT ({_LOCAL_OK}) AND p_size % 3 = 0),
+a AS (SELECT repo_id, p_size, 0 AS ord, 'lead' || p_partkey AS name FROM responses WHERE {_LOCAL_OK}
+  UNION ALL SELECT repo_id, p_size, 1, p_brand FROM responses WHERE {_LOCAL_OK}
+  UNION ALL SELECT repo_id, p_size, 2, 'leaf' FROM responses WHERE {_LOCAL_OK}
+  UNION ALL SELECT repo_id, p_size, 3, 'other' FROM responses WHERE {_LOCAL_OK}
+  UNION ALL SELECT repo_id, p_size, 0, 'root' FROM responses WHERE NOT ({_LOCAL_OK})
+  UNION ALL SELECT repo_id, p_size, 1, 'client' FROM responses WHERE NOT ({_LOCAL_OK}) AND p_size % 2 = 0)
+SELECT repo_id, CAST(ord + ({SKILL_OFFSET}) AS BIGINT) AS ord, 'skill' AS type, name FROM k WHERE {_LOCAL_ALLOWED}
+UNION ALL SELECT repo_id, CAST(ord AS BIGINT), 'agent', name FROM a WHERE {_LOCAL_ALLOWED}""", "responses"),
+    "gated_blocked_local": f"SELECT 'p' || p_partkey AS repo_id, {_LOCAL_REASON} AS reason FROM part WHERE NOT ({_LOCAL_ALLOWED})",
+    "gated_skills_remote": with_views(f"""WITH k AS (
+  SELECT repo_id, p_size, 0 AS ord, p_name AS name, (['architecture','quality','misc','patterns'])[p_size % 4 + 1] AS category FROM responses WHERE {_REMOTE_OK}
+  UNION ALL SELECT repo_id, p_size, 1, 'extra', 'patterns' FROM responses WHERE {_REMOTE_OK} AND p_size % 5 = 0
+  UNION ALL SELECT repo_id, p_size, 0, CASE p_size % 3 WHEN 0 THEN 'src-patterns' ELSE 'clients-patterns' END, 'patterns' FROM responses WHERE p_size % 17 = 0 AND p_size % 3 < 2
+  UNION ALL SELECT repo_id, p_size, 1, 'lib-patterns', 'patterns' FROM responses WHERE p_size % 17 = 0 AND p_size % 3 = 0)
+SELECT repo_id, ord, name, category FROM k WHERE p_size % 5 IN (0, 3)""", "responses"),
+    "gated_blocked_remote": """SELECT 'p' || p_partkey AS repo_id, CASE p_size % 5 WHEN 1 THEN 'License "SSPL-1.0" is not permissive.' ELSE 'No license detected.' END AS reason
+FROM part WHERE p_size % 5 IN (1, 2, 4)""",
+    "gated_dry_run_remote": "SELECT 'p' || p_partkey AS repo_id, '' AS reason FROM part",
     "handoff_edges": with_views("""SELECT repo_id, ord, CASE WHEN coalesce(parent_agent, '') = '' THEN 'repo-root' ELSE parent_agent END AS src, name AS dst,
   CASE WHEN len(triggers) = 0 THEN name ELSE array_to_string(triggers, ',') END AS triggers FROM agents WHERE is_sub_agent""", "agents"),
     "handoff_documents": with_views("""WITH e AS (SELECT repo_id, ord, '    {' || chr(10) || '      "from": "' || CASE WHEN coalesce(parent_agent, '') = '' THEN 'repo-root' ELSE parent_agent END
@@ -207,6 +294,7 @@ QUERIES = {
     for f in (
         json_extract, response_findings, response_skills, agent_flatten, tool_normalise, all_tools, response_routing,
         analysis_agents_local, analysis_hooks_local, analysis_summary_local, analysis_counts_local,
-        analysis_skills_remote, analysis_hooks_remote, analysis_summary_remote, handoff_edges, handoff_documents,
+        analysis_skills_remote, analysis_hooks_remote, analysis_summary_remote, gated_registry_local, gated_blocked_local,
+        gated_skills_remote, gated_blocked_remote, gated_dry_run_remote, handoff_edges, handoff_documents,
     )
 }
