@@ -6,8 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 from typing import TypeVar
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Built = TypeVar("Built")
@@ -23,7 +22,7 @@ def built_once(build: Callable[..., Built]) -> Callable[..., Built]:
 
     @wraps(build)
     def lookup(*names: str) -> Built:
-        key = (SparkContext._active_spark_context.applicationId, *names)
+        key = (SparkSession.active().sparkContext.applicationId, *names)
         if key not in kept:
             kept[key] = build(*names)
         return kept[key]

@@ -136,6 +136,12 @@ def _grams(text: Column, sizes: Column) -> Column:
     return F.flatten(nested)
 
 
+def searched_texts() -> Column:
+    """All texts of a registry row that a query is looked for in, in lower case; none is NULL."""
+    triggers = F.coalesce(F.transform("triggers", lambda t: F.lower(t)), F.array().cast("array<string>"))
+    return F.array_compact(F.concat(F.array(F.lower("name"), F.lower("description"), F.lower("category")), triggers))
+
+
 def search_batch(
     registry: DataFrame, queries: DataFrame, k: int = 10, type: str | None = None, salts: int = 16
 ) -> DataFrame:
@@ -153,15 +159,11 @@ def search_batch(
     _check_limit(k)
     entries = registry if type is None else registry.where(F.col("type") == type)
     asked = queries.select(F.lower("query").alias("q")).distinct()
-    texts = F.concat(
-        F.array(F.lower("name"), F.lower("description"), F.coalesce(F.lower("category"), F.lit(""))),
-        F.coalesce(F.transform("triggers", lambda t: F.lower(t)), F.array().cast("array<string>")),
-    )
     filled_in = asked.where("q <> ''")
     # at most GRAM numbers: the gram sizes that queries are filed under
     lengths = filled_in.agg(F.collect_set(F.least(F.char_length("q"), F.lit(GRAM)))).scalar()
     sized = entries.withColumn("sizes", F.coalesce(lengths, F.array().cast("array<int>")))
-    entry_grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(texts), lambda t: _grams(t, F.col("sizes")))))
+    entry_grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(searched_texts()), lambda t: _grams(t, F.col("sizes")))))
     filed = sized.withColumn("salt", F.pmod(F.xxhash64("repo_id", "ord"), F.lit(salts))).withColumn(
         "gram", F.explode(entry_grams)
     )
@@ -179,7 +181,15 @@ def search_batch(
     matched = scored.where(F.col("score") > bonus).select("q", "score", "repo_id", "ord")
     order = [F.col("score").desc(), F.col("repo_id"), F.col("ord")]
     best = top_k_per_group(matched, ["q"], order, k, ["repo_id", "ord"]).drop("rank")
+    return answer(best, entries, asked, queries, k)
+
 
+def answer(best: DataFrame, entries: DataFrame, asked: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Ranked rows for every query from its textual hits `best (q, score, repo_id, ord)` and what needs none.
+
+    `asked` holds the distinct lower-cased texts `q` of `queries`.
+    """
+    order = [F.col("score").desc(), F.col("repo_id"), F.col("ord")]
     pair = F.struct("repo_id", "ord", "score")
     roots = (
         entries.where(is_root_agent())
