@@ -50,6 +50,12 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of this name."""
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
 class StageStore:
     """Results of one flow on shared storage, each written once by name and shared by all tables derived from it.
 
@@ -74,8 +80,7 @@ class StageStore:
 
     def has(self, name: str) -> bool:
         """Whether the stage was written whole: its marker is the last file of a write."""
-        system, target = _file_system(self.spark, f"{self._place(name)}/_SUCCESS")
-        return system.exists(target)
+        return exists(self.spark, f"{self._place(name)}/_SUCCESS")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """The stage `name`, written from `df` unless it is there already."""

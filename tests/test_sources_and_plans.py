@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from repoquarry.operators import profile
 from repoquarry.plans import analyse, prompts
 from repoquarry.plans.storage import StageStore
-from repoquarry.sources import exports, files
+from repoquarry.sources import assets, exports, files
 from workload import catalogue_queries, document_queries, file_queries, quality_queries, response_queries, session_queries, views
 
 
@@ -151,3 +151,50 @@ def test_analysis_is_written_once_and_leaves_nothing(spark, tmp_path):
         resumed = analyse.analyse_local(profile, sessions.where("false"), store=StageStore(spark, f"{tmp_path}/run"))
         assert [t.count() for t in (resumed.repos, resumed.skills, resumed.agents, resumed.hooks, resumed.registry)] == counts[:-1]
     assert os.listdir(tmp_path) == []
+
+
+def _files_of(root):
+    return {f"{folder}/{name}": os.stat(f"{folder}/{name}").st_mtime_ns for folder, _, names in os.walk(root) for name in names if name.endswith(".parquet")}
+
+
+def test_upsert_rewrites_only_what_changes(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/stored"
+    managed = assets.INSTRUCTIONS_PATH
+    start, end = f"<!-- {assets.MANAGED_TAG} -->", f"<!-- /{assets.MANAGED_TAG} -->"
+
+    def table(rows):
+        return spark.createDataFrame(rows, assets.ASSETS_SCHEMA)
+
+    def stored():
+        return {(r["repo_id"], r["path"]): r["content"] for r in assets.read_assets(spark, root).collect()}
+
+    first = [(f"r{i}", "a.md", f"text {i}") for i in range(40)] + [("r1", managed, "mine"), ("r2", "none.md", None)]
+    assert len(assets.upsert_assets(table(first), root, buckets=8)) > 1
+    assert stored() == {**{(r, p): c for r, p, c in first}, ("r1", managed): "mine"}
+    before = _files_of(root)
+    assert assets.upsert_assets(table([row for row in first if row[1] != managed]), root, buckets=8) == [] and _files_of(root) == before
+    # one text changes, a block is spliced in, a row is new: two repositories, so two buckets at most
+    block = f"{start}b{end}"
+    second = [("r1", "a.md", "new"), ("r1", managed, block), ("r2", "b.md", "added"), ("r3", "a.md", "text 3"), ("r2", "none.md", None)]
+    changed = assets.upsert_assets(table(second), root, buckets=8)
+    want = {**{(r, p): c for r, p, c in first}, **{(r, p): c for r, p, c in second}, ("r1", managed): f"{block}\n\nmine"}
+    assert stored() == want and 1 <= len(changed) <= 2
+    after = _files_of(root)
+    for name, written in before.items():
+        bucket = int(name.split("bucket=")[1].split("/")[0])
+        assert (after.get(name) == written) == (bucket not in changed)
+    assert assets.upsert_assets(table(second), root, buckets=8) == [] and _files_of(root) == after
+    # broken off while buckets are replaced: the next call finishes it first
+    whole = assets._replace_buckets
+
+    def broken(rows, path):
+        raise OSError("executor lost")
+
+    monkeypatch.setattr(assets, "_replace_buckets", broken)
+    with pytest.raises(OSError):
+        assets.upsert_assets(table([("r5", "a.md", "late")]), root, buckets=8)
+    monkeypatch.setattr(assets, "_replace_buckets", whole)
+    assert stored() == want
+    assert assets.upsert_assets(table([("r6", "a.md", "text 6")]), root, buckets=8) == []
+    assert stored() == {**want, ("r5", "a.md"): "late"} and not os.path.exists(f"{root}/_pending")
+    assert assets.upsert_assets(table([]), root, buckets=8) == []

@@ -8,7 +8,7 @@ from repoquarry import rules
 from repoquarry.functions import text as tx
 from repoquarry.operators import documents as docs
 from repoquarry.plans.storage import working_dir
-from repoquarry.sources.assets import ASSETS_SCHEMA, write_assets
+from repoquarry.sources.assets import read_assets, upsert_assets, write_assets
 from workload import views
 from workload.sql_views import with_views
 
@@ -135,9 +135,24 @@ def stored_assets(spark, sf_dir):
     path = working_dir(spark, "assets")
     rendered = docs.render_assets(views.brands(spark, sf_dir), views.skills(spark, sf_dir), views.agents(spark, sf_dir), views.hooks(spark, sf_dir))
     write_assets(rendered, path, buckets=16)
-    stored = spark.read.schema(f"{ASSETS_SCHEMA}, bucket bigint").parquet(path)
     right = F.col("bucket") == F.pmod(F.xxhash64("repo_id"), F.lit(16))
-    return stored.select("repo_id", "path", F.md5("content").alias("content_md5"), right.alias("in_bucket"))
+    return read_assets(spark, path).select("repo_id", "path", F.md5("content").alias("content_md5"), right.alias("in_bucket"))
+
+
+def assets_upsert(spark, sf_dir):
+    """Documents as stored files, two thirds of them upserted: half by a managed block, half by a new text; then the same again."""
+    start, end = f"<!-- {docs.MANAGED_TAG} -->", f"<!-- /{docs.MANAGED_TAG} -->"
+    way, text, number = F.col("doc_id") % 4, F.col("text"), F.col("doc_id").cast("string")
+    old = F.when(way == 0, F.concat(text, F.lit(start), text, F.lit(end), text)).when(way == 1, F.concat(F.lit(start), text)).otherwise(text)
+    place = F.concat(F.when(F.col("doc_id") % 8 < 4, "m/").otherwise("w/"), number)
+    table = views.table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), place.alias("path"), "doc_id", old.alias("content"), "n_chars")
+    path = working_dir(spark, "upserted")
+    write_assets(table.where("doc_id % 4 < 3"), path, buckets=16)
+    block = F.concat(F.lit(start), F.col("n_chars").cast("string"), F.lit(end))
+    given = table.where("doc_id % 3 > 0").select("repo_id", "path", block.alias("content"))
+    for _ in range(2):
+        upsert_assets(given, path, buckets=16, managed=F.col("path").startswith("m/"))
+    return read_assets(spark, path).select("repo_id", "path", F.md5("content").alias("content_md5"))
 
 
 # ------------------------------------------------------------------ the same in SQL
@@ -313,6 +328,13 @@ FROM lineitem GROUP BY ALL""",
 r AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || block || text WHEN 1 THEN block || chr(10) || chr(10) || '<!-- {docs.MANAGED_TAG} -->' || text
   WHEN 2 THEN block || chr(10) || chr(10) || text ELSE block END AS content FROM m)
 SELECT CAST(doc_id AS VARCHAR) AS repo_id, md5(content) AS content_md5, length(content) AS length FROM r""",
+    "assets_upsert": f"""WITH m AS (SELECT source, doc_id, '<!-- {docs.MANAGED_TAG} -->' || n_chars || '<!-- /{docs.MANAGED_TAG} -->' AS block,
+    '<!-- {docs.MANAGED_TAG} -->' AS s, '<!-- /{docs.MANAGED_TAG} -->' AS e, text FROM documents),
+r AS (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 4 WHEN 0 THEN text || s || text || e || text WHEN 1 THEN s || text ELSE text END
+    WHEN doc_id % 8 >= 4 THEN block
+    ELSE CASE doc_id % 4 WHEN 0 THEN text || block || text WHEN 1 THEN block || chr(10) || chr(10) || s || text
+      WHEN 2 THEN block || chr(10) || chr(10) || text ELSE block END END AS content FROM m WHERE doc_id % 3 > 0 OR doc_id % 4 < 3)
+SELECT source AS repo_id, CASE WHEN doc_id % 8 < 4 THEN 'm/' ELSE 'w/' END || doc_id AS path, md5(content) AS content_md5 FROM r""",
     "run_summary": with_views("WITH " + _LISTS + """ SELECT s.repo_id, (SELECT count(*) FROM skills k WHERE k.repo_id = s.repo_id) AS n_skills,
   CASE WHEN multi THEN (SELECT count(*) FROM agents a WHERE a.repo_id = s.repo_id) ELSE 1 END AS n_agents,
   (SELECT count(*) FROM hooks h WHERE h.repo_id = s.repo_id) AS n_hooks FROM shape s""", *_ALL),
@@ -329,6 +351,6 @@ QUERIES = {
     for f in (
         text_scalars, category_texts, skill_documents, hook_documents, document_modes, main_agent_documents,
         root_agent_documents, sub_agent_documents, instruction_documents, conventions, text_conventions, distinct_tools,
-        first_seen_orders, structure, testing_info, pattern_language, managed_merge, run_summary, rendered_assets, stored_assets,
+        first_seen_orders, structure, testing_info, pattern_language, managed_merge, run_summary, rendered_assets, stored_assets, assets_upsert,
     )
 }
