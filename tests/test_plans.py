@@ -66,3 +66,19 @@ def test_validation_is_one_pass(spark, tmp_path):
     scans, exchanges = plan.count("FileScan"), len([line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line])
     # the absent parts share one aggregation, which the adaptive plan reuses when it runs
     assert scans <= 5 and exchanges <= 8 and "LeftAnti" not in plan
+
+
+def test_rendering_reads_each_input_a_few_times(spark, tmp_path):
+    """Lists come from one long table of lines: three shuffles, whatever the number of lists."""
+    from repoquarry.operators import documents
+    from workload import views
+
+    tables = []
+    for view in (views.brands, views.skills, views.agents, views.hooks):
+        view(spark, SF_DIR).write.parquet(str(tmp_path / view.__name__))
+        tables.append(spark.read.parquet(str(tmp_path / view.__name__)))
+    plan = _plan(documents.render_assets(*tables))
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line]
+    assert plan.count("FileScan") <= 9 and len(exchanges) <= 12
+    blocks = _plan(documents.instruction_blocks(documents.repo_shape(tables[0], tables[2]), tables[1], tables[2]))
+    assert blocks.count("FileScan") <= 4 and "Window" not in blocks
