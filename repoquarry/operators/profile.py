@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from repoquarry import rules
 from repoquarry.functions import json_values as js
 from repoquarry.functions import paths
-from repoquarry.operators.grouping import top_k_per_group
+from repoquarry.operators.grouping import SALTS, top_k_per_group
 
 UNKNOWN_LANGUAGE = "Unknown"
+MANIFEST_COLUMNS = ("node", "python", "golang")
 
 
 def _language_table(mode: str):
@@ -58,7 +59,8 @@ def _first_match(cases) -> Column:
     return reduce(lambda acc, case: acc.when(case[0], case[1]), rest, F.when(condition, value))
 
 
-def _manifest_framework(files: DataFrame) -> DataFrame:
+def _manifest_matches(files: DataFrame) -> DataFrame:
+    """(repo_id, node, python, golang): what each root manifest names."""
     wanted = ("package.json", "requirements.txt", "go.mod")
     # the filter reaches the scan, so `content` is read for these rows' row groups only
     manifests = files.where(F.col("path").isin(*wanted)).select("repo_id", "path", "content")
@@ -74,24 +76,33 @@ def _manifest_framework(files: DataFrame) -> DataFrame:
     text = F.col("content")
     python = _first_match([(text.contains(word), label) for word, label in rules.PYTHON_FRAMEWORKS])
     golang = _first_match([(text.contains(word), label) for word, label in rules.GO_FRAMEWORKS])
-    found = parsed.select(
+    return parsed.select(
         "repo_id",
         F.when(is_node, node).alias("node"),
         F.when(F.col("path") == "requirements.txt", python).alias("python"),
         F.when(F.col("path") == "go.mod", golang).alias("golang"),
     )
-    per_repo = found.groupBy("repo_id").agg(F.max("node").alias("a"), F.max("python").alias("b"), F.max("golang").alias("c"))
-    return per_repo.select("repo_id", F.coalesce("a", "b", "c").alias("framework"))
+
+
+def _manifest_framework(files: DataFrame) -> DataFrame:
+    found = _manifest_matches(files)
+    per_repo = found.groupBy("repo_id").agg(*[F.max(name).alias(name) for name in MANIFEST_COLUMNS])
+    return per_repo.select("repo_id", F.coalesce(*MANIFEST_COLUMNS).alias("framework"))
+
+
+def _framework_rank() -> Column:
+    """Place of a path among the files that give a framework away, or NULL."""
+    return _first_match([(F.col("path") == name, F.lit(rank)) for rank, (name, _) in enumerate(rules.FRAMEWORK_FILES)])
+
+
+def _framework_at(rank: Column) -> Column:
+    return F.get(F.array(*[F.lit(label) for _, label in rules.FRAMEWORK_FILES]), rank)
 
 
 def _path_framework(files: DataFrame) -> DataFrame:
     names = [name for name, _ in rules.FRAMEWORK_FILES]
-    ranked = _first_match(
-        [(F.col("path") == name, F.lit(rank)) for rank, name in enumerate(names)]
-    )
-    best = files.where(F.col("path").isin(*names)).groupBy("repo_id").agg(F.min(ranked).alias("rank"))
-    labels = F.array(*[F.lit(label) for _, label in rules.FRAMEWORK_FILES])
-    return best.select("repo_id", F.get(labels, F.col("rank")).alias("framework"))
+    best = files.where(F.col("path").isin(*names)).groupBy("repo_id").agg(F.min(_framework_rank()).alias("rank"))
+    return best.select("repo_id", _framework_at(F.col("rank")).alias("framework"))
 
 
 def detect_framework(files: DataFrame, mode: str = "local") -> DataFrame:
@@ -114,6 +125,21 @@ def directory_counts(files: DataFrame, sep: str = "/") -> DataFrame:
     )
 
 
+def _source_order() -> list[Column]:
+    """Ascending order of directories as source directories, over `dir`, `n` and `first_ord`."""
+    index_like = F.col("dir").rlike(r"^(0|[1-9][0-9]{0,9})\z") & (
+        F.coalesce(F.expr("try_cast(dir AS bigint)"), F.lit(2**33)) < 2**32 - 1
+    )
+    common = F.col("dir").isin(*rules.SOURCE_DIRS)
+    return [
+        F.when(common, 0).otherwise(1),
+        F.when(common, F.lit(0)).otherwise(-F.col("n")),
+        F.when(common | ~index_like, 1).otherwise(0),
+        F.when(~common & index_like, F.expr("try_cast(dir AS bigint)")).otherwise(F.col("first_ord")),
+        F.col("first_ord"),
+    ]
+
+
 def source_dirs(files: DataFrame, mode: str = "local", sep: str = "/") -> DataFrame:
     """(repo_id, pos, dir): conventional source directories in first-seen order.
 
@@ -130,19 +156,8 @@ def source_dirs(files: DataFrame, mode: str = "local", sep: str = "/") -> DataFr
         )
         return ranked.select("repo_id", (F.col("rank") - 1).alias("pos"), "dir")
 
-    index_like = F.col("dir").rlike(r"^(0|[1-9][0-9]{0,9})\z") & (
-        F.coalesce(F.expr("try_cast(dir AS bigint)"), F.lit(2**33)) < 2**32 - 1
-    )
-    common = F.col("dir").isin(*rules.SOURCE_DIRS)
-    counts = directory_counts(files, sep).withColumn("common", common)
-    order = [
-        F.col("common").desc(),
-        F.when(F.col("common"), F.lit(0)).otherwise(-F.col("n")),
-        F.when(F.col("common") | ~index_like, 1).otherwise(0),
-        F.when(~F.col("common") & index_like, F.expr("try_cast(dir AS bigint)")).otherwise(F.col("first_ord")),
-        F.col("first_ord"),
-    ]
-    best = top_k_per_group(counts, ["repo_id"], order, len(rules.SOURCE_DIRS), ["dir"])
+    counts = directory_counts(files, sep).withColumn("common", F.col("dir").isin(*rules.SOURCE_DIRS))
+    best = top_k_per_group(counts, ["repo_id"], _source_order(), len(rules.SOURCE_DIRS), ["dir"])
     # at most six rows per repository by now, already partitioned by repo_id
     any_common = F.max("common").over(Window.partitionBy("repo_id"))
     kept = best.withColumn("any_common", any_common).where(
@@ -168,39 +183,92 @@ def domains(files: DataFrame, sep: str = "/") -> DataFrame:
     )
 
 
-def _dirs_array(dirs: DataFrame) -> DataFrame:
-    # at most six directories per repository
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "dir")))
-    return dirs.groupBy("repo_id").agg(F.transform(pairs, lambda p: p["dir"]).alias("source_dirs"))
+# ------------------------------------------------------------------ mergeable state of repositories
 
 
-def _domains_array(found: DataFrame) -> DataFrame:
-    # bounded by the list of known domain names
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("file_count")).alias("k"), "first_ord", "name", "path", "file_count"))
-    )
-    return found.groupBy("repo_id").agg(
-        F.transform(ordered, lambda d: F.struct(d["name"], d["path"], d["file_count"])).alias("domains")
-    )
+def _merged(columns: list[str]) -> list[Column]:
+    """The aggregate that merges each state column, told by its name."""
 
+    def merge(name: str) -> Column:
+        if name.startswith(("votes_", "n_")) or name == "n":
+            return F.sum(name)
+        if name.startswith("has_"):
+            return F.bool_or(name)
+        return F.max(name) if name in MANIFEST_COLUMNS else F.min(name)
 
-def repo_profile(files: DataFrame, mode: str = "local", sep: str = "/") -> DataFrame:
-    """One row per repository with everything the default assets are derived from."""
-    base = files.groupBy("repo_id").agg(
+    return [merge(name).alias(name) for name in columns if name not in ("repo_id", "dir")]
+
+
+def repository_state(files: DataFrame, mode: str = "local", sep: str = "/") -> DataFrame:
+    """One row per (repo_id, top-level directory) that holds all a profile needs; states of disjoint file tables merge.
+
+    One pass over the metadata columns, aggregated before its shuffle, and in `local` mode one over the contents of root
+    manifests, whose rows stand without a directory.  `dir` is NULL for files in the root.
+    """
+    eligible = F.col("dir").isNotNull() & ~F.col("is_test") & ~F.col("is_config")
+    listed = files.withColumn("dir", paths.first_segment(F.col("path"), sep))
+    aggregates = [
         *language_aggregates(mode),
         F.count(F.lit(1)).alias("n_files"),
         F.bool_or("is_test").alias("has_tests"),
         F.bool_or(F.col("path") == "package.json").alias("has_root_package"),
+        F.count_if(eligible).alias("n"),
+        F.min(F.when(eligible, F.col("ord"))).alias("first_ord"),
+        F.min("ord").alias("seen_ord"),
+    ]
+    if mode == "remote":
+        return listed.groupBy("repo_id", "dir").agg(*aggregates, F.min(_framework_rank()).alias("framework_rank"))
+    state = listed.groupBy("repo_id", "dir").agg(*aggregates)
+    return state.unionByName(_manifest_matches(files), allowMissingColumns=True)
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all files together, from states of parts that share no file."""
+    rows = reduce(lambda a, b: a.unionByName(b), states)
+    return rows.groupBy("repo_id", "dir").agg(*_merged(rows.columns))
+
+
+def profile_of_state(state: DataFrame, mode: str = "local") -> DataFrame:
+    """`repo_profile` from a state.  Several states go through `merge_states` first, as directories are ranked by their sums.
+
+    A repository may have any number of directories: they are ranked within salts, and only the best of each
+    salt, the few known names, and sums go into the repository's row.
+    """
+    conventional = rules.SOURCE_DIRS if mode == "local" else rules.REMOTE_SOURCE_DIRS
+    common = F.col("dir").isin(*conventional)
+    if mode == "local":
+        candidate, order = F.col("n") > 0, _source_order()
+    else:
+        candidate, order = common, [F.col("seen_ord")]
+    candidate = F.coalesce(candidate & F.col("dir").isNotNull(), F.lit(False))
+    salted = state.withColumn("__salt", F.pmod(F.xxhash64("dir"), F.lit(SALTS))).withColumn("__candidate", candidate)
+    inside = Window.partitionBy("repo_id", "__salt").orderBy(F.col("__candidate").desc(), *order)
+    ranked = salted.withColumn("__rank", F.row_number().over(inside))
+    best = F.col("__candidate") & (F.col("__rank") <= len(conventional))
+    place = F.struct(*[part.alias(f"o{i}") for i, part in enumerate(order)], F.col("dir").alias("dir"), common.alias("common"))
+    known = F.lower("dir").isin(*rules.DOMAIN_NAMES) & (F.col("n") > rules.DOMAIN_MIN_FILES)
+    area = F.struct((-F.col("n")).alias("k"), "first_ord", F.col("dir").alias("name"), F.col("n").alias("file_count"))
+    columns = [name for name in state.columns if name not in ("n", "first_ord", "seen_ord")]
+    one = ranked.groupBy("repo_id").agg(
+        *_merged(columns),
+        F.array_sort(F.collect_list(F.when(best, place))).alias("places"),
+        F.array_sort(F.collect_list(F.when(known, area))).alias("areas"),
     )
-    profile = base.select("repo_id", "n_files", "has_tests", "has_root_package", language_of_votes(mode).alias("language"))
-    framework = _manifest_framework(files) if mode == "local" else _path_framework(files)
-    empty = F.array().cast("array<string>")
-    joined = (
-        profile.join(framework, "repo_id", "left")
-        .join(_dirs_array(source_dirs(files, mode, sep)), "repo_id", "left")
-        .join(_domains_array(domains(files, sep)), "repo_id", "left")
-    )
-    no_domains = F.array().cast("array<struct<name:string,path:string,file_count:bigint>>")
-    return joined.withColumn("source_dirs", F.coalesce("source_dirs", empty)).withColumn(
-        "domains", F.coalesce("domains", no_domains)
+    if mode == "local":
+        usual = F.filter("places", lambda p: p["common"])
+        chosen = F.when(F.size(usual) > 0, usual).otherwise(F.slice("places", 1, rules.FALLBACK_SOURCE_DIRS))
+        framework = F.coalesce(*MANIFEST_COLUMNS)
+    else:
+        chosen, framework = F.col("places"), _framework_at(F.col("framework_rank"))
+    domain = F.transform("areas", lambda d: F.struct(d["name"].alias("name"), d["name"].alias("path"), d["file_count"].alias("file_count")))
+    return one.select(
+        "repo_id", "n_files", "has_tests", "has_root_package", language_of_votes(mode).alias("language"),
+        framework.alias("framework"),
+        F.transform(chosen, lambda p: p["dir"]).alias("source_dirs"),
+        domain.alias("domains"),
     )
+
+
+def repo_profile(files: DataFrame, mode: str = "local", sep: str = "/") -> DataFrame:
+    """One row per repository with everything the default assets are derived from."""
+    return profile_of_state(repository_state(files, mode, sep), mode)

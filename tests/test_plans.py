@@ -22,8 +22,8 @@ def stored_files(spark, make_files, tmp_path_factory):
 
 
 # every registered query with a join in it, but for those that run a job while they are built
-JOINING = """license_resolution framework_manifests sample_contents prompts_local prompts_remote repo_profiles
-heuristic_agents prefix_assign response_routing registry_scan_strict registry_search_batch root_agent_documents
+JOINING = """license_resolution framework_manifests sample_contents prompts_local prompts_remote
+prefix_assign response_routing registry_scan_strict registry_search_batch root_agent_documents
 sub_agent_documents instruction_documents rendered_assets managed_merge testing_info run_summary registry_findings_large
 validate_rollup session_assemble session_assemble_local session_timeouts""".split()
 
@@ -82,3 +82,10 @@ def test_rendering_reads_each_input_a_few_times(spark, tmp_path):
     assert plan.count("FileScan") <= 9 and len(exchanges) <= 12
     blocks = _plan(documents.instruction_blocks(documents.repo_shape(tables[0], tables[2]), tables[1], tables[2]))
     assert blocks.count("FileScan") <= 4 and "Window" not in blocks
+
+
+def test_profile_reads_metadata_once(stored_files):
+    """One pass over metadata, one over root manifests; three shuffles, no join."""
+    plan = _plan(profile.repo_profile(stored_files))
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") == 3 and "Join" not in plan
+    assert len([line for line in plan.splitlines() if "FileScan" in line and "content" in line.split("ReadSchema")[-1]]) == 1

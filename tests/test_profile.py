@@ -1,5 +1,6 @@
 """Language, framework, directories, domains, samples and the defaults derived from them."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from repoquarry.operators import defaults, profile, sampling
@@ -171,3 +172,36 @@ def test_assign_by_prefix(spark):
                      ("r", "client/a", "client"), ("r", "clients", "cli"), ("r", "clients", "client")]
     strict = sorted((r["repo_id"], r["dir"], r["p"] or "") for r in defaults.assign_by_prefix(items, known, ["repo_id"], "dir", "p", "ord", "/").collect())
     assert strict == [("q", "client/a", ""), ("r", "", ""), ("r", "client", "client"), ("r", "client/a", "client"), ("r", "clients", "")]
+
+
+@pytest.mark.parametrize("mode", ["local", "remote"])
+def test_merged_states_give_the_profile_of_all_files(make_files, mode):
+    import random
+
+    random.seed(5)
+    names = ["src", "lib", "api", "auth", "7", "10", "07", "pkg", "docs", "web", "test", "Core"]
+    repos = {
+        f"r{i}": [random.choice(["", *[f"{name}/" for name in names]]) + f"{j}" + random.choice([".ts", ".py", ".js", ".go", ".txt", ".test.ts"]) for j in range(40)]
+        for i in range(12)
+    }
+    for i in range(0, 12, 3):
+        repos[f"r{i}"] += [("package.json", 1, '{"dependencies":{"vue":"3"}}'), ("go.mod", 1, "gin"), "vue.config.js", "tsconfig.json"]
+    repos["many"] = [f"d{i}/x.py" for i in range(400)] + [f"d{i}/y.py" for i in range(390, 400)]
+    files = make_files(repos, mode)
+    whole = _dict(profile.repo_profile(files, mode))
+    parts = [profile.repository_state(files.where(F.col("ord") % 3 == part), mode) for part in range(3)]
+    assert _dict(profile.profile_of_state(profile.merge_states(*parts), mode)) == whole
+    twice = profile.merge_states(profile.merge_states(parts[2], parts[0]), parts[1])
+    assert _dict(profile.profile_of_state(twice, mode)) == whole
+    # and the profile's lists are those of the single operators
+    dirs, areas = {}, {}
+    for row in profile.source_dirs(files, mode).orderBy("repo_id", "pos").collect():
+        dirs.setdefault(row["repo_id"], []).append(row["dir"])
+    for row in profile.domains(files).orderBy("repo_id", F.desc("file_count"), "first_ord").collect():
+        areas.setdefault(row["repo_id"], []).append((row["name"], row["path"], row["file_count"]))
+    for row in profile.repo_profile(files, mode).collect():
+        assert row["source_dirs"] == dirs.get(row["repo_id"], [])
+        assert [tuple(d) for d in row["domains"]] == areas.get(row["repo_id"], [])
+    if mode == "local":
+        assert dirs["many"] == ["d390", "d391", "d392"]
+    assert _dict(profile.repo_profile(files.limit(0), mode)) == {}

@@ -220,8 +220,18 @@ def default_hooks(spark, sf_dir):
     )
 
 
+def merged_profiles(spark, sf_dir):
+    """Profiles from the states of two halves of the files, each of which cuts through the repositories."""
+    files = views.local_files(spark, sf_dir)
+    halves = [profile.repository_state(files.where(F.col("ord") % 2 == half)) for half in (0, 1)]
+    return _profile_row(profile.profile_of_state(profile.merge_states(*halves)))
+
+
 def repo_profiles(spark, sf_dir):
-    got = profile.repo_profile(views.local_files(spark, sf_dir))
+    return _profile_row(profile.repo_profile(views.local_files(spark, sf_dir)))
+
+
+def _profile_row(got):
     return got.select(
         "repo_id", "language", _text_or_empty("framework"), "n_files", "has_tests", "has_root_package",
         F.array_join("source_dirs", ",").alias("source_dirs"),
@@ -528,10 +538,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ord) AS rn FROM
     CASE language WHEN 'TypeScript' THEN 'npm test' WHEN 'Python' THEN 'pytest' ELSE 'go test ./...' END FROM p WHERE language <> 'Rust' AND has_tests
   UNION ALL SELECT repo_id, 2, 'post-generate-validate', 'post-generate', 'Validate generated agent assets after generation', '{defaults.VALIDATE_COMMAND}' FROM p)
 SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY k) - 1 AS pos, name, event, description, commands FROM h""",
-    "repo_profiles": with_views(_LOCAL_PROFILE + """ SELECT repo_id, language, framework, n_files, has_tests, has_root_package,
+    **dict.fromkeys(("repo_profiles", "merged_profiles"), with_views(_LOCAL_PROFILE + """ SELECT repo_id, language, framework, n_files, has_tests, has_root_package,
   array_to_string(dirs, ',') AS source_dirs, labels AS domains,
   'A ' || language || ' repository' || CASE WHEN framework <> '' THEN ' using ' || framework ELSE '' END || ' with ' || len(doms) || ' detected domains.' AS summary
-FROM prof""", "local_files"),
+FROM prof""", "local_files")),
     "heuristic_agents": with_views(_AGENTS_LOCAL, "local_files"),
     "heuristic_agents_remote": with_views(_REMOTE_DIRS + ", langs AS (" + _vote("remote_files", "", "min(ord)") + f""")
 SELECT l.repo_id, 0 AS ord, 'root' AS name, 'Root agent for own/' || l.repo_id AS description,
@@ -559,7 +569,7 @@ QUERIES = {
         file_inventory, scanned_files, remote_inventory, content_truncation, content_decode, git_tree, repo_metadata,
         language_vote, language_vote_remote, framework_manifests, framework_paths, source_dirs, source_dirs_remote,
         domain_boundaries, sample_files, sample_contents, priority_files, prompt_paths, prompts_local, prompts_remote,
-        default_skills, default_tools, default_tools_remote, default_hooks, repo_profiles, heuristic_agents,
+        default_skills, default_tools, default_tools_remote, default_hooks, repo_profiles, merged_profiles, heuristic_agents,
         heuristic_agents_remote, prefix_assign, url_checks, url_parts,
     )
 }
