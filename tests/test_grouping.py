@@ -75,3 +75,11 @@ def test_concat_any_text(spark, rows):
     for k, t in rows:
         expected[k].append(t)
     assert got == {k: "|".join(v) for k, v in expected.items()}
+
+
+def test_neither_side_of_a_spread_join_is_broadcast(spark):
+    """The small side is repeated after its size was judged: a broadcast of it does not fit the driver."""
+    big = spark.range(1000).select((F.col("id") % 200).alias("k"), F.col("id").alias("pos"))
+    kept = grouping.spread_join(big, spark.range(100).select(F.col("id").alias("k")).distinct(), ["k"], "pos", "left_semi")
+    assert kept.count() == 500
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
