@@ -83,3 +83,12 @@ def test_neither_side_of_a_spread_join_is_broadcast(spark):
     kept = grouping.spread_join(big, spark.range(100).select(F.col("id").alias("k")).distinct(), ["k"], "pos", "left_semi")
     assert kept.count() == 500
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbered_rows_are_not_broadcast(spark, tmp_path):
+    """Counts per slice come from a window in few tasks: rows joined to them by broadcast would be numbered there."""
+    spark.range(5000).select(F.lit("a").alias("k"), F.col("id").alias("pos")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = grouping.number_rows(table, ["k"], "pos", "n", chunk=500)
+    assert got.where("n <> pos + 1").count() == 0 and got.count() == 5000
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
