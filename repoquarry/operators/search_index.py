@@ -26,12 +26,15 @@ def _bucket(gram: Column, buckets: int) -> Column:
 
 
 def _bound(gram: Column) -> Column:
-    """The most a query that holds `gram` can score: each text with the gram counts as if it held, and were, the query."""
+    """The most a query that holds `gram` can score: each text with the gram counts as if it held, and were, the query.
+
+    The texts of the entry are in lower case already.
+    """
     def points(text: Column, value: int) -> Column:
-        return F.when(F.lower(text).contains(gram), value).otherwise(0)
+        return F.when(text.contains(gram), value).otherwise(0)
 
     per_trigger = rules.SCORE_TRIGGER_CONTAINS + rules.SCORE_TRIGGER_EQUALS
-    triggers = F.filter(F.coalesce("triggers", F.array().cast("array<string>")), lambda t: F.lower(t).contains(gram))
+    triggers = F.filter("triggers", lambda t: t.contains(gram))
     parts = [
         points(F.col("name"), rules.SCORE_NAME_EQUALS + rules.SCORE_NAME_CONTAINS),
         points(F.col("description"), rules.SCORE_DESCRIPTION),
@@ -47,14 +50,20 @@ def write_index(registry: DataFrame, path: str, buckets: int = BUCKETS, block: i
 
     Repositories are appended whole and once: an entry is known by (repo_id, ord).  Every call to one index gives the same
     number of `buckets`.  Postings of one gram and bound are dealt to blocks of about `block` by a hash, so that
-    a gram of every entry fills many tasks and no row grows with the catalogue.
+    a gram of every entry fills many tasks and no row grows with the catalogue.  Entries are dealt to tasks before their
+    n-grams are listed, which are many times their size, however few files they come from.
     """
     path = path.rstrip("/")
     entries = registry.select(*_ENTRY)
     entries.write.mode("append").parquet(f"{path}/entries")
     sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
     grams = F.array_distinct(F.flatten(F.transform(F.array_distinct(searched_texts()), lambda t: _grams(t, sizes))))
-    postings = entries.withColumn("gram", F.explode(grams)).select("gram", _bound(F.col("gram")).alias("bound"), "repo_id", "ord")
+    dealt = entries.repartition("repo_id", "ord").withColumn("gram_list", grams)
+    # in lower case once for an entry, not for each of its n-grams
+    lowered = dealt.withColumns({name: F.lower(name) for name in ("name", "description", "category")}).withColumn(
+        "triggers", F.transform(F.coalesce("triggers", F.array().cast("array<string>")), lambda t: F.lower(t))
+    )
+    postings = lowered.withColumn("gram", F.explode("gram_list")).select("gram", _bound(F.col("gram")).alias("bound"), "repo_id", "ord")
     postings = postings.withColumn("member", F.xxhash64("repo_id", "ord"))
     counts = postings.groupBy("gram", "bound").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("slots"))
     dealt = spread_join(postings, counts, ["gram", "bound"], "member").withColumn("slot", F.pmod("member", "slots"))

@@ -89,3 +89,14 @@ def test_empty_index_and_no_queries(spark, registry, queries, index, tmp_path):
     assert _rows(search_index.search_indexed(search_index.read_index(spark, f"{tmp_path}/none"), queries, 3)) == []
     assert _rows(search_index.search_indexed(index, queries.where("false"), 3, buckets=16)) == []
     assert _rows(search_index.search_indexed(index, queries, 0, buckets=16)) == []
+
+
+def test_entries_of_one_file_are_dealt_before_their_grams_are_listed(spark, registry, tmp_path, monkeypatch):
+    """The n-grams of an entry are many times its size: one file of entries must not be listed in one task."""
+    registry.coalesce(1).write.parquet(str(tmp_path / "entries"))
+    seen, plain = [], search_index.spread_join
+    monkeypatch.setattr(search_index, "spread_join", lambda big, *rest, **options: seen.append(big) or plain(big, *rest, **options))
+    search_index.write_index(spark.read.parquet(str(tmp_path / "entries")), str(tmp_path / "index"))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    listed, read = plan.index("Generate explode(gram_list"), plan.index("FileScan")
+    assert "Exchange hashpartitioning(repo_id" in plan[listed:read]
