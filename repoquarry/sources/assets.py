@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repoquarry.operators.documents import INSTRUCTIONS_PATH, MANAGED_TAG, merge_text
+from repoquarry.operators.documents import INSTRUCTIONS_PATH, MANAGED_TAG, asset_bucket, merge_text
 from repoquarry.plans.storage import StageStore, exists
 
 ASSETS_SCHEMA = "repo_id string, path string, content string"
@@ -20,16 +20,18 @@ def write_assets(assets: DataFrame, path: str, dry_run: bool = False, buckets: i
     """Write `(repo_id, path, content)` as Parquet, partitioned by a hash bucket of `repo_id`.
 
     A bucket rather than the raw id keeps the number of directories fixed; a
-    reader prunes with `bucket = pmod(xxhash64(repo_id), buckets)`.  A dry run
-    only returns the table.
+    reader prunes with `bucket = pmod(xxhash64(repo_id), buckets)`.  A table rendered
+    for the same number of buckets has that column, and is written in the order in which
+    it comes; any other is sorted by bucket within its tasks.  A dry run only returns the table.
     """
     if not dry_run:
-        assets.select("repo_id", "path", "content", _bucket(buckets)).write.partitionBy("bucket").parquet(path)
+        bucket = F.col("bucket") if "bucket" in assets.columns else _bucket(buckets)
+        assets.select("repo_id", "path", "content", bucket).write.partitionBy("bucket").parquet(path)
     return assets
 
 
 def _bucket(buckets: int) -> Column:
-    return F.pmod(F.xxhash64("repo_id"), F.lit(buckets)).alias("bucket")
+    return asset_bucket(buckets).alias("bucket")
 
 
 def read_assets(spark: SparkSession, path: str) -> DataFrame:
