@@ -1,7 +1,7 @@
 """JSON text to VARIANT under JSON.parse rules, and script-style truth and text of values."""
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,6 +71,38 @@ def elements(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def elements_of(value: Column, name: str) -> Column:
+    """Elements of an array member of an object; NULL for anything else.  Unlike `elements` of `field`, copies them once."""
+    return F.try_variant_get(value, f'$["{name}"]', "array<variant>")
+
+
+def _members(names: Sequence[str]) -> str:
+    return f"struct<{','.join(f'`{name}`:variant' for name in names)}>"
+
+
+def members(value: Column, names: Sequence[str]) -> Column:
+    """Some members of an object as a struct, absent ones NULL; NULL for anything but an object.  One pass, however many are read."""
+    return F.try_variant_get(value, "$", _members(names))
+
+
+def members_of_each(value: Column, name: str, names: Sequence[str]) -> Column:
+    """`members` of every element of an array member of an object; NULL where there is no such array."""
+    return F.try_variant_get(value, f'$["{name}"]', f"array<{_members(names)}>")
+
+
+def is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "struct<>").isNotNull()
+
+
+def is_array(value: Column, path: str = "$") -> Column:
+    """Whether there is an array at the path, found without a look into its elements."""
+    return F.try_variant_get(value, path, "array<struct<>>").isNotNull()
+
+
+def is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
 def kind(value: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a numeric type name; SQL NULL when absent."""
     return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)

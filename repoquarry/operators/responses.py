@@ -32,7 +32,7 @@ def extract_json(response: Column) -> Column:
 def _children(owner: Column, keep: Callable[[Column], Column]) -> Column:
     """(index, value) of the entries of `subAgents` that satisfy `keep`."""
     listed = F.transform(
-        js.elements(js.field(owner, "subAgents")), lambda value, i: F.struct(i.alias("i"), value.alias("value"))
+        js.elements_of(owner, "subAgents"), lambda value, i: F.struct(i.alias("i"), value.alias("value"))
     )
     none = F.array().cast("array<struct<i:int,value:variant>>")
     return F.coalesce(F.filter(listed, lambda child: keep(child["value"])), none)
@@ -53,12 +53,23 @@ def _list_depth(value: Column) -> Column:
     )
 
 
+def _level_limit(agents: Column) -> Column:
+    """At least as many as a tree of agents has levels, and few: every level but the first needs a list of its own.
+
+    Trees with many such lists are looked at more closely, since they may be in one level.
+    """
+    lists = F.regexp_count(F.to_json(agents), F.lit('"subAgents"'))
+    # the one-element array binds the number to a variable
+    limit = F.transform(F.array(F.coalesce(lists, F.lit(0))), lambda n: F.when(n < 8, n + 1).otherwise(_list_depth(agents)))
+    return limit[0]
+
+
 def _agent_nodes(
     agents: Column, keep_top: Callable[[Column], Column], keep_nested: Callable[[Column], Column]
 ) -> Column:
     """All agents of a response in pre-order, as an array of `_NODE_TYPE`.
 
-    Works level by level inside the row, in as many rounds as lists lie inside
+    Works level by level inside the row, in no more rounds than lists lie inside
     each other in this response.  Levels are kept side by side and put together
     once, so the work grows with the number of agents and of levels, not with their product.
     """
@@ -92,7 +103,7 @@ def _agent_nodes(
         ).cast(f"array<{_NODE_TYPE}>")
 
     walked = F.aggregate(
-        F.sequence(F.lit(1), _list_depth(agents)),
+        F.sequence(F.lit(1), _level_limit(agents)),
         F.struct(top.alias("level"), F.array().cast(f"array<array<{_NODE_TYPE}>>").alias("seen")),
         lambda state, _: F.struct(
             next_level(state["level"]).alias("level"),
@@ -195,76 +206,84 @@ def _issue(bad: Column, *where) -> Column:
 
 
 def _not_text(value: Column, required: bool, shortest: int = 0, longest: int | None = None) -> Column:
-    what = js.kind(value)
     text = js.text_of(value)
-    bad_length = utf16_length(text) < shortest
+    bad_length = F.lit(False)
+    if shortest:
+        bad_length = bad_length | (utf16_length(text) < shortest)
     if longest is not None:
         bad_length = bad_length | (utf16_length(text) > longest)
-    return F.when(what.isNull(), F.lit(required)).when(what != "STRING", True).otherwise(bad_length)
+    return F.when(value.isNull(), F.lit(required)).when(~js.is_text(value), True).otherwise(bad_length)
 
 
 def _not_texts(value: Column) -> Column:
     """Present but not an array of strings."""
-    all_text = F.forall(js.elements(value), lambda item: js.kind(item) == "STRING")
-    return F.coalesce(js.kind(value) != "ARRAY", F.lit(False)) | F.coalesce(~all_text, F.lit(False))
+    all_text = F.forall(js.elements(value), js.is_text)
+    return value.isNotNull() & ~F.coalesce(all_text, F.lit(False))
 
 
 def _not_array(value: Column) -> Column:
-    return F.coalesce(js.kind(value) != "ARRAY", F.lit(False))
+    return value.isNotNull() & ~js.is_array(value)
+
+
+_SKILL = ("name", "description", "sourceDir", "patterns", "triggers", "category", "examples")
+_TOOL = ("name", "command", "description")
+_AGENT = ("name", "description", "skills", "tools", "isSubAgent", "parentAgent", "subAgents", "triggers", "sourceDir")
+_HOOK = ("name", "event", "description", "commands", "condition")
+
+
+# what is checked comes as a struct of its members, NULL where it is no object
 
 
 def _skill_issues(skill: Column, where: Column) -> list[Column]:
-    category = js.field(skill, "category")
+    category = skill["category"]
     known = F.coalesce(js.text_of(category).isin(*rules.SKILL_CATEGORIES), F.lit(False))
     return [
-        _issue(js.kind(skill) != "OBJECT", where),
-        _issue(_not_text(js.field(skill, "name"), True, 1, rules.SKILL_NAME_MAX), where, ".name"),
-        _issue(_not_text(js.field(skill, "description"), True, 1), where, ".description"),
-        _issue(_not_text(js.field(skill, "sourceDir"), False), where, ".sourceDir"),
-        _issue(_not_texts(js.field(skill, "patterns")), where, ".patterns"),
-        _issue(_not_texts(js.field(skill, "triggers")), where, ".triggers"),
-        _issue(category.isNotNull() & ((js.kind(category) != "STRING") | ~known), where, ".category"),
-        _issue(_not_texts(js.field(skill, "examples")), where, ".examples"),
+        _issue(skill.isNull(), where),
+        _issue(_not_text(skill["name"], True, 1, rules.SKILL_NAME_MAX), where, ".name"),
+        _issue(_not_text(skill["description"], True, 1), where, ".description"),
+        _issue(_not_text(skill["sourceDir"], False), where, ".sourceDir"),
+        _issue(_not_texts(skill["patterns"]), where, ".patterns"),
+        _issue(_not_texts(skill["triggers"]), where, ".triggers"),
+        _issue(category.isNotNull() & (~js.is_text(category) | ~known), where, ".category"),
+        _issue(_not_texts(skill["examples"]), where, ".examples"),
     ]
 
 
 def _tool_is_bad(tool: Column) -> Column:
-    as_text = (js.kind(tool) == "STRING") & (js.text_of(tool) != "")
-    as_object = (
-        (js.kind(tool) == "OBJECT")
-        & ~_not_text(js.field(tool, "name"), True, 1)
-        & ~_not_text(js.field(tool, "command"), False)
-        & ~_not_text(js.field(tool, "description"), False)
+    # the one-element array binds the members to a variable, so they are taken out once
+    bad_object = F.exists(
+        F.array(js.members(tool, _TOOL)),
+        lambda t: t.isNull() | _not_text(t["name"], True, 1) | _not_text(t["command"], False) | _not_text(t["description"], False),
     )
-    return ~(as_text | as_object)
+    return F.when(js.is_text(tool), js.text_of(tool) == "").otherwise(bad_object)
 
 
 def _agent_issues(agent: Column, where: Column) -> list[Column]:
-    sub = js.field(agent, "isSubAgent")
-    tools = js.field(agent, "tools")
+    sub = agent["isSubAgent"]
+    tools = agent["tools"]
     bad_tools = F.coalesce(F.exists(js.elements(tools), _tool_is_bad), F.lit(False))
     return [
-        _issue(js.kind(agent) != "OBJECT", where),
-        _issue(_not_text(js.field(agent, "name"), True, 1), where, ".name"),
-        _issue(_not_text(js.field(agent, "description"), False), where, ".description"),
-        _issue(_not_texts(js.field(agent, "skills")), where, ".skills"),
+        _issue(agent.isNull(), where),
+        _issue(_not_text(agent["name"], True, 1), where, ".name"),
+        _issue(_not_text(agent["description"], False), where, ".description"),
+        _issue(_not_texts(agent["skills"]), where, ".skills"),
         _issue(_not_array(tools) | bad_tools, where, ".tools"),
         _issue(sub.isNotNull() & (js.kind(sub) != "BOOLEAN"), where, ".isSubAgent"),
-        _issue(_not_text(js.field(agent, "parentAgent"), False), where, ".parentAgent"),
-        _issue(_not_array(js.field(agent, "subAgents")), where, ".subAgents"),
-        _issue(_not_texts(js.field(agent, "triggers")), where, ".triggers"),
-        _issue(_not_text(js.field(agent, "sourceDir"), False), where, ".sourceDir"),
+        _issue(_not_text(agent["parentAgent"], False), where, ".parentAgent"),
+        _issue(_not_array(agent["subAgents"]), where, ".subAgents"),
+        _issue(_not_texts(agent["triggers"]), where, ".triggers"),
+        _issue(_not_text(agent["sourceDir"], False), where, ".sourceDir"),
     ]
 
 
 def _hook_issues(hook: Column, where: Column) -> list[Column]:
     return [
-        _issue(js.kind(hook) != "OBJECT", where),
-        _issue(_not_text(js.field(hook, "name"), True, 1), where, ".name"),
-        _issue(_not_text(js.field(hook, "event"), True, 1), where, ".event"),
-        _issue(_not_text(js.field(hook, "description"), False), where, ".description"),
-        _issue(_not_texts(js.field(hook, "commands")), where, ".commands"),
-        _issue(_not_text(js.field(hook, "condition"), False), where, ".condition"),
+        _issue(hook.isNull(), where),
+        _issue(_not_text(hook["name"], True, 1), where, ".name"),
+        _issue(_not_text(hook["event"], True, 1), where, ".event"),
+        _issue(_not_text(hook["description"], False), where, ".description"),
+        _issue(_not_texts(hook["commands"]), where, ".commands"),
+        _issue(_not_text(hook["condition"], False), where, ".condition"),
     ]
 
 
@@ -272,25 +291,30 @@ def _present(issues: list[Column]) -> Column:
     return F.filter(F.array(*issues), lambda issue: issue.isNotNull())
 
 
-def _each(items: Column, check: Callable[[Column, Column], list[Column]], label: str) -> Column:
+def _each(root: Column, label: str, names: tuple[str, ...], check: Callable[[Column, Column], list[Column]]) -> Column:
     per_item = F.transform(
-        js.elements(items), lambda v, i: _present(check(v, F.concat(F.lit(label + "."), i.cast("string"))))
+        js.members_of_each(root, label, names), lambda v, i: _present(check(v, F.concat(F.lit(label + "."), i.cast("string"))))
     )
     return F.coalesce(F.flatten(per_item), F.array().cast("array<string>"))
 
 
+def _no_list(root: Column, name: str) -> Column:
+    """Present but not an array."""
+    return ~js.is_array(root, f'$["{name}"]') & js.field(root, name).isNotNull()
+
+
 @built_once
 def violations(body: str) -> Column:
     """Paths of everything in the response in VARIANT column `body` that breaks the schema; empty when it is valid."""
     root = F.col(body)
-    agents = js.field(root, "agents")
-    nodes = _agent_nodes(agents, lambda v: F.lit(True), lambda v: js.kind(v) != "STRING")
+    nodes = _agent_nodes(js.field(root, "agents"), lambda v: F.lit(True), lambda v: js.is_object(v) | ~js.is_text(v))
+    agents = F.transform(nodes, lambda n: F.struct(n["path"].alias("path"), js.members(n["value"], _AGENT).alias("agent")))
     agent_issues = F.flatten(
         F.transform(
-            nodes,
+            agents,
             lambda n: _present(
                 _agent_issues(
-                    n["value"],
+                    n["agent"],
                     F.concat(F.lit("agents."), F.array_join(n["path"].cast("array<string>"), ".subAgents.")),
                 )
             ),
@@ -298,18 +322,18 @@ def violations(body: str) -> Column:
     )
     top = _present(
         [
-            _issue(js.kind(root) != "OBJECT", "(root)"),
-            _issue(_not_array(js.field(root, "skills")), "skills"),
-            _issue(_not_array(agents), "agents"),
-            _issue(_not_array(js.field(root, "hooks")), "hooks"),
+            _issue(~js.is_object(root), "(root)"),
+            _issue(_no_list(root, "skills"), "skills"),
+            _issue(_no_list(root, "agents"), "agents"),
+            _issue(_no_list(root, "hooks"), "hooks"),
             _issue(_not_text(js.field(root, "summary"), False), "summary"),
         ]
     )
     return F.concat(
         top,
-        _each(js.field(root, "skills"), _skill_issues, "skills"),
+        _each(root, "skills", _SKILL, _skill_issues),
         F.coalesce(agent_issues, F.array().cast("array<string>")),
-        _each(js.field(root, "hooks"), _hook_issues, "hooks"),
+        _each(root, "hooks", _HOOK, _hook_issues),
     )
 
 

@@ -174,3 +174,13 @@ def test_thousands_of_sub_agents_keep_their_order(spark):
     assert [n for n, _ in got] == ["top", *[f"w{i}" for i in range(8000)], *[f"n{i}" for i in range(41)]]
     assert {p for n, p in got if n[0] == "w"} == {"top"} and got[-1][1] == "n39"
     assert spent < 15
+
+
+def test_members_are_taken_out_once(spark):
+    """The check reads the members of an object in one pass, and walks no more levels than there are lists of agents."""
+    text = responses.violations("body")._jc.toString()
+    assert text.count("variant_get") < 50 and text.count("schema_of_variant") < 30
+    trees = ['[{"tools":[[[["x"]]]]}]', '[{"subAgents":[{"subAgents":["r"]}]},"\\"subAgents\\""]', "[]", json.dumps([{"subAgents": []}] * 9), '{"a":1}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(trees)], "i int, t string").select("i", F.parse_json("t").alias("v"))
+    got = [r[0] for r in rows.orderBy("i").select(responses._level_limit(F.col("v"))).collect()]
+    assert got[0] == 1 and got[1] >= 3 and got[2:] == [1, 2, 1]
