@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from repoquarry import rules
+from repoquarry.operators.grouping import CHUNK
 from repoquarry.operators.sessions import TERMINATORS, assemble_sessions
 
 OUTPUT_SCHEMA = "session_id string, status string, text string"
@@ -21,7 +22,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 def _processor(mode: str, milliseconds: int, retention: int) -> StatefulProcessor:
     """The processor; nested and fed with plain values so executors get it by value.
 
-    Events are a list that only grows by appending; those whose text does not count are held without it.  The clock is
+    Events are a list that only grows by appending; those whose text does not count are held without it.  A session that is
+    finished by the events of one call leaves none.  The clock is
     one small value.  A session is finished when all numbers from 0 to its end are there, or when the watermark has passed
     the one timer, set at the end known so far or else at the deadline: nothing earlier can come any more.  The
     result is made from all events in the session's order, by the same rules as in batch.
@@ -29,6 +31,7 @@ def _processor(mode: str, milliseconds: int, retention: int) -> StatefulProcesso
     terminators = TERMINATORS[mode]
     delta_type, message_type, error_type = rules.EVENT_DELTA, rules.EVENT_MESSAGE, rules.EVENT_ERROR
     remote = mode == "remote"
+    held_at_most = CHUNK
 
     class Sessions(StatefulProcessor):
         def init(self, handle) -> None:
@@ -36,37 +39,47 @@ def _processor(mode: str, milliseconds: int, retention: int) -> StatefulProcesso
             self.events = handle.getListState("events", EVENT_SCHEMA)
             self.clock = handle.getValueState("clock", CLOCK_SCHEMA)
 
-        def _set_timer(self, at: int) -> None:
-            for old in list(self.handle.listTimers()):
+        def _set_timer(self, at: int, known: bool = True) -> None:
+            # a session that is new here has no timer
+            for old in list(self.handle.listTimers()) if known else ():
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(at)
 
+        # every call of the state is a round trip to the JVM: what a session needs not leave for later calls is not put there
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            first, end_seq, end_ms, closed = self.clock.get() if self.clock.exists() else (None, None, None, False)
+            before = self.clock.get()
+            known, new = before is not None, []
+            first, end_seq, end_ms, closed = before if known else (None, None, None, False)
+            stored = known
             for frame in rows:
                 if closed:
                     continue
                 earliest = int(frame["ms"].min())
                 first = earliest if first is None else min(first, earliest)
-                kept = frame[frame["ms"] < first + milliseconds]
-                text = kept["content"].where(kept["type"] == message_type, kept["delta"] if remote else None)
-                held = list(zip(kept["seq"].tolist(), kept["ms"].tolist(), kept["type"].tolist(), text.where(text.notna(), "").tolist()))
-                if held:
-                    self.events.appendList(held)
-                for seq, ms, kind, _ in held:
+                for seq, ms, kind, content, delta in zip(*(frame[name].tolist() for name in ("seq", "ms", "type", "content", "delta"))):
+                    if not ms < first + milliseconds:
+                        continue
+                    text = content if kind == message_type else delta if remote else ""
+                    new.append((seq, ms, kind, text if isinstance(text, str) else ""))
                     if kind in terminators and (end_seq is None or seq < end_seq):
                         end_seq, end_ms = seq, ms
+                if len(new) >= held_at_most:
+                    self.events.appendList(new)
+                    stored, new = True, []
             if closed:
                 return
             if end_ms is not None and end_ms >= first + milliseconds:
                 end_seq = end_ms = None  # an earlier first event took the end out of time; at the deadline all are looked at
             if end_seq is not None:
-                events = sorted(e for e in self.events.get() if e[1] < first + milliseconds)
+                held = [*self.events.get(), *new] if stored else new
+                events = sorted(e for e in held if e[1] < first + milliseconds)
                 if len({e[0] for e in events if 0 <= e[0] <= end_seq}) == end_seq + 1:
-                    yield self._finish(key, first, events, timerValues)
+                    yield self._finish(key, first, events, timerValues, known, stored)
                     return
+            if new:
+                self.events.appendList(new)
             self.clock.update((first, end_seq, end_ms, False))
-            self._set_timer(first + milliseconds if end_ms is None else end_ms)
+            self._set_timer(first + milliseconds if end_ms is None else end_ms, known)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             first, _, _, closed = self.clock.get()
@@ -76,7 +89,7 @@ def _processor(mode: str, milliseconds: int, retention: int) -> StatefulProcesso
             held = self.events.get() if self.events.exists() else ()
             yield self._finish(key, first, sorted(e for e in held if e[1] < first + milliseconds), timerValues)
 
-        def _finish(self, key, first: int, events: list, timerValues) -> pd.DataFrame:
+        def _finish(self, key, first: int, events: list, timerValues, known: bool = True, stored: bool = True) -> pd.DataFrame:
             end = next((e for e in events if e[2] in terminators), None)
             inside = events if end is None else [e for e in events if e[0] < end[0]]
             status = "timeout" if end is None else "error" if end[2] == error_type else "ok"
@@ -85,9 +98,10 @@ def _processor(mode: str, milliseconds: int, retention: int) -> StatefulProcesso
                 text = message or "".join(e[3] for e in inside if e[2] == delta_type)
             else:
                 text = next((e[3] for e in reversed(inside) if e[2] == message_type), "")
-            self.events.clear()
+            if stored:
+                self.events.clear()
             self.clock.update((first, None, None, True))
-            self._set_timer(max(first + milliseconds, timerValues.getCurrentWatermarkInMs()) + retention)
+            self._set_timer(max(first + milliseconds, timerValues.getCurrentWatermarkInMs()) + retention, known)
             return pd.DataFrame({"session_id": [key[0]], "status": [status], "text": [text]})
 
         def close(self) -> None:

@@ -177,3 +177,27 @@ def test_stream_equals_batch_for_any_order_and_cut(spark, tmp_path, mode, cut):
     assert got == want
     if mode == "remote":
         assert dict((r[0], r[1:]) for r in got)["held_beyond_end"] == ("ok", "one ")
+
+
+def test_a_session_of_one_call_leaves_no_events_in_the_state():
+    """Every call of the state is a round trip: a session that is whole at once needs three."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    from repoquarry.streaming import sessions as streaming
+
+    handle = MagicMock()
+    handle.getListState.return_value, handle.getValueState.return_value = events, clock = MagicMock(), MagicMock()
+    clock.get.return_value = None
+    clock.exists.return_value = False
+    made = streaming._processor("remote", 120_000, 3_600_000)
+    made.init(handle)
+    timer = MagicMock()
+    timer.getCurrentWatermarkInMs.return_value = 0
+    frame = pd.DataFrame({"seq": [1, 0, 2], "ms": [2000, 1000, 3000], "type": [DELTA, DELTA, IDLE], "content": [None] * 3, "delta": ["lo", "hel", None]})
+    got = [tuple(row) for out in made.handleInputRows(("s",), iter([frame]), timer) for row in out.itertuples(index=False)]
+    assert got == [("s", "ok", "hello")]
+    assert not events.method_calls and len(clock.method_calls) == 2
+    assert [c[0] for c in handle.method_calls if "Timer" in c[0]] == ["registerTimer"]
+    clock.update.assert_called_once_with((1000, None, None, True))
