@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repoquarry.operators import catalogue, defaults, documents, responses
-from repoquarry.operators.grouping import spread_join
+from repoquarry.operators.grouping import even_join, spread_join
 from repoquarry.operators.licensing import license_gate, metadata_gate
 from repoquarry.plans.storage import StageStore
 
@@ -41,9 +41,9 @@ class Analysis:
         keep = allowed.select("repo_id").distinct()
 
         def kept(table: DataFrame) -> DataFrame:
-            return spread_join(table, keep, ["repo_id"], "ord", "left_semi")
+            return spread_join(table, keep, ["repo_id"], "ord", "left_semi", even=True)
 
-        repos = self.repos.join(keep, "repo_id", "left_semi")
+        repos = even_join(self.repos, keep, ["repo_id"], "left_semi")
         return Analysis(repos, kept(self.skills), kept(self.agents), kept(self.hooks))
 
 
@@ -65,13 +65,15 @@ def route(profile: DataFrame, sessions: DataFrame, mode: str = "local") -> DataF
     there was no session at all.
     """
     parsed = responses.parse_responses(sessions.withColumnRenamed("text", "response"))
-    joined = profile.join(parsed, "repo_id", "left")
+    # the texts themselves need not be shuffled for callers that drop them
+    answered = parsed.withColumn("__answered", F.col("response").isNotNull())
+    joined = even_join(profile, answered, ["repo_id"], "left")
     usable = F.coalesce("valid", F.lit(False))
     if mode == "local":
         chosen = F.when(usable & (F.col("status") == "ok"), "model").otherwise("heuristic")
     else:
-        chosen = F.when(usable, "model").when(F.col("response").isNotNull(), "empty").otherwise("heuristic")
-    return joined.withColumn("route", chosen)
+        chosen = F.when(usable, "model").when(F.col("__answered"), "empty").otherwise("heuristic")
+    return joined.withColumn("route", chosen).drop("__answered")
 
 
 def _routed(profile: DataFrame, sessions: DataFrame, mode: str, store: StageStore | None) -> DataFrame:
@@ -109,7 +111,7 @@ def analyse_local(profile: DataFrame, sessions: DataFrame, sep: str = "/", store
 
 def analyse_remote(profile: DataFrame, sessions: DataFrame, metadata: DataFrame, store: StageStore | None = None) -> Analysis:
     """Analyse exported repositories; `metadata` adds owner and name.  `store` as in `analyse_local`."""
-    named = profile.join(metadata.select("repo_id", "owner", "repo"), "repo_id")
+    named = even_join(profile, metadata.select("repo_id", "owner", "repo"), ["repo_id"])
     routed = _routed(named, sessions, "remote", store)
     heuristic = routed.where(F.col("route") == "heuristic")
     summary = (

@@ -92,3 +92,15 @@ def test_numbered_rows_are_not_broadcast(spark, tmp_path):
     got = grouping.number_rows(table, ["k"], "pos", "n", chunk=500)
     assert got.where("n <> pos + 1").count() == 0 and got.count() == 5000
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_parts_of_an_even_join_are_neither_broadcast_nor_merged(spark, how):
+    left = spark.createDataFrame([(i % 90 if i % 9 else None, i) for i in range(300)], "k bigint, v int")
+    right = spark.createDataFrame([(k,) for k in (*range(0, 60), 3, None)], "k bigint")
+    joined = grouping.even_join(left, right, ["k"], how)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+    assert joined.select(F.spark_partition_id()).distinct().count() == 4
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    spread = grouping.spread_join(left, right.distinct(), ["k"], "v", "left_semi", even=True)
+    assert spread.select(F.spark_partition_id()).distinct().count() == 4

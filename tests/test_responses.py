@@ -184,3 +184,21 @@ def test_members_are_taken_out_once(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(trees)], "i int, t string").select("i", F.parse_json("t").alias("v"))
     got = [r[0] for r in rows.orderBy("i").select(responses._level_limit(F.col("v"))).collect()]
     assert got[0] == 1 and got[1] >= 3 and got[2:] == [1, 2, 1]
+
+
+def test_repositories_are_joined_in_small_parts(spark, tmp_path):
+    """Tables with a row per repository grow with the input: none is broadcast, and no response text goes through a shuffle."""
+    spark.range(60).selectExpr("concat('o/r', id) AS repo_id", "'Go' AS language", "'' AS framework", "false AS has_tests",
+                               "array('src') AS source_dirs", "'o' AS owner", "concat('r', id) AS repo", "'MIT' AS license",
+                               "'ok' AS status", "'{\"skills\":[{\"name\":\"a\",\"description\":\"d\"}]}' AS text").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    profile = table.select("repo_id", "language", "framework", "has_tests", "source_dirs")
+    sessions = table.select("repo_id", "status", "text").where("repo_id <> 'o/r7'")
+    run, _ = analyse.gated(analyse.analyse_remote(profile, sessions, table.select("repo_id", "owner", "repo")), table.select("repo_id", "license"))
+    for part in (run.repos, run.skills, run.agents, run.hooks):
+        assert "Broadcast" not in part._jdf.queryExecution().executedPlan().toString()
+    assert run.repos.count() == 60 and sorted(r[0] for r in run.skills.select("name").collect()) == ["a"] * 59 + ["src-patterns"]
+    plan = analyse.route(profile, sessions, "remote").drop("response", "violations")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    sides = [i for i, line in enumerate(plan) if "RepartitionByExpression" in line]
+    shuffled = plan[sides[0] + 1].split("[", 1)[1]
+    assert shuffled.startswith("repo_id#") and "__answered#" in shuffled and ", response#" not in shuffled

@@ -62,10 +62,10 @@ def all_tools(spark, sf_dir):
 
 def _sessions(spark, sf_dir):
     """Session results per part: an error for every seventh size, none at all for every seventeenth."""
-    part = views.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("repo_id"), "p_size")
-    got = views.model_responses(spark, sf_dir).join(part, "repo_id").where(F.col("p_size") % 17 != 0)
+    part = views.table(spark, sf_dir, "part").where(F.col("p_size") % 17 != 0)
     status = F.when(F.col("p_size") % 7 == 0, "error").otherwise("ok")
-    return got.select("repo_id", status.alias("status"), F.col("response").alias("text"))
+    sessions = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("repo_id"), status.alias("status"))
+    return views.model_responses(spark, sf_dir, sessions).select("repo_id", "status", F.col("response").alias("text"))
 
 
 def _metadata(spark, sf_dir):
